@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import functools
 import heapq
 import re
@@ -12,69 +13,137 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import mix64
+
 MARK = "▁"
 #: A unit: a run of marks and what follows up to the next. No piece reaches over a unit's end.
 _units = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 VARIANTS = 8
 CACHE = 120_000
-_M = (1 << 64) - 1
+#: Units of more characters go through a heap, the others through matrices, many at once.
+SHORT = 64
+TOGETHER = 1024
 #: What a mark in the text itself becomes meanwhile: a lone surrogate, which no valid text holds.
 _OWN = "\ud800"
+_NEVER = np.int32(2**31 - 1)
 
 
 @functools.cache
 class Vocabulary:
-    """Pieces of a model file of the BPE type with byte fallback."""
+    """Pieces of a model file of the BPE type with byte fallback.
+
+    A symbol is a piece's id, or the number of pieces plus the code point for other characters.
+    ``pairs`` hashes (left symbol, right symbol) to the rank and id of the piece they make.
+    """
+
+    SLOTS = 1 << 21
 
     def __init__(self, path: str):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = sp.get_piece_size()
-        self.pieces = [sp.id_to_piece(i) for i in range(size)]
-        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(size)]
+        self.size = sp.get_piece_size()
+        self.pieces = [sp.id_to_piece(i) for i in range(self.size)]
+        special = [sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) or sp.is_byte(i) for i in range(self.size)]
         self.ids = {p: i for i, p in enumerate(self.pieces) if not special[i]}
-        self.scores = {p: sp.get_score(i) for p, i in self.ids.items()}
         self.bytes = {int(p[3:5], 16): i for i, p in enumerate(self.pieces) if sp.is_byte(i)}
-        self.byte_of = {i: b for b, i in self.bytes.items()}
         if len(self.bytes) != 256:
             raise ValueError("the model has no byte fallback")
-        over = [p for p in self.ids if MARK in p.lstrip(MARK)]
-        if over:
+        if over := [p for p in self.ids if MARK in p.lstrip(MARK)]:
             raise ValueError(f"pieces reach over a mark: {over[:3]}")
-        self.out = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for i, b in self.byte_of.items()}
-
-
-def segment(unit: str, v: Vocabulary, dropout: float, key: int) -> list[str]:
+        self.out: dict[int, bytes] = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()}
+        self.out |= {i: bytes([b]) for b, i in self.bytes.items()}
+        scores = sorted({sp.get_score(i) for i in self.ids.values()}, reverse=True)
+        place = {score: r for r, score in enumerate(scores)}
+        self.rank = {p: place[sp.get_score(i)] for p, i in self.ids.items() if len(p) > 1}
+        self.symbol = np.arange(0x110000, dtype=np.int64) + self.size
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.symbol[ord(p)] = i
+        self._fill()
+
+    def _symbol(self, part: str) -> int | None:
+        return int(self.symbol[ord(part)]) if len(part) == 1 else self.ids.get(part)
+
+    def _fill(self) -> None:
+        self.keys = np.full(self.SLOTS, -1, np.int64)
+        self.ranks = np.full(self.SLOTS, _NEVER, np.int32)
+        self.made = np.zeros(self.SLOTS, np.int32)
+        found = [
+            (a << 32 | b, r, self.ids[p])
+            for p, r in self.rank.items()
+            for i in range(1, len(p))
+            if (a := self._symbol(p[:i])) is not None and (b := self._symbol(p[i:])) is not None
+        ]
+        at = self._slot(np.array([f[0] for f in found], np.int64)).tolist()
+        for (key, rank, piece), slot in zip(found, at):
+            while self.keys[slot] != -1:
+                slot = (slot + 1) % self.SLOTS
+            self.keys[slot], self.ranks[slot], self.made[slot] = key, rank, piece
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (mix64(keys.view(np.uint64)) & np.uint64(self.SLOTS - 1)).astype(np.int64)
+
+    def join(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and id of the piece that each pair of symbols makes; rank _NEVER for none."""
+        keys = left << 32 | right
+        at = self._slot(keys)
+        open_ = np.flatnonzero((self.keys[at] != keys) & (self.keys[at] != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) % self.SLOTS
+            open_ = open_[(self.keys[at[open_]] != keys[open_]) & (self.keys[at[open_]] != -1)]
+        return self.ranks[at], self.made[at]
+
+    def coded(self, piece: str) -> bytes:
+        """Ids of a piece, or of the bytes of a character that has none."""
+        if (i := self.ids.get(piece)) is not None:
+            return i.to_bytes(4, "little")
+        raw = (MARK if piece == _OWN else piece).encode()
+        return b"".join(self.bytes[b].to_bytes(4, "little") for b in raw)
+
+
+def skips(keys: np.ndarray, place: np.ndarray, length: np.ndarray, limit: int) -> np.ndarray:
+    """Whether the candidate at ``place`` of ``length`` characters is skipped, by keyed hash."""
+    point = place.astype(np.uint64) << np.uint64(32) | length.astype(np.uint64)
+    return (mix64(mix64(point) + keys) >> np.uint64(48)) < np.uint64(limit)
+
+
+def code_points(units: list[str], wide: int) -> np.ndarray:
+    return np.frombuffer("".join([u.ljust(wide) for u in units]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), wide)
+
+
+def unit_keys(points: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
+    """Hash of each unit and a salt, from its code points alone."""
+    place = np.arange(points.shape[1])
+    weights = mix64(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
+    known = np.where(place < sizes[:, None], points.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    return mix64((known * weights).sum(axis=1, dtype=np.uint64) + np.uint64(salt))
+
+
+def segment(unit: str, v: Vocabulary, limit: int = 0, salt: int = 0) -> list[str]:
     """Merges a unit's characters by an agenda, best score first, then leftmost.
 
-    A candidate that comes up is skipped if the hash of (key, place, piece) falls under ``dropout``;
-    it is gone until a neighbour changes.
+    A candidate that comes up is skipped if :func:`skips` says so; it is gone until a neighbour changes.
     """
-    parts = list(unit)
-    n = len(parts)
+    parts, keys = list(unit), unit_keys(code_points([unit], len(unit)), np.array([len(unit)]), salt)
+    n, agenda = len(parts), []
     after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
-    scores, agenda = v.scores, []
-    limit = int(dropout * (1 << 32))
 
     def offer(i: int, j: int) -> None:
         joined = parts[i] + parts[j]
-        if (s := scores.get(joined)) is not None:
-            heapq.heappush(agenda, (-s, i, j, joined))
+        if (r := v.rank.get(joined)) is not None:
+            heapq.heappush(agenda, (r, i, j, joined))
 
     for i in range(n - 1):
         offer(i, i + 1)
     while agenda:
         _, i, j, joined = heapq.heappop(agenda)
-        if after[i] != j or not parts[i] or j >= n or parts[i] + parts[j] != joined:
+        if not parts[i] or after[i] != j or parts[i] + parts[j] != joined:
+            continue
+        if limit and skips(keys, np.array([i]), np.array([len(joined)]), limit)[0]:
             continue
-        if limit:
-            h = ((key ^ (i * 0x9E3779B97F4A7C15) ^ (len(joined) << 40)) * 0xD6E8FEB86659FD93) & _M
-            if (h ^ (h >> 31)) * 0xA0761D6478BD642F >> 32 & 0xFFFFFFFF < limit:
-                continue
         parts[i], parts[j] = joined, ""
-        k = after[j]
-        after[i] = k
+        after[i] = k = after[j]
         if k < n:
             prior[k] = i
             offer(i, k)
@@ -83,51 +152,135 @@ def segment(unit: str, v: Vocabulary, dropout: float, key: int) -> list[str]:
     return [p for p in parts if p]
 
 
-class _Cache(dict):
-    """Ids (little-endian bytes) of units, for one variant."""
-
-    def __init__(self, v: Vocabulary, dropout: float, seed: int, variant: int):
-        self.v, self.dropout, self.seed = v, dropout, xxhash.xxh3_64_intdigest(f"{seed}:{variant}")
+def segment_many(units: list[str], v: Vocabulary, limit: int, salt: int) -> list[bytes]:
+    """Ids (little-endian bytes) of units of at most SHORT characters: every unit's agenda at once.
 
-    def __missing__(self, unit: str) -> bytes:
-        v, ids = self.v, []
-        key = zlib.crc32(unit.encode("utf-8", "surrogatepass")) * 0x9E3779B97F4A7C15 & _M ^ self.seed
-        for p in segment(unit, v, self.dropout, key):
-            if (i := v.ids.get(p)) is not None:
-                ids.append(i)
-            else:
-                ids += map(v.bytes.__getitem__, (MARK if p == _OWN else p).encode())
-        if len(self) >= CACHE:
-            self.clear()
-        self[unit] = out = b"".join(i.to_bytes(4, "little") for i in ids)
-        return out
+    Each round takes the best candidate of each unit, as :func:`segment` does one by one.
+    """
+    n = len(units)
+    sizes = np.fromiter(map(len, units), np.int64, n)
+    wide = int(sizes.max())
+    points, place = code_points(units, wide), np.arange(wide)
+    keys = unit_keys(points, sizes, salt)
+    inside = place < sizes[:, None]
+    sym = np.where(inside, v.symbol[points], -1)
+    ranks, made = np.full((n, wide), _NEVER, np.int32), np.zeros((n, wide), np.int32)
+    if wide > 1:
+        r, m = v.join(sym[:, :-1].ravel(), sym[:, 1:].ravel())
+        ranks[:, :-1] = np.where(inside[:, 1:], r.reshape(n, -1), _NEVER)
+        made[:, :-1] = m.reshape(n, -1)
+    after, prior = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
+    length = inside.astype(np.int64)
+    rows = np.arange(n)
+    while len(rows):
+        i = ranks[rows].argmin(axis=1)
+        going = ranks[rows, i] != _NEVER
+        rows, i = rows[going], i[going]
+        if not len(rows):
+            break
+        j = after[rows, i]
+        both = length[rows, i] + length[rows, j]
+        if limit:
+            gone = skips(keys[rows], i, both, limit)
+            ranks[rows[gone], i[gone]] = _NEVER
+            at, i, j, both = rows[~gone], i[~gone], j[~gone], both[~gone]
+        else:
+            at = rows
+        sym[at, i], sym[at, j] = made[at, i], -1
+        ranks[at, i] = ranks[at, j] = _NEVER
+        length[at, i] = both
+        k = after[at, j]
+        after[at, i] = k
+        right = k < sizes[at]
+        r, x, y = at[right], i[right], k[right]
+        prior[r, y] = x
+        ranks[r, x], made[r, x] = v.join(sym[r, x], sym[r, y])
+        p = prior[at, i]
+        left = p >= 0
+        r, x, y = at[left], p[left], i[left]
+        ranks[r, x], made[r, x] = v.join(sym[r, x], sym[r, y])
+    held = sym >= 0
+    blob = sym[held].astype("<u4").tobytes()
+    ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
+    out = [blob[a:b] for a, b in zip([0, *ends], ends)]
+    for row in np.flatnonzero((sym >= v.size).any(axis=1)).tolist():
+        parts = [(v.pieces[x] if x < v.size else chr(x - v.size)) for x in sym[row][held[row]].tolist()]
+        out[row] = b"".join(map(v.coded, parts))
+    return out
 
 
 class Encoder:
+    """Encodes texts; ids of units are kept per variant, of CACHE units at most."""
+
     def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS):
         self.v, self.seed, self.n = Vocabulary(path), seed, variants if dropout else 1
-        self.caches = [_Cache(self.v, dropout, seed, i) for i in range(self.n)]
-        self.get = [c.__getitem__ for c in self.caches]
+        self.limit = round(dropout * (1 << 16))
+        self.salts = [xxhash.xxh3_64_intdigest(f"{seed}:{i}") for i in range(self.n)]
+        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.n)]
 
-    def encode(self, text: str, key: int | None) -> np.ndarray:
-        """Ids of the whole text; each unit takes a variant by the hash of seed, document and place."""
+    def _split(self, text: str, key: int | None) -> tuple[list[str], list[int]]:
+        """Units of a text, and the variant of each by the hash of seed, document and place."""
         if not text:
-            return np.empty(0, "<u4")
-        if MARK in text:
-            text = text.replace(MARK, _OWN)
-        units = _units(MARK + text.replace(" ", MARK))
+            return [], []
+        units = _units(MARK + text.replace(MARK, _OWN).replace(" ", MARK))
         if self.n == 1:
-            return np.frombuffer(b"".join(map(self.get[0], units)), "<u4")
-        start = xxhash.xxh3_64_intdigest(f"{self.seed}:{key}")
-        h = (np.arange(len(units), dtype=np.uint64) + np.uint64(start)) * np.uint64(0x9E3779B97F4A7C15)
-        which = ((h ^ (h >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(40)) % np.uint64(self.n)
-        get = self.get
-        return np.frombuffer(b"".join([get[w](u) for w, u in zip(which.tolist(), units)]), "<u4")
+            return units, [0] * len(units)
+        start = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{key}"))
+        which = mix64(np.arange(len(units), dtype=np.uint64) + start) % np.uint64(self.n)
+        return units, which.tolist()
+
+    def _learn(self, w: int, units: list[str]) -> None:
+        cache, v = self.caches[w], self.v
+        units.sort(key=len)
+        short = bisect.bisect_right(units, SHORT, key=len)
+        start = 0
+        while start < short:
+            # like lengths go together, so that matrices hold little padding
+            most = max(8, -(-len(units[start]) * 3 // 2))
+            end = min(start + 20_000, bisect.bisect_right(units, most, start, short, key=len))
+            part = units[start:end]
+            cache.update(zip(part, segment_many(part, v, self.limit, self.salts[w])))
+            start = end
+        for u in units[short:]:
+            cache[u] = b"".join(map(v.coded, segment(u, v, self.limit, self.salts[w])))
+
+    def encode_many(self, texts: list[str | None], keys: list[int | None]) -> list[np.ndarray]:
+        """Ids of whole texts."""
+        out = []
+        for start in range(0, len(texts), TOGETHER):
+            split = [self._split(t or "", k) for t, k in zip(texts[start : start + TOGETHER], keys[start : start + TOGETHER])]
+            for cache in self.caches:
+                if len(cache) > CACHE:
+                    cache.clear()
+            get = [c.get for c in self.caches]
+            found = [[get[w](u) for w, u in zip(which, units)] for units, which in split]
+            holes = [at for at, got in enumerate(found) if None in got]
+            missing: list[set[str]] = [set() for _ in range(self.n)]
+            add = [m.add for m in missing]
+            for at in holes:
+                units, which = split[at]
+                for x, w, u in zip(found[at], which, units):
+                    if x is None:
+                        add[w](u)
+            for w, units in enumerate(missing):
+                if units:
+                    self._learn(w, list(units))
+            for at in holes:
+                units, which = split[at]
+                found[at] = [get[w](u) if x is None else x for x, w, u in zip(found[at], which, units)]
+            out += [np.frombuffer(b"".join(got), "<u4") for got in found]
+        return out
 
-    def decode(self, ids) -> str:
-        """The text; the space that stands for the leading mark goes."""
+    def encode(self, text: str | None, key: int | None) -> np.ndarray:
+        return self.encode_many([text], [key])[0]
+
+    def decoded(self, ids) -> bytes:
+        """UTF-8 of the text; the space that stands for the leading mark goes."""
         out = b"".join(map(self.v.out.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
-        return (out[1:] if out[:1] == b" " else out).decode("utf-8", "replace")
+        return out[1:] if out[:1] == b" " else out
+
+    def decode(self, ids) -> str:
+        return self.decoded(ids).decode("utf-8", "replace")
 
 
 _encoders: dict = {}
@@ -144,7 +297,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     """(doc_id, n_ids, ids, ids_crc32, lossless) per row: BPE-dropout by keyed hashes, over whole texts.
 
     Merges run in an agenda, best score first; a candidate that comes up is skipped with probability
-    ``dropout``, decided by a hash of seed, unit, place, piece and variant. Each unit of a text takes
+    ``dropout``, decided by a hash of seed, variant, unit, place and length. Each unit of a text takes
     one of ``VARIANTS`` segmentations by a hash of seed, id and place, so the same row gives the same
     ids on every run, and equal words differ within a text. With dropout 0 the ids are the model's own.
     ``lossless``: decoding the ids gave back the whole text.
@@ -161,11 +314,11 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
         e = encoder(model_path, dropout, seed)
         for batch in batches:
             all_ids, crcs, same = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = e.encode(text or "", doc)
+            docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for text, ids in zip(texts, e.encode_many(texts, docs_)):
                 all_ids.append(ids.astype(np.int32))
                 crcs.append(zlib.crc32(ids.tobytes()))
-                same.append(e.decode(ids) == (text or ""))
+                same.append(e.decoded(ids) == (text or "").encode())
             sizes = [len(x) for x in all_ids]
             flat = np.concatenate(all_ids) if all_ids else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
