@@ -13,18 +13,18 @@ def item_counts(entries: DataFrame, by: list[str]) -> DataFrame:
 
 
 def jaccard(entries: DataFrame, by: list[str]) -> DataFrame:
-    """(by, a, b, both, jaccard) of items that share an entry, a < b.
+    """(by, a, b, together, jaccard) of items that share an entry, a < b.
 
     The self-join is on the entry, so its size follows the squared size of entries, not of the corpus.
     """
     e = entries.select(*by, "entry_id", "item").distinct()
     n = e.groupBy(*by, "item").agg(F.count("*").alias("n"))
     a, b = e.withColumnRenamed("item", "a"), e.withColumnRenamed("item", "b")
-    pairs = a.join(b, [*by, "entry_id"]).where("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("both"))
+    pairs = a.join(b, [*by, "entry_id"]).where("a < b").groupBy(*by, "a", "b").agg(F.count("*").alias("together"))
     return (
         pairs.join(n.withColumnsRenamed({"item": "a", "n": "na"}), [*by, "a"])
         .join(n.withColumnsRenamed({"item": "b", "n": "nb"}), [*by, "b"])
-        .select(*by, "a", "b", "both", (F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("jaccard"))
+        .select(*by, "a", "b", "together", (F.col("together") / (F.col("na") + F.col("nb") - F.col("together"))).alias("jaccard"))
     )
 
 

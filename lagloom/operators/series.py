@@ -9,13 +9,20 @@ from pyspark.sql import functions as F
 
 from ..functions.lag import clip
 
-ORDER = Window.partitionBy("diary_id").orderBy("t_h", "obs_id")
-ALL = Window.partitionBy("diary_id")
+
+
+def ordered():
+    """A diary's observations in time."""
+    return Window.partitionBy("diary_id").orderBy("t_h", "obs_id")
+
+
+def whole():
+    return Window.partitionBy("diary_id")
 
 
 def gaps(obs: DataFrame) -> DataFrame:
     """Adds dt, hours since the observation before."""
-    return obs.withColumn("dt", F.col("t_h") - F.lag("t_h").over(ORDER))
+    return obs.withColumn("dt", F.col("t_h") - F.lag("t_h").over(ordered()))
 
 
 def median_gap(obs: DataFrame) -> DataFrame:
@@ -24,18 +31,18 @@ def median_gap(obs: DataFrame) -> DataFrame:
 
 def rho(residuals: DataFrame, r: str = "r") -> DataFrame:
     """Lag-1 autocorrelation of residuals per diary, between 0 and 0.9."""
-    back = residuals.withColumn("_p", F.lag(r).over(ORDER))
+    back = residuals.withColumn("_p", F.lag(r).over(ordered()))
     num, den = F.sum(F.col("_p") * F.col(r)), F.sum(F.col("_p") * F.col("_p"))
     return back.groupBy("diary_id").agg(clip(F.coalesce(num, F.lit(0.0)) / F.greatest(F.coalesce(den, F.lit(0.0)), F.lit(1e-9)), 0.0, 0.9).alias("rho"))
 
 
 def demeaned(obs: DataFrame) -> DataFrame:
-    return obs.withColumn("r", F.col("y") - F.avg("y").over(ALL))
+    return obs.withColumn("r", F.col("y") - F.avg("y").over(whole()))
 
 
 def whitened(obs: DataFrame) -> DataFrame:
     """(diary_id, obs_id, w, y_w): y minus rho to the power of the relative gap times y before."""
-    d = gaps(demeaned(obs)).withColumn("_y", F.lag("y").over(ORDER))
+    d = gaps(demeaned(obs)).withColumn("_y", F.lag("y").over(ordered()))
     w = F.pow("rho", F.col("dt") / F.greatest("median_dt", F.lit(1e-6)))
     return (
         d.join(rho(demeaned(obs)), "diary_id").join(median_gap(obs), "diary_id").where("dt is not null")
@@ -45,7 +52,7 @@ def whitened(obs: DataFrame) -> DataFrame:
 
 def day_blocks(obs: DataFrame, days: int = 3) -> DataFrame:
     """(diary_id, day, block): consecutive observed days, by threes."""
-    origin = F.min("t_h").over(ALL)
+    origin = F.min("t_h").over(whole())
     day = obs.select("diary_id", F.floor((F.col("t_h") - origin) / 24).cast("long").alias("day")).distinct()
     place = F.row_number().over(Window.partitionBy("diary_id").orderBy("day")) - 1
     return day.withColumn("block", F.floor(place / days).cast("long"))
@@ -57,7 +64,7 @@ def controls(obs: DataFrame, hod: Column) -> DataFrame:
     return obs.select(
         "*", F.lit(1.0).alias("z0"), turn(F.sin, 1).alias("z1"), turn(F.cos, 1).alias("z2"),
         turn(F.sin, 2).alias("z3"), turn(F.cos, 2).alias("z4"),
-        ((F.col("t_h") - F.avg("t_h").over(ALL)) / 24).alias("z5"),
+        ((F.col("t_h") - F.avg("t_h").over(whole())) / 24).alias("z5"),
     )
 
 

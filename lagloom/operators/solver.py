@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 K = 7
@@ -15,7 +17,7 @@ def residualise(z: np.ndarray, s: np.ndarray) -> np.ndarray:
 def shrink(v: np.ndarray, by: float, positive: bool = True) -> np.ndarray:
     """Positive part, then the group's length shortened by ``by``."""
     v = np.maximum(v, 0) if positive else v
-    size = np.linalg.norm(v)
+    size = math.sqrt(v @ v)
     return np.zeros_like(v) if size <= by else v * (1 - by / size)
 
 
@@ -77,6 +79,65 @@ class Groups:
         return max(1e-9, float((np.linalg.norm(v.reshape(self.n, self.width), axis=1) / self.weight).max(initial=0)))
 
 
+def solve_many(grams: np.ndarray, crosses: np.ndarray, lam: float, betas: np.ndarray, width: int = K, rounds: int = 150, tol: float = 1e-6) -> np.ndarray:
+    """:meth:`Groups.solve` (non-negative) of many problems (r, p, p), (r, p) at once."""
+    out = betas.copy()
+    by = lam * width**0.5
+    n = grams.shape[1] // width
+    spans = [slice(i * width, (i + 1) * width) for i in range(n)]
+    top = np.stack([np.linalg.eigvalsh(grams[:, a, a])[:, -1] for a in spans], axis=1)
+    steps = np.where(top > 1e-12, 1 / np.where(top > 1e-12, top, 1), 0.0)
+    live = np.arange(len(out))
+    g, c, beta = grams, crosses, out.copy()
+    fitted = np.einsum("rij,rj->ri", g, beta)
+    for _ in range(rounds):
+        moved = np.zeros(len(live))
+        for i, a in enumerate(spans):
+            own, old, step = g[:, a, a], beta[:, a], steps[live, i]
+            u = c[:, a] - fitted[:, a] + np.einsum("rij,rj->ri", own, old)
+            part = np.maximum(u, 0)
+            on = np.flatnonzero((np.sqrt((part * part).sum(axis=1)) > by) & (step > 0))
+            new = np.zeros_like(old)
+            if len(on):
+                new[on] = _groups_at_once(own[on], u[on], by, old[on], step[on])
+            change = new - old
+            size = np.abs(change).max(axis=1)
+            if size.any():
+                beta[:, a] = new
+                fitted += np.einsum("rij,rj->ri", g[:, :, a], change)
+                np.maximum(moved, size, out=moved)
+        going = moved >= tol
+        if not going.all():
+            out[live[~going]] = beta[~going]
+            live, g, c, beta, fitted = live[going], g[going], c[going], beta[going], fitted[going]
+        if not len(live):
+            return out
+    out[live] = beta
+    return out
+
+
+def _groups_at_once(g: np.ndarray, u: np.ndarray, lam: float, b: np.ndarray, step: np.ndarray, rounds: int = 80, tol: float = 1e-9) -> np.ndarray:
+    """:func:`_one_group` for many problems; each stops by itself."""
+    out, at = b.copy(), np.arange(len(b))
+    ahead, t, step = b, 1.0, step[:, None]
+    for _ in range(rounds):
+        v = np.maximum(ahead - step * (np.einsum("rij,rj->ri", g, ahead) - u), 0)
+        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
+        new = v * np.maximum(0, 1 - step * lam / np.where(size > 0, size, 1))
+        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        change = new - b
+        ahead, t = new + (t - 1) / t_new * change, t_new
+        b = new
+        going = np.abs(change).max(axis=1) >= tol
+        if not going.all():
+            out[at[~going]] = b[~going]
+            at, g, u, b, ahead, step = at[going], g[going], u[going], b[going], ahead[going], step[going]
+            if not len(at):
+                return out
+    out[at] = b
+    return out
+
+
 def most_active(n_groups: int) -> int:
     return max(4, round((0.8 * n_groups) ** 0.5))
 
