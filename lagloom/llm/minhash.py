@@ -17,7 +17,7 @@ K = BANDS * ROWS
 WORDS64 = K * BITS // 64
 #: An estimate this much under the similarity asked for (5 standard deviations) is not checked.
 MARGIN = 0.25
-BLOCK = 4096
+BLOCK = 1024
 PAIRS_PER_TASK = 512
 CACHE = 300_000
 
@@ -116,6 +116,17 @@ def _sets(width: int):
     return run
 
 
+def alike(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sorted sets have a Jaccard similarity of num / den at least."""
+    if len(x) > len(y):
+        x, y = y, x
+    if den * len(x) < num * len(y):
+        return False
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return den * both >= num * (len(x) + len(y) - both)
+
+
 def _confirm(num: int, den: int):
     """Reads (a, salt, role, id, shingles) in order: a's set (role 0), then its partners'."""
 
@@ -132,13 +143,8 @@ def _confirm(num: int, den: int):
                 if role == 0:
                     heads.append(s)
                     continue
-                for h in heads:
-                    if den * min(len(h), len(s)) < num * max(len(h), len(s)):
-                        continue
-                    both = len(h) + len(s) - len(np.union1d(h, s))
-                    if den * both >= num * (len(h) + len(s) - both):
-                        found.append((a, other))
-                        break
+                if any(alike(h, s, num, den) for h in heads):
+                    found.append((a, other))
             if found:
                 x, y = zip(*found)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
@@ -163,34 +169,10 @@ def least_matches(similarity: float) -> float:
     return K * (by_chance + (1 - by_chance) * (similarity - MARGIN))
 
 
-def _across(least: float, most: int | None):
-    """Candidate pairs of different components within a block of a bucket, at most ``most`` a row."""
-
-    def pairs(rows):
-        ids, comps, side = (np.concatenate(x) for x in list(zip(*rows))[:3])
-        sig = np.concatenate([r[3] for r in rows])
-        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        out = []
-        for i in range(0, len(left), 256):
-            l = left[i : i + 256]
-            m = matches(sig[l], sig[right])
-            m[(comps[l][:, None] == comps[right][None, :])] = -1
-            for row, x in enumerate(l):
-                at = np.flatnonzero(m[row] >= least)
-                cut = most is not None and len(at) > most
-                if cut:
-                    at = at[np.argsort(-m[row][at], kind="stable")[:most]]
-                out += [(min(ids[x], o), max(ids[x], o), cut) for o in ids[right[at]]]
-        return out
+def _by_block(made):
+    """Reads rows ordered by (key, bi, bj); calls ``made`` with the batches of each such block."""
 
     def run(batches):
-        import pyarrow as pa
-
-        def made(rows):
-            if found := pairs(rows):
-                a, b, cut = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(cut, pa.bool_())], ["a", "b", "cut"])
-
         now, rows = None, []
         for batch in batches:
             key = np.stack([batch.column(i).to_numpy() for i in range(3)], axis=1)
@@ -199,18 +181,92 @@ def _across(least: float, most: int | None):
                 if start == end:
                     continue
                 if now is not None and tuple(key[start]) != now:
-                    yield from made(rows)
+                    yield from made(now[0], rows)
                     rows = []
                 now = tuple(key[start])
-                part = batch.slice(start, end - start)
-                c = [part.column(i).to_numpy() for i in range(3, 6 + WORDS64)]
-                rows.append([*c[:3], np.stack(c[3:], axis=1).view(np.uint64)])
+                rows.append(batch.slice(start, end - start))
         if rows:
-            yield from made(rows)
+            yield from made(now[0], rows)
 
     return run
 
 
+def _column(rows, i: int) -> np.ndarray:
+    return np.concatenate([r.column(i).to_numpy() for r in rows])
+
+
+def _near(rows, least: float):
+    """Index pairs of a block, of different components, whose signatures agree enough."""
+    comps, side = _column(rows, 4), _column(rows, 5)
+    sig = np.stack([_column(rows, 6 + i) for i in range(WORDS64)], axis=1).view(np.uint64)
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for i in range(0, len(left), 256):
+        part = left[i : i + 256]
+        m = matches(sig[part], sig[right])
+        m[comps[part][:, None] == comps[right][None, :]] = -1
+        a, b = np.nonzero(m >= least)
+        yield part[a], right[b], m[a, b]
+
+
+def _doubtful(least: float):
+    """(key, id) of rows that have a candidate in another component of their bucket."""
+
+    def made(key, rows):
+        import pyarrow as pa
+
+        some = [np.concatenate([a, b]) for a, b, _ in _near(rows, least) if len(a)]
+        if some:
+            ids = _column(rows, 3)[np.unique(np.concatenate(some))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], ["key", "id"])
+
+    return _by_block(made)
+
+
+def _joining(least: float, num: int, den: int):
+    """Confirmed links that join components within a block: candidates by falling estimate.
+
+    A pair is looked at in the first band that it shares, and only while its components are apart, so
+    a block of n components gives n - 1 links at most.
+    """
+
+    def made(key, rows):
+        import pyarrow as pa
+
+        found = [x for x in _near(rows, least) if len(x[0])]
+        if not found:
+            return
+        a, b, m = (np.concatenate(x) for x in zip(*found))
+        ids, comps = _column(rows, 3), _column(rows, 4).tolist()
+        bands = np.concatenate([r.column(6 + WORDS64).flatten().to_numpy() for r in rows]).reshape(-1, BANDS)
+        sets = [np.frombuffer(x, np.uint64) for r in rows for x in r.column(7 + WORDS64).to_pylist()]
+        band = int(np.flatnonzero(bands[a[0]] == key)[0])
+        apart = ids[a] != ids[b]
+        if band:
+            apart &= ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+        size = np.array([len(x) for x in sets])
+        apart &= den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
+        a, b, m = a[apart], b[apart], m[apart]
+        parent = {c: c for c in comps}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        for at in np.argsort(-m, kind="stable").tolist():
+            i, j = int(a[at]), int(b[at])
+            p, q = root(comps[i]), root(comps[j])
+            if p != q and alike(sets[i], sets[j], num, den):
+                parent[q] = p
+                out.append((int(ids[i]), int(ids[j])))
+        if out:
+            x, y = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
+
+    return _by_block(made)
+
+
 def blocks_of(n: str, hashed: str, block: int):
     """(bi, bj, side) structs that put each row of a bucket of n rows into all its pairs of blocks.
 
@@ -234,11 +290,12 @@ def near_duplicates(
     Texts with equal shingle sets form one class, kept as its smallest id; only these go on. Of
     each, 96 minima give 24 bands of 4 for the search and 2 low bits each for a packed signature.
     Candidates that agree in a band and whose bit count, corrected for chance, is not 5 standard
-    deviations under ``similarity`` are confirmed on whole sets. Rounds: first every member of a
-    bucket with the bucket's smallest id; then, where a bucket still holds several components,
-    pairs across these (the 8 best of each row, then all the rest), so a large group of near copies
-    costs as many pairs as it has members. Large buckets are cut into pairs of blocks. A pair at the
-    threshold shares no band with probability 3e-6.
+    deviations under ``similarity`` are confirmed on whole sets: first every member of a bucket with the
+    bucket's smallest id; then, where a bucket still holds several components, rows with a candidate
+    across these meet with their sets in one task per pair of blocks of the bucket, which tries
+    candidates by falling estimate while their components are apart and returns the links that join
+    them. So rows grow with the documents, never with the pairs of a group, and no link that would join
+    components is lost. A pair at the threshold shares no band with probability 3e-6.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing, kept. Null ids: component_id
     null, kept. Rows that share an id count as one document: linked, all with that id's component.
@@ -305,27 +362,30 @@ def near_duplicates(
     )
     links = confirmed(tested, "links0")
     parts = connected_components(ws, links, "cc0")
-    for turn, most in ((1, 8), (2, None)):
-        now = shared.join(parts, shared.id == parts.node, "left").select(
-            "key", "id", "n", F.coalesce("component", "id").alias("comp")
-        )
-        mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-        found = ws.save(
-            now.join(mixed, "key").join(marks, "id")
-            .withColumn("hashed", F.xxhash64("id"))
-            .withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
-            .select("key", "block.bi", "block.bj", "id", "comp", "block.side", *words)
+    now = ws.save(
+        shared.join(parts, shared.id == parts.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "now"
+    )
+
+    def in_blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
+        """Rows (key, id, comp, n, ...) dealt to the pairs of blocks of their bucket."""
+        return (
+            rows.withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
+            .select("key", "block.bi", "block.bj", "id", "comp", "block.side", *words, *extra)
             .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-            .mapInArrow(_across(least, most), "a long, b long, cut boolean"),
-            f"across{turn}",
         )
-        fresh = ws.save(found.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), f"pairs{turn}")
-        if not fresh.isEmpty():
-            tested = tested.unionByName(fresh)
-            links = links.unionByName(confirmed(fresh, f"links{turn}"))
-            parts = connected_components(ws, links, f"cc{turn}")
-        if most is None or found.where("cut").isEmpty():
-            break
+
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+    doubtful = ws.save(
+        in_blocks(now.join(mixed, "key").join(marks, "id"), []).mapInArrow(_doubtful(least), "key long, id long").distinct(), "doubtful"
+    )
+    again = doubtful.join(doubtful.groupBy("key").agg(F.count("*").alias("n")), "key").join(now, ["key", "id"])
+    more = ws.save(
+        in_blocks(again.join(reps, "id").join(sets, "id"), ["bands", "shingles"])
+        .mapInArrow(_joining(least, num, den), "src long, dst long"),
+        "links1",
+    )
+    if not more.isEmpty():
+        parts = connected_components(ws, links.unionByName(more), "cc1")
     ws.drop("shared", "sets", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
