@@ -10,21 +10,27 @@ from lagloom.llm.common import Workspace
 from lagloom.llm.queries import tokenizer_file
 
 
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns under names that no operator uses, and their own names -> these."""
+    names = {c: f"column{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: null text, or no letter. Learns from the labelled rows."""
-    columns = docs.columns
-    out = language_id.identify(docs, language_id.train(docs), keep=tuple(columns))
-    return out.where("lang_pred <> 'und'").select(*columns)
+    plain, names = numbered(docs)
+    out = language_id.identify(plain, language_id.train(docs), names["text"], tuple(plain.columns))
+    return out.where("lang_pred <> 'und'").select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier document holds; n_chars follows."""
-    columns = docs.columns
-    own = tuple(c for c in columns if c not in ("doc_id", "text"))
-    out = line_dedup.dedup_lines(docs, carry=own).withColumn("text", F.col("kept_text"))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*columns)
+    plain, names = numbered(docs)
+    own = tuple(n for c, n in names.items() if c not in ("doc_id", "text"))
+    out = line_dedup.dedup_lines(plain, names["doc_id"], names["text"], carry=own)
+    new = {"doc_id": F.col("doc_id"), "text": F.col("kept_text"), "n_chars": F.length("kept_text")}
+    kinds = dict(docs.dtypes)
+    return out.select(*(new.get(c, F.col(n)).cast(kinds[c]).alias(c) for c, n in names.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
