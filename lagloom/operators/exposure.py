@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lag import BANDS, LEAST, MOST, kernel, kernel_table
+from ..functions.lag import BANDS, CENTERS, LEAST, MOST, WIDTHS, kernel
 
 
 def lag_join(observations: DataFrame, events: DataFrame, bucket_h: float = MOST) -> DataFrame:
@@ -24,14 +24,19 @@ def lag_join(observations: DataFrame, events: DataFrame, bucket_h: float = MOST)
 
 
 def exposure(observations: DataFrame, events: DataFrame, item: str = "item") -> DataFrame:
-    """Sparse long exposure (diary_id, obs_id, item, k, x): kernel weights summed over events."""
-    spark = observations.sparkSession
-    # seven rows
-    k = F.broadcast(kernel_table(spark))
+    """Sparse long exposure (diary_id, obs_id, item, k, x): kernel weights summed over events.
+
+    All kernels are summed in one row per (observation, item), and only then become rows of their
+    own, so the shuffle carries one row where up to seven would match.
+    """
+    d = F.col("d")
+    weights = [
+        F.sum(F.when(F.abs(d - c) < w, kernel(d, F.lit(c), F.lit(w)))) for c, w in zip(CENTERS, WIDTHS)
+    ]
     pairs = lag_join(observations.select("diary_id", "obs_id", "t_h"), events.select("diary_id", "t_h", item))
     return (
-        pairs.join(k, F.abs(F.col("d") - F.col("c")) < F.col("w"))
-        .groupBy("diary_id", "obs_id", item, "k").agg(F.sum(kernel(F.col("d"), F.col("c"), F.col("w"))).alias("x"))
+        pairs.groupBy("diary_id", "obs_id", item).agg(F.array(*weights).alias("_w"))
+        .select("diary_id", "obs_id", item, F.posexplode("_w").alias("k", "x")).where("x is not null")
     )
 
 
