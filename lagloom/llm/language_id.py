@@ -109,12 +109,19 @@ def train(
     and n-grams, ``words`` and ``n_grams`` of all languages together. Rows with null lang don't count;
     of more than ``languages`` languages the most frequent are learned."""
     base = labelled.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in base.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect())
+    sizes = base.groupBy("lang").agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages)
+    known = sizes.collect()
+    langs = sorted(r["lang"] for r in known)
     if not langs:
         return Model([], {}, np.zeros((0, 0)), {}, ())
+    # hashes are uniform: under this share of them a language has about 4 * docs_per_language rows, so that
+    # what is ranked doesn't grow with the corpus
+    share = {r["lang"]: 4 * docs_per_language / r["rows"] for r in known}
+    below = F.create_map(*(F.lit(x) for pair in share.items() for x in pair))[F.col("lang")]
     first = Window.partitionBy("lang").orderBy("h", "id")
     picked = (
         base.select("id", "lang", F.xxhash64("id").alias("h")).where(F.col("lang").isin(langs))
+        .where(F.col("h") / F.lit(2.0**64) + 0.5 <= below)
         .withColumn("at", F.row_number().over(first)).where(F.col("at") <= docs_per_language)
         .select(F.col("id").alias("picked"), F.col("lang").alias("of")).distinct()
     )
