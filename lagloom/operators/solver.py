@@ -21,18 +21,79 @@ def shrink(v: np.ndarray, by: float, positive: bool = True) -> np.ndarray:
     return np.zeros_like(v) if size <= by else v * (1 - by / size)
 
 
-def _one_group(g: np.ndarray, u: np.ndarray, lam: float, b: np.ndarray, step: float, rounds: int = 80, tol: float = 1e-9) -> np.ndarray:
-    """Accelerated proximal gradient for one group, given the rest."""
-    ahead, t = b, 1.0
-    for _ in range(rounds):
-        new = shrink(ahead - step * (g @ ahead - u), step * lam)
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead = new + (t - 1) / t_new * (new - b)
-        moved = np.abs(new - b).max()
-        b, t = new, t_new
-        if moved < tol:
-            break
-    return b
+def _best_length(w2: np.ndarray, d: np.ndarray, lam: float, r: float) -> float:
+    """r > 0 with sum w2 / (d r + lam)^2 = 1. The sum's power -1/2 is concave in r, so Newton climbs to it from below."""
+    for _ in range(60):
+        low = d * r + lam
+        part = w2 / (low * low)
+        total = float(part.sum())
+        slope = float((part * d / low).sum())
+        if slope <= 0:
+            return r
+        new = max(0.0, r + total * (math.sqrt(total) - 1) / slope)
+        if abs(new - r) <= 1e-13 * new:
+            return new
+        r = new
+    return r
+
+
+class Group:
+    """One group's problem: the least 1/2 b'Gb - u'b + lam |b| over b >= 0, exactly, by an active set.
+
+    On a support the solution is (G + lam/|b|)^-1 u, so its length solves one equation in the eigenvalues.
+    """
+
+    def __init__(self, gram: np.ndarray):
+        self.gram, self.known = gram, {}
+
+    def on(self, support: tuple[int, ...], u: np.ndarray, lam: float, length: float) -> np.ndarray:
+        """The least value with these coordinates of any sign and all others 0."""
+        at = list(support)
+        if support not in self.known:
+            d, q = np.linalg.eigh(self.gram[np.ix_(at, at)])
+            self.known[support] = np.maximum(d, 0), q
+        d, q = self.known[support]
+        w = u[at] @ q
+        r = _best_length(w * w, d, lam, length)
+        out = np.zeros(len(u))
+        out[at] = q @ (w * r / (d * r + lam))
+        return out
+
+    def value(self, b: np.ndarray, u: np.ndarray, lam: float) -> float:
+        return float(b @ (self.gram @ b) / 2 - u @ b + lam * math.sqrt(b @ b))
+
+    def solve(self, u: np.ndarray, lam: float, old: np.ndarray) -> np.ndarray:
+        up = np.maximum(u, 0)
+        size = math.sqrt(up @ up)
+        bend = float(up @ (self.gram @ up))
+        if size <= lam or bend <= 0:
+            return np.zeros(len(u))
+        b = old
+        if not old.any() or self.value(old, u, lam) >= 0:  # a start below the value at 0
+            b = up * (size * (size - lam) / bend)
+        support, tol = tuple(np.flatnonzero(b > 0).tolist()), 1e-10 * size
+        for _ in range(8 * len(u)):
+            s = self.on(support, u, lam, math.sqrt(b @ b))
+            at = list(support)
+            if s[at].min() > 0:
+                b = s
+                slope = u - self.gram @ b
+                slope[at] = 0
+                j = int(slope.argmax())
+                if slope[j] <= tol:
+                    break
+                support = tuple(sorted((*support, j)))
+            else:  # go towards s until a coordinate meets 0
+                falls = [i for i in at if s[i] <= 0]
+                share = min(b[i] / (b[i] - s[i]) if b[i] > s[i] else 0.0 for i in falls)
+                gone = {i for i in falls if b[i] - share * (b[i] - s[i]) <= 1e-15 * size}
+                b = np.maximum(b + share * (s - b), 0)
+                b[list(gone)] = 0
+                left = tuple(i for i in at if i not in gone)
+                if not left or left == support:
+                    break
+                support = left
+        return b
 
 
 class Groups:
@@ -43,33 +104,69 @@ class Groups:
         self.n = len(gram) // width
         self.at = [slice(i * width, (i + 1) * width) for i in range(self.n)]
         self.own = [gram[a, a] for a in self.at]
-        top = [np.linalg.eigvalsh(g)[-1] for g in self.own]
-        self.step = [1 / t if t > 1e-12 else 0.0 for t in top]
+        self.group = [Group(g) for g in self.own]
+        self.usable = np.array([g.trace() > 1e-12 for g in self.own], bool)
         self.weight = width**0.5
 
     def solve(self, c: np.ndarray, lam: float, beta: np.ndarray | None = None, rounds: int = 150, tol: float = 1e-6) -> np.ndarray:
-        """Block coordinate descent of 1/2 b'Gb - c'b + lam * weight * sum of group lengths."""
+        """Block coordinate descent of 1/2 b'Gb - c'b + lam * weight * sum of group lengths.
+
+        Sweeps only groups that are in or want in; when these stand still, all others are tried at once. Where
+        nothing leaves or enters, a Newton step on all positive coordinates follows, so few sweeps are needed.
+        """
         beta = np.zeros(len(c)) if beta is None else beta.copy()
         fitted, by = self.gram @ beta, lam * self.weight
-        for _ in range(rounds):
+        turn = np.flatnonzero(self.active(beta)).tolist()
+        for again in range(rounds):
             moved = 0.0
-            for i, a in enumerate(self.at):
+            for i in turn:
+                a = self.at[i]
                 old = beta[a]
                 u = c[a] - fitted[a] + self.own[i] @ old
-                if self.positive:
-                    part = np.maximum(u, 0)
-                    new = np.zeros(self.width) if np.sqrt(part @ part) <= by or not self.step[i] else _one_group(self.own[i], u, by, old, self.step[i])
-                else:  # orthonormal columns: closed form
-                    new = shrink(u, by, positive=False)
+                # orthonormal columns of any sign have a closed form
+                new = self.group[i].solve(u, by, old) if self.positive else shrink(u, by, positive=False)
                 change = new - old
                 if change.any():
                     beta[a] = new
                     fitted += self.gram[:, a] @ change
                     moved = max(moved, np.abs(change).max())
             if moved < tol:
-                break
+                v = c - fitted
+                v = (np.maximum(v, 0) if self.positive else v).reshape(self.n, self.width)
+                wants = np.sqrt((v * v).sum(axis=1)) > by
+                wants[turn] = False
+                if not (wants & self.usable).any():
+                    break
+                turn = sorted([*turn, *np.flatnonzero(wants & self.usable).tolist()])
+            elif self.positive and again and self._leap(c, by, beta):
+                fitted = self.gram @ beta
         return beta
 
+    def _leap(self, c: np.ndarray, by: float, beta: np.ndarray) -> bool:
+        """Newton step on the positive coordinates, in place, as far as they stay positive; only if it lowers the value."""
+        on = np.flatnonzero(beta > 0)
+        if not len(on):
+            return False
+        b, of = beta[on], on // self.width
+        same = of[:, None] == of[None, :]
+        length = np.sqrt(np.bincount(of, b * b, self.n))
+        unit, g = b / length[of], self.gram[np.ix_(on, on)]
+        pull = g @ b - c[on]
+        bend = g + by * same * (np.eye(len(on)) - np.outer(unit, unit)) / length[of][:, None]
+        bend[np.diag_indices(len(on))] += 1e-12 * bend.trace() / len(on)
+        try:
+            step = -np.linalg.solve(bend, pull + by * unit)
+        except np.linalg.LinAlgError:
+            return False
+        falls = step < 0
+        step = step * min(1.0, 0.95 * float((b[falls] / -step[falls]).min(initial=np.inf)))
+        new = b + step
+        gain = pull @ step + step @ (g @ step) / 2 + by * float((np.sqrt(np.bincount(of, new * new, self.n)) - length).sum())
+        if not gain < 0:
+            return False
+        beta[on] = new
+        return True
+
     def active(self, beta: np.ndarray) -> np.ndarray:
         return np.abs(beta).reshape(self.n, self.width).max(axis=1) > 0
 
@@ -79,65 +176,6 @@ class Groups:
         return max(1e-9, float((np.linalg.norm(v.reshape(self.n, self.width), axis=1) / self.weight).max(initial=0)))
 
 
-def solve_many(grams: np.ndarray, crosses: np.ndarray, lam: float, betas: np.ndarray, width: int = K, rounds: int = 150, tol: float = 1e-6) -> np.ndarray:
-    """:meth:`Groups.solve` (non-negative) of many problems (r, p, p), (r, p) at once."""
-    out = betas.copy()
-    by = lam * width**0.5
-    n = grams.shape[1] // width
-    spans = [slice(i * width, (i + 1) * width) for i in range(n)]
-    top = np.stack([np.linalg.eigvalsh(grams[:, a, a])[:, -1] for a in spans], axis=1)
-    steps = np.where(top > 1e-12, 1 / np.where(top > 1e-12, top, 1), 0.0)
-    live = np.arange(len(out))
-    g, c, beta = grams, crosses, out.copy()
-    fitted = np.einsum("rij,rj->ri", g, beta)
-    for _ in range(rounds):
-        moved = np.zeros(len(live))
-        for i, a in enumerate(spans):
-            own, old, step = g[:, a, a], beta[:, a], steps[live, i]
-            u = c[:, a] - fitted[:, a] + np.einsum("rij,rj->ri", own, old)
-            part = np.maximum(u, 0)
-            on = np.flatnonzero((np.sqrt((part * part).sum(axis=1)) > by) & (step > 0))
-            new = np.zeros_like(old)
-            if len(on):
-                new[on] = _groups_at_once(own[on], u[on], by, old[on], step[on])
-            change = new - old
-            size = np.abs(change).max(axis=1)
-            if size.any():
-                beta[:, a] = new
-                fitted += np.einsum("rij,rj->ri", g[:, :, a], change)
-                np.maximum(moved, size, out=moved)
-        going = moved >= tol
-        if not going.all():
-            out[live[~going]] = beta[~going]
-            live, g, c, beta, fitted = live[going], g[going], c[going], beta[going], fitted[going]
-        if not len(live):
-            return out
-    out[live] = beta
-    return out
-
-
-def _groups_at_once(g: np.ndarray, u: np.ndarray, lam: float, b: np.ndarray, step: np.ndarray, rounds: int = 80, tol: float = 1e-9) -> np.ndarray:
-    """:func:`_one_group` for many problems; each stops by itself."""
-    out, at = b.copy(), np.arange(len(b))
-    ahead, t, step = b, 1.0, step[:, None]
-    for _ in range(rounds):
-        v = np.maximum(ahead - step * (np.einsum("rij,rj->ri", g, ahead) - u), 0)
-        size = np.sqrt((v * v).sum(axis=1, keepdims=True))
-        new = v * np.maximum(0, 1 - step * lam / np.where(size > 0, size, 1))
-        t_new = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        change = new - b
-        ahead, t = new + (t - 1) / t_new * change, t_new
-        b = new
-        going = np.abs(change).max(axis=1) >= tol
-        if not going.all():
-            out[at[~going]] = b[~going]
-            at, g, u, b, ahead, step = at[going], g[going], u[going], b[going], ahead[going], step[going]
-            if not len(at):
-                return out
-    out[at] = b
-    return out
-
-
 def most_active(n_groups: int) -> int:
     return max(4, round((0.8 * n_groups) ** 0.5))
 

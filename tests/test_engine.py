@@ -11,7 +11,7 @@ from lagloom.functions.lag import CENTERS, kernel_weights
 from lagloom.functions.text import fold, normal_header, normal_name, normalize_column
 from lagloom.operators import baskets
 from lagloom.operators.exposure import exposure, lag_join
-from lagloom.operators.solver import Groups, nnls, orthonormal, residualise, solve_many
+from lagloom.operators.solver import Groups, nnls, orthonormal, residualise
 from lagloom.plans import simulate
 from lagloom.plans.analyze import analyze, vocabulary, whiten, Params
 
@@ -70,13 +70,32 @@ def test_group_lasso():
     beta = groups.solve(c, 0.15)
     assert groups.active(beta).tolist() == [False, True, False, False, False, False] and (beta >= 0).all()
     assert not groups.active(groups.solve(c, groups.largest(c) * 1.001)).any()
-    many = solve_many(np.stack([g, g * 1.1]), np.stack([c, c]), 0.15, np.zeros((2, 42)))
-    assert np.allclose(many[0], beta) and np.allclose(many[1], Groups(g * 1.1).solve(c, 0.15))
     t = orthonormal(g)
     signed = Groups(t.T @ g @ t, positive=False)
     assert signed.active(signed.solve(t.T @ c, 0.3)).tolist()[1]
 
 
+def test_group_lasso_is_optimal():
+    """Conditions of the least value hold, also where columns are nearly or wholly dependent."""
+    for seed in range(20):
+        r = np.random.default_rng(seed)
+        x = np.maximum(0, r.normal(size=(8 + 3 * seed, 35)).cumsum(axis=1))
+        x[:, 8] = x[:, 7]
+        g, c = x.T @ x / len(x), x.T @ (x[:, 7:14].sum(axis=1) + r.normal(size=len(x))) / len(x)
+        groups = Groups(g)
+        for share in (0.7, 0.3, 0.1, 0.03):
+            by = groups.largest(c) * share * 7**0.5
+            beta = groups.solve(c, by / 7**0.5)
+            slope = (c - g @ beta).reshape(5, 7)
+            assert (beta >= 0).all()
+            for b, v in zip(beta.reshape(5, 7), slope):
+                if b.any():
+                    left = v - by * b / np.linalg.norm(b)
+                    assert np.abs(left[b > 0]).max() < 1e-3 * by and left.max() < 1e-3 * by
+                else:
+                    assert np.linalg.norm(np.maximum(v, 0)) <= by * 1.001
+
+
 def test_nnls_against_active_sets():
     for seed in range(30):
         r = np.random.default_rng(seed)
