@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import csv
 import datetime
+import os
 import sys
 
 from .session import builder
@@ -64,7 +65,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.example:
         write_example(a.example[0], int(a.example[1]) if len(a.example) > 1 else 42, lang)
         return 0
-    spark = builder("local[*]").getOrCreate()
+    spark = builder("local[*]").config("spark.sql.shuffle.partitions", os.cpu_count() or 8).getOrCreate()
     if a.validate is not None:
         from .plans.evaluate import evaluate
         from .plans.simulate import READING_HOURS
@@ -72,7 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         for hours in ((), READING_HOURS):
             for days in a.validate or DURATIONS:
                 m = evaluate(spark, n_days=days, reading_hours=hours)
-                print(f"{days} days, {m['n_obs']:.0f} readings: recall {m['recall']:.0%}, precision {m['precision']:.0%}, delay error {m['err_lag_h'] or float('nan'):.1f} h")
+                print(f"{days} days, {m['n_obs']:.0f} readings: recall {m['recall']:.0%}, precision {m['precision']:.0%}, delay error {m['err_lag_h'] or float('nan'):.1f} h", flush=True)
         return 0
     from .plans.analyze import analyze
     from .plans.report import text
