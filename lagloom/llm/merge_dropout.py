@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import functools
 import heapq
+import itertools
 import re
 import zlib
 
@@ -18,8 +19,9 @@ from .common import mix64
 MARK = "▁"
 #: A unit: a run of marks and what follows up to the next. No piece reaches over a unit's end.
 _units = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
-VARIANTS = 8
-CACHE = 120_000
+#: Segmentations kept, and occurrences looked up at once.
+CACHE = 300_000
+SLICE = 1 << 17
 #: Units of more characters go through a heap, the others through matrices, many at once.
 SHORT = 64
 TOGETHER = 1024
@@ -102,30 +104,27 @@ class Vocabulary:
         return b"".join(self.bytes[b].to_bytes(4, "little") for b in raw)
 
 
+def points(place: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hash of a candidate's place and length in its unit."""
+    return mix64(place.astype(np.uint64) << np.uint64(32) | length.astype(np.uint64))
+
+
 def skips(keys: np.ndarray, place: np.ndarray, length: np.ndarray, limit: int) -> np.ndarray:
     """Whether the candidate at ``place`` of ``length`` characters is skipped, by keyed hash."""
-    point = place.astype(np.uint64) << np.uint64(32) | length.astype(np.uint64)
-    return (mix64(mix64(point) + keys) >> np.uint64(48)) < np.uint64(limit)
+    return (mix64(points(place, length) + keys) >> np.uint64(48)) < np.uint64(limit)
 
 
 def code_points(units: list[str], wide: int) -> np.ndarray:
     return np.frombuffer("".join([u.ljust(wide) for u in units]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), wide)
 
 
-def unit_keys(points: np.ndarray, sizes: np.ndarray, salt: int) -> np.ndarray:
-    """Hash of each unit and a salt, from its code points alone."""
-    place = np.arange(points.shape[1])
-    weights = mix64(place.astype(np.uint64) + np.uint64(1)) | np.uint64(1)
-    known = np.where(place < sizes[:, None], points.astype(np.uint64) + np.uint64(1), np.uint64(0))
-    return mix64((known * weights).sum(axis=1, dtype=np.uint64) + np.uint64(salt))
-
-
-def segment(unit: str, v: Vocabulary, limit: int = 0, salt: int = 0) -> list[str]:
+def segment(unit: str, v: Vocabulary, limit: int = 0, key: int = 0) -> list[str]:
     """Merges a unit's characters by an agenda, best score first, then leftmost.
 
-    A candidate that comes up is skipped if :func:`skips` says so; it is gone until a neighbour changes.
+    A candidate that comes up is skipped if :func:`skips` says so by the occurrence's key; it is gone
+    until a neighbour changes.
     """
-    parts, keys = list(unit), unit_keys(code_points([unit], len(unit)), np.array([len(unit)]), salt)
+    parts, keys = list(unit), np.array([key], np.uint64)
     n, agenda = len(parts), []
     after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
 
@@ -152,18 +151,25 @@ def segment(unit: str, v: Vocabulary, limit: int = 0, salt: int = 0) -> list[str
     return [p for p in parts if p]
 
 
-def segment_many(units: list[str], v: Vocabulary, limit: int, salt: int) -> list[bytes]:
+def segment_many(
+    units: list[str], v: Vocabulary, limit: int, key: int = 0, skipped: list[tuple[int, ...]] | None = None, seen: list | None = None
+) -> list[bytes]:
     """Ids (little-endian bytes) of units of at most SHORT characters: every unit's agenda at once.
 
-    Each round takes the best candidate of each unit, as :func:`segment` does one by one.
+    Each round takes the best candidate of each unit, as :func:`segment` does one by one. With ``skipped``
+    the candidates of these rounds are skipped instead of those that the key says; ``seen`` gets the rows
+    and the :func:`points` of each round's candidates.
     """
     n = len(units)
     sizes = np.fromiter(map(len, units), np.int64, n)
     wide = int(sizes.max())
-    points, place = code_points(units, wide), np.arange(wide)
-    keys = unit_keys(points, sizes, salt)
+    chars, place = code_points(units, wide), np.arange(wide)
+    keys, turn = np.array([key], np.uint64), 0
+    forced = np.zeros((n, 1 + max((s[-1] for s in skipped or () if s), default=-1)), bool)
+    if skipped:
+        forced[[r for r, s in enumerate(skipped) for _ in s], [t for s in skipped for t in s]] = True
     inside = place < sizes[:, None]
-    sym = np.where(inside, v.symbol[points], -1)
+    sym = np.where(inside, v.symbol[chars], -1)
     ranks, made = np.full((n, wide), _NEVER, np.int32), np.zeros((n, wide), np.int32)
     if wide > 1:
         r, m = v.join(sym[:, :-1].ravel(), sym[:, 1:].ravel())
@@ -180,8 +186,11 @@ def segment_many(units: list[str], v: Vocabulary, limit: int, salt: int) -> list
             break
         j = after[rows, i]
         both = length[rows, i] + length[rows, j]
-        if limit:
-            gone = skips(keys[rows], i, both, limit)
+        if seen is not None:
+            seen.append((rows, points(i, both)))
+        turn += 1
+        if limit if skipped is None else turn <= forced.shape[1]:
+            gone = skips(keys, i, both, limit) if skipped is None else forced[rows, turn - 1]
             ranks[rows[gone], i[gone]] = _NEVER
             at, i, j, both = rows[~gone], i[~gone], j[~gone], both[~gone]
         else:
@@ -209,66 +218,136 @@ def segment_many(units: list[str], v: Vocabulary, limit: int, salt: int) -> list
     return out
 
 
+class Segmentations:
+    """What becomes of units when certain candidates are skipped: a tree for each unit.
+
+    A node holds the candidates that come up after its last skip if no other is skipped, and the ids
+    that then result. Skipping one of these leads to a child. An occurrence goes down by its own key,
+    so its skips are its own, and only work that does not depend on the key is shared.
+    """
+
+    def __init__(self, v: Vocabulary, limit: int):
+        self.v, self.limit = v, limit
+        self.clear()
+
+    def clear(self) -> None:
+        self.roots: dict[str, int] = {}
+        self.units: list[str] = []
+        self.skipped: list[tuple[int, ...]] = []
+        self.ids: list[bytes] = []
+        self.used = 0
+        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.point, self.child, self.owner = np.zeros(1024, np.uint64), np.full(1024, -1, np.int32), np.zeros(1024, np.int32)
+
+    def _room(self, nodes: int, slots: int) -> None:
+        grown = lambda a, n, fill: np.concatenate([a, np.full(max(n, 2 * len(a)) - len(a), fill, a.dtype)])
+        if nodes > len(self.start):
+            self.start, self.count = grown(self.start, nodes, 0), grown(self.count, nodes, 0)
+        if slots > len(self.point):
+            self.point, self.child, self.owner = grown(self.point, slots, 0), grown(self.child, slots, -1), grown(self.owner, slots, 0)
+
+    def add(self, units: list[str], skipped: list[tuple[int, ...]]) -> np.ndarray:
+        """Nodes of units with the candidates of certain rounds skipped."""
+        first, n = len(self.units), len(units)
+        out = np.empty(n, np.int64)
+        order = sorted(range(n), key=lambda i: len(units[i]))
+        lengths, start = [len(units[i]) for i in order], 0
+        while start < n:
+            # like lengths go together, so that matrices hold little padding
+            end = min(start + 20_000, bisect.bisect_right(lengths, max(8, -(-lengths[start] * 3 // 2)), start))
+            part = order[start:end]
+            us, ss, seen = [units[i] for i in part], [skipped[i] for i in part], []
+            self.ids += segment_many(us, self.v, self.limit, 0, ss, seen)
+            nodes = np.arange(len(part)) + first + start
+            out[part] = nodes
+            rows = np.concatenate([r for r, _ in seen]) if seen else np.empty(0, np.int64)
+            turns = np.repeat(np.arange(len(seen)), [len(r) for r, _ in seen])
+            found = np.concatenate([p for _, p in seen]) if seen else np.empty(0, np.uint64)
+            late = turns > np.array([s[-1] if s else -1 for s in ss])[rows]
+            rows, found = rows[late], found[late]
+            by = np.argsort(rows, kind="stable")
+            count = np.bincount(rows, minlength=len(part))
+            self._room(first + end, self.used + len(by))
+            self.count[nodes], self.start[nodes] = count, self.used + np.cumsum(count) - count
+            self.point[self.used : self.used + len(by)] = found[by]
+            self.owner[self.used : self.used + len(by)] = nodes[rows[by]]
+            self.used += len(by)
+            self.units += us
+            self.skipped += ss
+            start = end
+        return out
+
+    def _children(self, slots: np.ndarray) -> None:
+        owners = self.owner[slots]
+        skipped = [self.skipped[o] for o in owners.tolist()]
+        turns = slots - self.start[owners] + np.array([s[-1] + 1 if s else 0 for s in skipped])
+        nodes = self.add([self.units[o] for o in owners.tolist()], [(*s, t) for s, t in zip(skipped, turns.tolist())])
+        self.child[slots] = nodes
+
+    def look_up(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        """Ids of each occurrence of a unit of at most SHORT characters."""
+        if len(self.units) > CACHE:
+            self.clear()
+        new = list({u for u in units if u not in self.roots})
+        if new:
+            self.roots.update(zip(new, self.add(new, [()] * len(new)).tolist()))
+        at = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
+        going = np.arange(len(units))
+        while self.limit and len(going):
+            count = self.count[at[going]]
+            ends = np.cumsum(count)
+            who = np.repeat(np.arange(len(going)), count)
+            slots = np.arange(len(who)) + (self.start[at[going]] - ends + count)[who]
+            hit = np.flatnonzero((mix64(self.point[slots] + keys[going][who]) >> np.uint64(48)) < np.uint64(self.limit))
+            who = who[hit]
+            first = np.ones(len(hit), bool)
+            first[1:] = who[1:] != who[:-1]
+            slots, going = slots[hit[first]], going[who[first]]
+            if len(missing := np.unique(slots[self.child[slots] < 0])):
+                self._children(missing)
+            at[going] = self.child[slots]
+        return [self.ids[i] for i in at.tolist()]
+
+
 class Encoder:
-    """Encodes texts; ids of units are kept per variant, of CACHE units at most."""
+    """Encodes texts; each occurrence of a unit has its own key of seed, document and place."""
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS):
-        self.v, self.seed, self.n = Vocabulary(path), seed, variants if dropout else 1
+    def __init__(self, path: str, dropout: float, seed: int):
+        self.v, self.seed = Vocabulary(path), seed
         self.limit = round(dropout * (1 << 16))
-        self.salts = [xxhash.xxh3_64_intdigest(f"{seed}:{i}") for i in range(self.n)]
-        self.caches: list[dict[str, bytes]] = [{} for _ in range(self.n)]
-
-    def _split(self, text: str, key: int | None) -> tuple[list[str], list[int]]:
-        """Units of a text, and the variant of each by the hash of seed, document and place."""
-        if not text:
-            return [], []
-        units = _units(MARK + text.replace(MARK, _OWN).replace(" ", MARK))
-        if self.n == 1:
-            return units, [0] * len(units)
+        self.kept = Segmentations(self.v, self.limit)
+
+    def units(self, text: str) -> list[str]:
+        return _units(MARK + text.replace(MARK, _OWN).replace(" ", MARK)) if text else []
+
+    def keys(self, key: int | None, n: int) -> np.ndarray:
         start = np.uint64(xxhash.xxh3_64_intdigest(f"{self.seed}:{key}"))
-        which = mix64(np.arange(len(units), dtype=np.uint64) + start) % np.uint64(self.n)
-        return units, which.tolist()
-
-    def _learn(self, w: int, units: list[str]) -> None:
-        cache, v = self.caches[w], self.v
-        units.sort(key=len)
-        short = bisect.bisect_right(units, SHORT, key=len)
-        start = 0
-        while start < short:
-            # like lengths go together, so that matrices hold little padding
-            most = max(8, -(-len(units[start]) * 3 // 2))
-            end = min(start + 20_000, bisect.bisect_right(units, most, start, short, key=len))
-            part = units[start:end]
-            cache.update(zip(part, segment_many(part, v, self.limit, self.salts[w])))
-            start = end
-        for u in units[short:]:
-            cache[u] = b"".join(map(v.coded, segment(u, v, self.limit, self.salts[w])))
+        return mix64(np.arange(n, dtype=np.uint64) + start)
+
+    def _coded(self, units: list[str], keys: np.ndarray) -> list[bytes]:
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        if not len(long := np.flatnonzero(sizes > SHORT)):
+            return self.kept.look_up(units, keys)
+        short = np.flatnonzero(sizes <= SHORT)
+        out: list[bytes] = [b""] * len(units)
+        for i, ids in zip(short.tolist(), self.kept.look_up([units[i] for i in short.tolist()], keys[short])):
+            out[i] = ids
+        for i in long.tolist():
+            out[i] = b"".join(map(self.v.coded, segment(units[i], self.v, self.limit, int(keys[i]))))
+        return out
 
     def encode_many(self, texts: list[str | None], keys: list[int | None]) -> list[np.ndarray]:
         """Ids of whole texts."""
         out = []
         for start in range(0, len(texts), TOGETHER):
-            split = [self._split(t or "", k) for t, k in zip(texts[start : start + TOGETHER], keys[start : start + TOGETHER])]
-            for cache in self.caches:
-                if len(cache) > CACHE:
-                    cache.clear()
-            get = [c.get for c in self.caches]
-            found = [[get[w](u) for w, u in zip(which, units)] for units, which in split]
-            holes = [at for at, got in enumerate(found) if None in got]
-            missing: list[set[str]] = [set() for _ in range(self.n)]
-            add = [m.add for m in missing]
-            for at in holes:
-                units, which = split[at]
-                for x, w, u in zip(found[at], which, units):
-                    if x is None:
-                        add[w](u)
-            for w, units in enumerate(missing):
-                if units:
-                    self._learn(w, list(units))
-            for at in holes:
-                units, which = split[at]
-                found[at] = [get[w](u) if x is None else x for x, w, u in zip(found[at], which, units)]
-            out += [np.frombuffer(b"".join(got), "<u4") for got in found]
+            split = [self.units(t or "") for t in texts[start : start + TOGETHER]]
+            units = list(itertools.chain.from_iterable(split))
+            each = np.concatenate([self.keys(k, len(u)) for k, u in zip(keys[start : start + TOGETHER], split)])
+            found: list[bytes] = []
+            for a in range(0, len(units), SLICE):
+                found += self._coded(units[a : a + SLICE], each[a : a + SLICE])
+            ends = list(itertools.accumulate(map(len, split)))
+            out += [np.frombuffer(b"".join(found[a:b]), "<u4") for a, b in zip([0, *ends], ends)]
         return out
 
     def encode(self, text: str | None, key: int | None) -> np.ndarray:
@@ -297,9 +376,9 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     """(doc_id, n_ids, ids, ids_crc32, lossless) per row: BPE-dropout by keyed hashes, over whole texts.
 
     Merges run in an agenda, best score first; a candidate that comes up is skipped with probability
-    ``dropout``, decided by a hash of seed, variant, unit, place and length. Each unit of a text takes
-    one of ``VARIANTS`` segmentations by a hash of seed, id and place, so the same row gives the same
-    ids on every run, and equal words differ within a text. With dropout 0 the ids are the model's own.
+    ``dropout``, decided by a hash of seed, id, the unit's place in the text, and the candidate's place and
+    length in the unit. So each occurrence of a unit has skips of its own, and the same row gives the same
+    ids on every run. With dropout 0 the ids are the model's own.
     ``lossless``: decoding the ids gave back the whole text.
 
     A mark (U+2581) in the text is written as bytes, so that it is not taken for a space. Null and

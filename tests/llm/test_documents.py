@@ -231,6 +231,23 @@ def test_merge_agendas_agree():
         assert many == [b"".join(map(v.coded, merge_dropout.segment(u, v, limit, 99))) for u in units]
 
 
+def test_merge_dropout_of_each_occurrence(monkeypatch):
+    monkeypatch.setattr(merge_dropout, "CACHE", 50)  # segmentations are dropped and made again
+    monkeypatch.setattr(merge_dropout, "SLICE", 100)
+    e = merge_dropout.Encoder(public_tokenizers.path("piece_bpe_32k.model"), 0.1, 1)
+    text = " ".join(random.Random(2).choices([*WORDS, "interdependence", "x" * 70, "日本語"], k=700))
+    units, keys = e.units(text), e.keys(7, 700)
+    want = b"".join(b"".join(map(e.v.coded, merge_dropout.segment(u, e.v, e.limit, int(k)))) for u, k in zip(units, keys))
+    assert e.encode(text, 7).tobytes() == want
+    # a unit with a single merge is split in a tenth of its places, and a longer one in more than eight ways
+    rare = next(p for p in e.v.rank if len(p) == 2 and p[0] == "▁" and p[1].isalpha())
+    single = [e.kept.look_up([rare] * 20_000, e.keys(i, 20_000)) for i in range(2)]
+    for ids in single:
+        assert 0.09 < np.mean([len(x) == 8 for x in ids]) < 0.11
+    assert single[0] != single[1]
+    assert len(set(e.kept.look_up(["▁interdependence"] * 20_000, e.keys(1, 20_000)))) > 30
+
+
 def test_packing(docs):
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
