@@ -46,7 +46,10 @@ class Codes:
 
     @classmethod
     def fit(cls, x: np.ndarray, rows: int, cosine: float, seed: int) -> "Codes":
-        """Width by the number of rows; tables until RECALL of partners at ``cosine`` share a key."""
+        """Width by the number of rows; tables until RECALL of partners at ``cosine`` share a key.
+
+        Where MOST_TABLES don't suffice, the width shrinks until they do. Width 0 is one bucket of all rows.
+        """
         unit = x / np.linalg.norm(x, axis=1)[:, None]
         mean = unit.mean(axis=0)
         width = min(40, max(4, math.ceil(math.log2(max(2, rows))) + 1))
@@ -54,15 +57,22 @@ class Codes:
         noise -= (noise * unit).sum(axis=1)[:, None] * unit
         length = np.linalg.norm(noise, axis=1)[:, None]
         partner = cosine * unit + math.sqrt(1 - cosine * cosine) * noise / np.where(length > 0, length, 1)
-        rotations, missed, table = [], np.ones(len(unit), bool), 0
-        equal = np.empty((len(unit), 0), bool)
-        while table < MOST_TABLES and missed.mean() > 1 - RECALL:
-            while equal.shape[1] < width:
-                r = learn_rotation(unit - mean, seed + len(rotations))
-                rotations.append(r)
-                equal = np.concatenate([equal, ((unit - mean) @ r >= 0) == ((partner - mean) @ r >= 0)], axis=1)
-            missed &= ~equal[:, :width].all(axis=1)
-            equal, table = equal[:, width:], table + 1
+        rotations: list[np.ndarray] = []
+        while True:
+            missed, table, used = np.ones(len(unit), bool), 0, 0
+            equal = np.empty((len(unit), 0), bool)
+            while table < MOST_TABLES and missed.mean() > 1 - RECALL:
+                while equal.shape[1] < width:
+                    if used == len(rotations):
+                        rotations.append(learn_rotation(unit - mean, seed + used))
+                    r, used = rotations[used], used + 1
+                    equal = np.concatenate([equal, ((unit - mean) @ r >= 0) == ((partner - mean) @ r >= 0)], axis=1)
+                missed &= ~equal[:, :width].all(axis=1)
+                equal, table = equal[:, width:], table + 1
+            if missed.mean() <= 1 - RECALL:
+                break
+            width -= 1
+        rotations = rotations[: max(1, used)]
         return cls(mean, rotations, width, table)
 
 
@@ -153,7 +163,8 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     (``SAMPLE_ROWS`` vectors with the smallest hash of their id, ``SAMPLE_VALUES`` numbers at most);
     all vectors are coded. Substrings of the codes key Hamming tables; their width follows the
     number of vectors, and there are as many as bring together RECALL of pairs at the threshold, as
-    measured on the sample. Within a bucket all pairs are reranked by their vectors, large buckets
+    measured on the sample; the width is narrowed where MOST_TABLES of that width don't reach it, so
+    that buckets grow and no links are given up. Within a bucket all pairs are reranked by their vectors, large buckets
     in pairs of blocks; a pair counts in the first table that has it. Tasks return degrees and a
     spanning set of links, never the pairs of a group.
 

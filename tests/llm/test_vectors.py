@@ -89,3 +89,14 @@ def test_near_vectors(spark, monkeypatch):
 def test_rotation_is_orthogonal():
     r = embed_dedup.learn_rotation(clustered().astype(float), 1)
     assert np.allclose(r @ r.T, np.eye(16))
+
+
+def test_tables_bring_pairs_together_despite_a_common_mean():
+    r = np.random.default_rng(4)
+    unit = lambda v: v / np.linalg.norm(v, axis=-1, keepdims=True)
+    x = unit(np.sqrt(0.9) * unit(r.normal(size=64)) + np.sqrt(0.1) * unit(r.normal(size=(1500, 64))))
+    codes = embed_dedup.Codes.fit(x[:1000], 100_000, 0.95, 1)
+    noise = r.normal(size=x.shape)
+    partner = 0.95 * x + np.sqrt(1 - 0.95**2) * unit(noise - (noise * x).sum(axis=1, keepdims=True) * x)
+    assert codes.tables <= embed_dedup.MOST_TABLES
+    assert (codes.keys(x) == codes.keys(partner)).any(axis=1).mean() > 0.98
