@@ -650,8 +650,8 @@ def _analyzed(s, d, **params):
 
 @query()
 def analyze_full(s, d):
-    """The whole analysis of all diaries of the event table, 20 replicates each."""
-    return _analyzed(s, d, replicates=20)[0]
+    """The whole analysis of all diaries of the event table."""
+    return _analyzed(s, d)[0]
 
 
 @query()
@@ -661,7 +661,7 @@ def selection_counts(s, d):
 
     setup = simulate.Setup(n_days=21, reading_hours=simulate.READING_HOURS)
     o, e, r = simulate.split(simulate.generate(s, 4, setup))
-    results, stats, _ = analyze(o, e, r, replicates=20)
+    results, stats, _ = analyze(o, e, r)
     return results.select("diary_id", "block", "frequency").join(stats.select("diary_id", "n_obs", "replicates"), "diary_id")
 
 

@@ -223,3 +223,14 @@ def test_queries_match_their_sql(spark, sf):
         cols = sorted(got.columns)
         want = c.sql(f"select {', '.join(cols)} from ({ORACLE[name]})").fetchall()
         assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select(*cols).collect()), name
+
+
+def test_registered_analyses_take_all_replicates(spark, sf, monkeypatch):
+    from lagloom.plans import analyze as module
+    from lagloom.plans.queries import QUERIES
+
+    assert {r["replicates"] for r in QUERIES["selection_counts"](spark, sf).collect()} == {200}
+    given = []
+    monkeypatch.setattr(module, "analyze", lambda o, e, **params: given.append(params) or (o, o, o))
+    QUERIES["analyze_full"](spark, sf)
+    assert module.Params(**given[0]).replicates == 200
