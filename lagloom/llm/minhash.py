@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, mix64, texts_as_bytes
+from .common import Workspace, connected_components, lean, mix64, texts_as_bytes
 
 BANDS, ROWS, BITS = 24, 4, 2
 K = BANDS * ROWS
@@ -19,7 +19,10 @@ WORDS64 = K * BITS // 64
 MARGIN = 0.25
 BLOCK = 1024
 PAIRS_PER_TASK = 512
-CACHE = 300_000
+#: Words whose hashes a task keeps.
+CACHE = 100_000
+#: Counters by which shingles are ordered from rare to frequent.
+SLOT_BITS = 20
 
 
 class _WordHash(dict):
@@ -33,6 +36,10 @@ class _WordHash(dict):
 _words = _WordHash()
 
 
+def forget() -> None:
+    _words.clear()
+
+
 def shingle_set(text: bytes, width: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles of a UTF-8 text.
 
@@ -208,63 +215,65 @@ def _near(rows, least: float):
         yield part[a], right[b], m[a, b]
 
 
-def _doubtful(least: float):
-    """(key, id) of rows that have a candidate in another component of their bucket."""
+def _candidates(least: float, num: int, den: int):
+    """Pairs (a, b), a < b, of different components in a block: signatures and set sizes allow the similarity."""
 
-    def made(key, rows):
+    def made(_, rows):
         import pyarrow as pa
 
-        some = [np.concatenate([a, b]) for a, b, _ in _near(rows, least) if len(a)]
-        if some:
-            ids = _column(rows, 3)[np.unique(np.concatenate(some))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key)), pa.array(ids)], ["key", "id"])
+        ids, size = _column(rows, 3), _column(rows, 6 + WORDS64)
+        for a, b, _m in _near(rows, least):
+            fits = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
+            pair = np.stack([ids[a[fits]], ids[b[fits]]], axis=1)
+            if len(pair):
+                pair = np.unique(np.sort(pair, axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
 
     return _by_block(made)
 
 
-def _joining(least: float, num: int, den: int):
-    """Confirmed links that join components within a block: candidates by falling estimate.
+def slots(shingles: np.ndarray) -> np.ndarray:
+    return (shingles >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def _slot_counts(batches):
+    """(slot, n): how many shingles of the sets fall on each counter."""
+    import pyarrow as pa
+
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    for batch in batches:
+        counts += np.bincount(slots(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)), minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
 
-    A pair is looked at in the first band that it shares, and only while its components are apart, so
-    a block of n components gives n - 1 links at most.
+
+def prefix(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The rarest shingles of a set, so many that two sets of similarity num / den share one of them.
+
+    Any order that all sets follow serves; rare shingles first keep passages that many documents share out.
     """
+    most = len(shingles) - -(-num * len(shingles) // den) + 1
+    return shingles[np.lexsort((shingles, counts[slots(shingles)]))[:most]]
+
+
+def _prefixes(counts, num: int, den: int):
+    """(key, id, comp, size) for each shingle in the prefix of a row (id, comp, shingles)."""
 
-    def made(key, rows):
+    def run(batches):
         import pyarrow as pa
 
-        found = [x for x in _near(rows, least) if len(x[0])]
-        if not found:
-            return
-        a, b, m = (np.concatenate(x) for x in zip(*found))
-        ids, comps = _column(rows, 3), _column(rows, 4).tolist()
-        bands = np.concatenate([r.column(6 + WORDS64).flatten().to_numpy() for r in rows]).reshape(-1, BANDS)
-        sets = [np.frombuffer(x, np.uint64) for r in rows for x in r.column(7 + WORDS64).to_pylist()]
-        band = int(np.flatnonzero(bands[a[0]] == key)[0])
-        apart = ids[a] != ids[b]
-        if band:
-            apart &= ~(bands[a, :band] == bands[b, :band]).any(axis=1)
-        size = np.array([len(x) for x in sets])
-        apart &= den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
-        a, b, m = a[apart], b[apart], m[apart]
-        parent = {c: c for c in comps}
-
-        def root(c):
-            while parent[c] != c:
-                parent[c] = c = parent[parent[c]]
-            return c
-
-        out = []
-        for at in np.argsort(-m, kind="stable").tolist():
-            i, j = int(a[at]), int(b[at])
-            p, q = root(comps[i]), root(comps[j])
-            if p != q and alike(sets[i], sets[j], num, den):
-                parent[q] = p
-                out.append((int(ids[i]), int(ids[j])))
-        if out:
-            x, y = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
+        for batch in batches:
+            sets = [np.frombuffer(x, np.uint64) for x in batch.column(2).to_pylist()]
+            found = [prefix(x, counts.value, num, den) for x in sets]
+            rows = np.repeat(np.arange(len(sets)), [len(x) for x in found])
+            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            size = np.array([len(x) for x in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys), *(pa.array(batch.column(i).to_numpy()[rows]) for i in (0, 1)), pa.array(size[rows])],
+                ["key", "id", "comp", "size"],
+            )
 
-    return _by_block(made)
+    return run
 
 
 def blocks_of(n: str, hashed: str, block: int):
@@ -291,11 +300,11 @@ def near_duplicates(
     each, 96 minima give 24 bands of 4 for the search and 2 low bits each for a packed signature.
     Candidates that agree in a band and whose bit count, corrected for chance, is not 5 standard
     deviations under ``similarity`` are confirmed on whole sets: first every member of a bucket with the
-    bucket's smallest id; then, where a bucket still holds several components, rows with a candidate
-    across these meet with their sets in one task per pair of blocks of the bucket, which tries
-    candidates by falling estimate while their components are apart and returns the links that join
-    them. So rows grow with the documents, never with the pairs of a group, and no link that would join
-    components is lost. A pair at the threshold shares no band with probability 3e-6.
+    bucket's smallest id, which joins groups of copies. Documents of buckets that still hold several
+    components (a shared passage brings unlike ones together) are split further by their rarest shingles,
+    of which two similar sets must share one; candidates are then those of different components under such a
+    shingle. So rows grow with the documents' lengths, not with the pairs of a bucket, and no link that would
+    join components is lost. A pair at the threshold shares no band with probability 3e-6.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing, kept. Null ids: component_id
     null, kept. Rows that share an id count as one document: linked, all with that id's component.
@@ -309,7 +318,7 @@ def near_duplicates(
     words = [f"s{i}" for i in range(WORDS64)]
     sigs = ws.save(
         base.mapInArrow(
-            _signatures(width, seed),
+            lean(_signatures(width, seed), forget),
             f"doc_id long, n_shingles long, fa long, fb long, {', '.join(f'{w} long' for w in words)}, bands array<long>",
         ),
         "signatures",
@@ -326,7 +335,7 @@ def near_duplicates(
     shared = ws.save(rows.join(heads, "key"), "shared")
     members = shared.select("id").distinct()
     sets = ws.save(
-        base.join(members, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(_sets(width), "id long, shingles binary"), "sets"
+        base.join(members, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lean(_sets(width), forget), "id long, shingles binary"), "sets"
     )
     marks = reps.select("id", *words)
 
@@ -342,7 +351,7 @@ def near_duplicates(
         )
         return ws.save(
             first.unionByName(partners).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
-            .mapInArrow(_confirm(num, den), "src long, dst long"),
+            .mapInArrow(lean(_confirm(num, den)), "src long, dst long"),
             name,
         )
 
@@ -366,27 +375,27 @@ def near_duplicates(
         shared.join(parts, shared.id == parts.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "now"
     )
 
-    def in_blocks(rows: DataFrame, extra: list[str]) -> DataFrame:
-        """Rows (key, id, comp, n, ...) dealt to the pairs of blocks of their bucket."""
-        return (
-            rows.withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
-            .select("key", "block.bi", "block.bj", "id", "comp", "block.side", *words, *extra)
-            .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
-        )
-
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-    doubtful = ws.save(
-        in_blocks(now.join(mixed, "key").join(marks, "id"), []).mapInArrow(_doubtful(least), "key long, id long").distinct(), "doubtful"
-    )
-    again = doubtful.join(doubtful.groupBy("key").agg(F.count("*").alias("n")), "key").join(now, ["key", "id"])
-    more = ws.save(
-        in_blocks(again.join(reps, "id").join(sets, "id"), ["bands", "shingles"])
-        .mapInArrow(_joining(least, num, den), "src long, dst long"),
-        "links1",
+    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    unsure = now.join(mixed, "key", "left_semi").select("id", "comp").distinct()
+    parted = ws.save(unsure.join(sets, "id").select("id", "comp", "shingles"), "parted")
+    counts = np.zeros(1 << SLOT_BITS, np.int64)
+    # one row for each counter at most
+    table = parted.select("shingles").mapInArrow(lean(_slot_counts), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts[table["slot"].to_numpy()] = table["n"].to_numpy()
+    sent = spark.sparkContext.broadcast(counts)
+    prefixes = ws.save(parted.mapInArrow(lean(_prefixes(sent, num, den)), "key long, id long, comp long, size long"), "prefixes")
+    crowded = prefixes.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
+    blocks = (
+        prefixes.join(crowded, "key").join(marks, "id")
+        .withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
+        .select("key", "block.bi", "block.bj", "id", "comp", "block.side", *words, "size")
+        .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
     )
+    again = ws.save(blocks.mapInArrow(lean(_candidates(least, num, den)), "a long, b long").distinct(), "pairs1")
+    more = confirmed(again, "links1")
     if not more.isEmpty():
         parts = connected_components(ws, links.unionByName(more), "cc1")
-    ws.drop("shared", "sets", "reps")
+    ws.drop("shared", "sets", "parted", "prefixes", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
         sigs.select("doc_id", "n_shingles", "fa", "fb")

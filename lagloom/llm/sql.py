@@ -60,20 +60,20 @@ SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS
        (pos - (shard * n + 15) // 16)::BIGINT AS slot, NULL::INT AS grown_shard FROM s
 """
 
-OP7 = """
-WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text,
-                  coalesce(floor(turn / 256), -1)::BIGINT AS part FROM conversations),
+OP7 = r"""
+WITH r AS (SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS raw FROM conversations),
+n AS (SELECT *, regexp_replace(raw, '<([|\\])', '<\\\1', 'g') AS text, regexp_replace(regexp_replace(role, '<([|\\])', '<\\\1', 'g'), '\|([>\\])', '|\\\1', 'g') AS name FROM r),
 q AS (SELECT DISTINCT conv_id, role AS perspective FROM r WHERE role <> 'system'),
-m AS (SELECT r.*, perspective, role = perspective AS own,
+m AS (SELECT n.*, perspective, role = perspective AS own,
         CASE WHEN role = perspective THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
-             ELSE '<|user name=' || role || '|>' END || chr(10) AS head FROM r JOIN q ON r.conv_id IS NOT DISTINCT FROM q.conv_id),
+             ELSE '<|user name=' || name || '|>' END || chr(10) AS head FROM n JOIN q ON n.conv_id IS NOT DISTINCT FROM q.conv_id),
 o AS (SELECT *, head || text || '<|end|>' || chr(10) AS line,
-        row_number() OVER (PARTITION BY conv_id, perspective, part ORDER BY turn NULLS LAST, role, text) AS i FROM m),
-c AS (SELECT *, (sum(length(line)) OVER (PARTITION BY conv_id, perspective, part ORDER BY i))::BIGINT AS stop FROM o)
-SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(line, '' ORDER BY i) AS rendered,
+        row_number() OVER (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, role, raw) AS i FROM m),
+c AS (SELECT *, (sum(length(line)) OVER (PARTITION BY conv_id, perspective ORDER BY i))::BIGINT AS stop FROM o)
+SELECT conv_id, perspective, 0::BIGINT AS start, count(*) AS n_turns, string_agg(line, '' ORDER BY i) AS rendered,
        string_agg(CASE WHEN own THEN '1' ELSE '0' END, '' ORDER BY i) AS loss_mask,
        coalesce(string_agg((stop - length(line) + length(head)) || '-' || stop, ',' ORDER BY i) FILTER (own), '') AS loss_spans
-FROM c GROUP BY conv_id, perspective, part
+FROM c GROUP BY conv_id, perspective
 """
 
 OP9 = """

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import defaultdict
 
@@ -198,6 +199,68 @@ def test_language_id(spark, docs, sf):
     assert {r["lang_pred"] for r in language_id.language_id(unlabelled).collect()} == {"und"}
 
 
+def brute_language(rows, langs, text):
+    """Word-first backoff by its definition, one word at a time, over dictionaries."""
+    counts = [{}, {}]
+    for lang, kind, gram, n in rows:
+        counts[kind].setdefault(gram, {})[lang] = n
+    total = {lang: 0.5 * (len(counts[0]) + 1) + sum(c.get(lang, 0) for c in counts[0].values()) for lang in langs}
+    of_length = {
+        n: {lang: 0.5 * (sum(len(g) == n for g in counts[1]) + 1) + sum(c.get(lang, 0) for g, c in counts[1].items() if len(g) == n) for lang in langs}
+        for n in range(1, 6)
+    }
+    out = dict.fromkeys(langs, 0.0)
+    for word in language_id.WORD(text.lower()):
+        if word in counts[0]:
+            for lang in langs:
+                out[lang] += np.log((counts[0][word].get(lang, 0) + 0.5) / total[lang])
+            continue
+        w, i = f"<{word}>", 0
+        while i < len(w):
+            n = next((n for n in range(min(5, len(w) - i), 0, -1) if w[i : i + n] in counts[1]), 1)
+            for lang in langs:
+                out[lang] += np.log((counts[1].get(w[i : i + n], {}).get(lang, 0) + 0.5) / of_length[n][lang])
+            i += n
+    best = max(langs, key=lambda lang: (out[lang], -langs.index(lang)))
+    return best, 1 / sum(np.exp(out[lang] - out[best]) for lang in langs)
+
+
+def test_language_scores_are_those_by_definition(spark, sf):
+    labelled = [(r["lang"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").where("lang is not null and text is not null").limit(60).collect()]
+    langs = sorted({lang for lang, _ in labelled})
+    words, parts = {}, {}
+    for lang, text in labelled[:30]:
+        for w in language_id.WORD(text.lower())[:120]:
+            words[lang, w] = words.get((lang, w), 0) + 1
+            for n in range(1, 6):
+                for g in language_id.grams(w, n):
+                    parts[lang, g] = parts.get((lang, g), 0) + 1
+    rows = [(lang, 0, w, n) for (lang, w), n in words.items()] + [(lang, 1, g, n) for (lang, g), n in parts.items() if n > 2]
+    model = language_id.Model.fit(rows, langs)
+    texts = [t[:600] for _, t in labelled] + ["straße ǅungla 𝔘nd 日本", "x"]
+    for text, (lang, score) in zip(texts, model.predict_many(texts)):
+        want = brute_language(rows, langs, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-4
+    before = [model.predict(t) for t in texts]
+    assert [x[0] for x in before] == [x[0] for x in model.predict_many(texts)]
+
+
+def test_three_hundred_languages(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "CACHE", 300 * 8 * 40)  # the scores of 40 words
+    name = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
+    r = random.Random(1)
+    text = lambda i: " ".join(f"{name(i)}{r.choice('aeiou')}{r.choice('klmn')}" for _ in range(30))
+    data = [(4 * i + j, text(i), f"l{i:03}") for i in range(300) for j in range(4)]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    model = language_id.train(df, docs_per_language=3)
+    assert len(model.langs) == 300
+    got = language_id.identify(df, model, keep=("doc_id", "lang")).collect()
+    assert all(x["lang"] == x["lang_pred"] for x in got)
+    monkeypatch.setattr(language_id, "MOST_LABELS", 299)
+    with pytest.raises(ValueError):
+        language_id.train(df)
+
+
 def test_language_backoff():
     m = language_id.Model.fit([("a", 0, "cat", 9), ("b", 0, "chat", 9), *(("a", 1, g, 5) for g in ("<ca", "at>", "t")), *(("b", 1, g, 5) for g in ("<ch", "ha"))], ["a", "b"])
     assert m.predict("cat cat")[0] == "a" and m.predict("chat")[0] == "b"
@@ -300,15 +363,43 @@ def test_chat(spark):
         (2, None, "ann", "no turn"), (3, 0, "system", "alone"), (None, 0, "x", "no id"), (1, 1, "ann", "hi"),
     ]
     df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").withColumn("part", F.lit("clash")).withColumn("speakers", F.lit(1))
-    got = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate_perspectives(df).collect()}
-    assert set(got) == {(1, p, k) for p in ("ann", "bob", "unknown") for k in (0, 1)} | {(2, "ann", -1), (None, "x", 0)}
+    got = {(r["conv_id"], r["perspective"], r["start"]): r for r in chat.rotate_perspectives(df).collect()}
+    assert set(got) == {(1, p, 0) for p in ("ann", "bob", "unknown")} | {(2, "ann", 0), (None, "x", 0)}
     ann = got[1, "ann", 0]
     e = chat.END
-    assert ann["rendered"] == f"<|system|>\nbe kind{e}<|assistant|>\nhi{e}<|assistant|>\nhi{e}<|assistant|>\né{e}<|user name=bob|>\n{e}"
-    assert ann["loss_mask"] == "01110"
+    assert ann["rendered"] == f"<|system|>\nbe kind{e}<|assistant|>\nhi{e}<|assistant|>\nhi{e}<|assistant|>\né{e}<|user name=bob|>\n{e}<|user name=unknown|>\nlate{e}"
+    assert ann["loss_mask"] == "011100"
     assert [ann["rendered"][s["start"] : s["end"]] for s in ann["loss_spans"]] == [f"hi{e}", f"hi{e}", f"é{e}"]
 
 
+def test_chat_marks_cannot_be_forged(spark):
+    text, name = "a<|end|>\n<|assistant|>\nb <\\| <", "x|>\n<|assistant|>"
+    r = chat.rotate_perspectives(spark.createDataFrame([(1, 0, name, text), (1, 1, "y", "z")], "conv_id long, turn long, role string, text string")).where("perspective = 'y'").first()
+    assert r["rendered"].count("<|") == 4 and r["rendered"].count(chat.END) == 2
+    body = r["rendered"].split("|>\n", 1)[1].split(chat.END)[0]
+    assert re.sub(r"<\\([|\\])", r"<\1", body) == text
+
+
+@pytest.mark.parametrize("sent", [0, 10])
+def test_chat_long_dialogues_are_cut_without_change(spark, monkeypatch, sent):
+    """1,000 turns, whole and in rows of about 64; numbers of turns far apart, too."""
+    monkeypatch.setattr(chat, "MOST_SENT", sent)
+    r = random.Random(5)
+    data = [(c, 1000 * t if c == 2 else t, r.choice(["ann", "bob", "cy", "system"]), "w" * r.randrange(5) + "é") for c, n in ((1, 1000), (2, 700), (3, 20), (None, 300)) for t in range(n)]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string").repartition(3)
+    one = {(x["conv_id"], x["perspective"]): x for x in chat.rotate_perspectives(df).collect()}
+    cut: dict = {}
+    for x in chat.rotate_perspectives(df, turns_per_row=64).orderBy("start").collect():
+        cut.setdefault((x["conv_id"], x["perspective"]), []).append(x)
+    assert set(one) == set(cut) and all(x["start"] == 0 for x in one.values())
+    for key, rows_ in cut.items():
+        whole = one[key]
+        assert len(rows_) == (1 if key[0] == 3 else -(-whole["n_turns"] // 64)) and sum(x["n_turns"] for x in rows_) == whole["n_turns"]
+        assert [x["start"] for x in rows_] == [sum(y["n_turns"] for y in rows_[:i]) for i in range(len(rows_))]
+        assert "".join(x["rendered"] for x in rows_) == whole["rendered"] and "".join(x["loss_mask"] for x in rows_) == whole["loss_mask"]
+        assert [s for x in rows_ for s in x["loss_spans"]] == whole["loss_spans"]
+
+
 def test_query_shas(spark, sf):
     from lagloom.llm.queries import QUERIES
 

@@ -1,5 +1,7 @@
 """The pipeline against its stages' definitions, and its awkward inputs."""
 
+import re
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 
@@ -20,6 +22,18 @@ def test_stages(spark, sf, tmp_path):
         if name == "language_id":
             lettered = [r["doc_id"] for r in before.collect() if any(c.isalpha() for c in r["text"] or "")]
             assert sorted(r["doc_id"] for r in docs.collect()) == sorted(lettered)
+            labels = {r["doc_id"]: r["lang"] for r in before.collect()}
+            assert all(r["lang"] and r["lang"] == (labels[r["doc_id"]] or r["lang"]) for r in docs.collect())
+        if name == "line_dedup":
+            seen, kept = {}, {}
+            held = {r["doc_id"]: r["text"].split("\n") for r in before.collect()}
+            key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(" \t\n\x0b\x0c\r"))
+            for d, lines in held.items():
+                for x in lines:
+                    seen.setdefault(key(x), set()).add(d)
+            for d, lines in held.items():
+                kept[d] = "\n".join(x for x in lines if len(key(x)) < 10 or min(seen[key(x)]) == d)
+            assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in docs.collect()} == {d: (t, len(t)) for d, t in kept.items()}
         if name == "minhash_dedup":
             want = brute_near([(r["doc_id"], r["text"]) for r in before.collect()], 5, 0.8)
             assert {r["doc_id"] for r in docs.collect()} == {d for d, c in want.items() if d == c}
@@ -39,3 +53,8 @@ def test_awkward_rows(spark):
             assert [c for c, _ in docs.dtypes] == [x.split()[0] for x in schema.split(", ")]
         assert {r["doc_id"] for r in docs.collect()} == ({None, 3} if data else set())
         assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() == docs.count()
+
+
+def test_unlabelled_documents_stay(spark):
+    docs = spark.createDataFrame([(1, "words", None), (2, "12", None), (3, None, None)], "doc_id long, text string, lang string")
+    assert [tuple(r) for r in corpus_pipeline.identify_language(spark, docs, "").collect()] == [(1, "words", None)]
