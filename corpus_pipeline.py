@@ -17,14 +17,27 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a language: null text, or no letter. Learns from the labelled rows."""
+    """Rejects documents without a language (null text, or no letter) and gives a language to those without a label.
+
+    Learns from the labelled rows. A null ``lang`` becomes the predicted one; labels that are there stay. Without any labelled
+    row nothing is learned: documents with a letter are kept as they are. Null ids, repeated and long texts: as any other;
+    ties go to the language first in order. An empty table gives an empty result.
+    """
     plain, names = numbered(docs)
-    out = language_id.identify(plain, language_id.train(docs), names["text"], tuple(plain.columns))
-    return out.where("lang_pred <> 'und'").select(*(F.col(n).alias(c) for c, n in names.items()))
+    model = language_id.train(docs)
+    out = language_id.identify(plain, model, names["text"], tuple(plain.columns))
+    if not model.langs:
+        return out.where(F.col(names["text"]).rlike(r"\p{L}")).select(*(F.col(n).alias(c) for c, n in names.items()))
+    new = {"lang": F.coalesce(names["lang"], "lang_pred")}
+    return out.where("lang_pred <> 'und'").select(*(new.get(c, F.col(n)).alias(c) for c, n in names.items()))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that an earlier document holds; n_chars follows."""
+    """Texts without the lines that an earlier document holds; n_chars follows.
+
+    A line stays in the smallest id that holds it. Null texts become empty; rows with a null id keep their lines, rows that
+    share an id never drop each other's. All rows stay, also where no line is left. An empty table gives an empty result.
+    """
     plain, names = numbered(docs)
     own = tuple(n for c, n in names.items() if c not in ("doc_id", "text"))
     out = line_dedup.dedup_lines(plain, names["doc_id"], names["text"], carry=own)
@@ -34,14 +47,22 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the smallest id, of each group of near duplicates: five words, similarity 0.8."""
+    """One document, the smallest id, of each group of near duplicates: five words, similarity 0.8.
+
+    Texts without words are near nothing and stay, as do rows with a null id; rows that share an id stay or go together.
+    An empty table gives an empty result.
+    """
     found = minhash.near_duplicates(docs, width=5, similarity=0.8)
     gone = found.where("not kept").select(F.col("doc_id").alias("gone")).distinct()
     return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of at most 4096 tokens, best fit decreasing."""
+    """Sequences of at most 4096 tokens, best fit decreasing.
+
+    Null and empty texts are one end id each; null ids and repeated rows are documents each; only longer documents are cut.
+    An empty table gives an empty result.
+    """
     return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), size=4096, end_id=1)
 
 
