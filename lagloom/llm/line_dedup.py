@@ -1,4 +1,4 @@
-"""Line dedup: sharded minimal perfect hash over the hashes of repeated lines."""
+"""Line dedup: sharded minimal perfect hash over the hashes of distinct lines."""
 
 from __future__ import annotations
 
@@ -7,14 +7,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, mix64, texts_as_bytes
+from .common import Workspace, lean, mix64, partitions, texts_as_bytes
 
 #: What counts as white space at a line's ends.
 SPACE = b" \t\n\x0b\x0c\r"
-KEYS_PER_SHARD = 200_000
-LINES_PER_TASK = 200_000
-#: Shards that one index has at most; beyond, shards get larger.
-MOST_SHARDS = 65_536
+#: Keys of a shard, and lines that one task probes with, at most, about; at least, where all cores have work.
+KEYS_PER_SHARD, LINES_PER_TASK = 200_000, 1_000_000
+LEAST_KEYS, LEAST_LINES = 2_000, 5_000
+#: Shards with many lines of which a table is broadcast; more are joined.
+MOST_SENT = 1_000_000
 
 
 def line_key(line: bytes, least: int) -> bytes | None:
@@ -97,6 +98,10 @@ def _lines(least: int):
     return keys
 
 
+def prints(lo: np.ndarray) -> np.ndarray:
+    return lo.view(np.uint64).astype(np.uint32)
+
+
 def _index(batches):
     import pyarrow as pa
 
@@ -105,7 +110,7 @@ def _index(batches):
         mph = PerfectHash.build(hi.view(np.uint64), lo.view(np.uint64))
         at = mph.find(hi.view(np.uint64), lo.view(np.uint64))
         arrays = []
-        for x in (lo, n, owner):
+        for x in (prints(lo), np.minimum(n, 2**32 - 1).astype(np.uint32), owner):
             y = np.empty_like(x)
             y[at] = x
             arrays.append(y.tobytes())
@@ -130,21 +135,21 @@ def _index(batches):
         yield built(now, rows)
 
 
-_INDEX = "shard int, sizes binary, bits binary, prints binary, counts binary, owners binary, load long"
+_INDEX = "shard long, sizes binary, bits binary, prints binary, counts binary, owners binary, load long"
 
 
 def _index_arrow():
     import pyarrow as pa
 
     return pa.schema(
-        [("shard", pa.int32()), *((x, pa.binary()) for x in ("sizes", "bits", "prints", "counts", "owners")), ("load", pa.int64())]
+        [("shard", pa.int64()), *((x, pa.binary()) for x in ("sizes", "bits", "prints", "counts", "owners")), ("load", pa.int64())]
     )
 
 
 def _probe(batches):
     import pyarrow as pa
 
-    mph = prints = counts = owners = None
+    mph = held = counts = owners = None
     now = None
     for batch in batches:
         routes, roles = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -155,15 +160,15 @@ def _probe(batches):
             if roles[start] == 0:
                 row = {k: v[0] for k, v in batch.slice(start, 1).to_pydict().items()}
                 mph = PerfectHash(np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["bits"], np.uint64))
-                prints, counts, owners = (np.frombuffer(row[x], np.int64) for x in ("prints", "counts", "owners"))
+                held, counts, owners = (np.frombuffer(row[x], t) for x, t in (("prints", np.uint32), ("counts", np.uint32), ("owners", np.int64)))
                 now = int(routes[start])
                 continue
             if now != int(routes[start]):
-                continue  # a shard without repeated lines has no index
+                continue
             part = batch.slice(start, end - start)
             hi, lo, doc = (part.column(i).to_numpy() for i in (2, 3, 4))
             at = mph.find(hi.view(np.uint64), lo.view(np.uint64))
-            drop = (at >= 0) & (prints[at] == lo)
+            drop = (at >= 0) & (held[at] == prints(lo))
             drop &= (counts[at] > 1) & (owners[at] != doc)
             if drop.any():
                 yield pa.RecordBatch.from_arrays(
@@ -205,11 +210,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Drop lines that an earlier document holds: (doc_id, n_lines, n_dropped, kept_text, *carry) per row.
 
     A line's key (white space stripped, A-Z lower-cased, ``min_chars`` code points at least) that
-    two documents hold stays in the smallest id only. Keys held by two documents go, by hash, into
-    shards; each shard is a minimal perfect hash that points into arrays of 64-bit fingerprints,
+    two documents hold stays in the smallest id only. All distinct keys go, by hash, into
+    shards; each shard is a minimal perfect hash that points into arrays of 32-bit fingerprints,
     document counts and owners. Distinct line hashes of the documents are sent to their shard and
-    probe its arrays; a shard whose lines are many (a hot line) is copied to more tasks in
-    proportion to its load, so that no task probes much over ``LINES_PER_TASK`` of repeated lines.
+    probe its arrays, whose counts decide; a shard whose lines are many (a hot line) is copied to more tasks in
+    proportion to its load, so that no task probes with much over ``LINES_PER_TASK`` lines.
 
     Null or empty text: one empty line, kept_text empty. Null ids: the row is returned as it is and
     owns no line. Rows that share an id are one document: they never drop each other's lines.
@@ -224,31 +229,30 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         *(F.col(c).alias(o) for c, o in zip(carry, own)),
     )
     named = base.where("doc_id is not null")
-    lines = ws.save(named.select("doc_id", "text").mapInArrow(_lines(min_chars), "hi long, lo long, doc_id long"), "lines")
-    repeated = ws.save(
-        lines.groupBy("hi", "lo")
-        .agg(F.count("*").alias("n"), F.min("doc_id").alias("owner"), F.max("doc_id").alias("last"))
-        .where("owner < last")
-        .select("hi", "lo", "n", "owner"),
-        "keys",
-    )
-    n_shards = min(MOST_SHARDS, max(1, -(-repeated.count() // KEYS_PER_SHARD)))
-    shard = F.pmod(F.xxhash64("hi"), F.lit(n_shards)).cast("int")
+    lines = ws.save(named.select("doc_id", "text").mapInArrow(lean(_lines(min_chars)), "hi long, lo long, doc_id long"), "lines")
+    distinct = ws.save(lines.groupBy("hi", "lo").agg(F.count("*").alias("n"), F.min("doc_id").alias("owner")), "keys")
+    # sizes follow the data; only where that would leave cores idle, shards and tasks are smaller
+    n_keys, n_lines, spread = distinct.count(), lines.count(), 4 * partitions(spark)
+    n_shards = max(1, -(-n_keys // KEYS_PER_SHARD), min(spread, n_keys // LEAST_KEYS))
+    each_task = min(LINES_PER_TASK, max(LEAST_LINES, n_lines // spread))
+    shard = F.pmod(F.xxhash64("hi"), F.lit(n_shards))
     index = ws.save(
-        repeated.select(shard.alias("shard"), "hi", "lo", "n", "owner")
-        .repartition("shard").sortWithinPartitions("shard").mapInArrow(_index, _INDEX),
+        distinct.select(shard.alias("shard"), "hi", "lo", "n", "owner")
+        .repartition("shard").sortWithinPartitions("shard").mapInArrow(lean(_index), _INDEX),
         "index",
     )
-    # one row a shard: MOST_SHARDS rows of 12 bytes at most
-    copies = index.select("shard", F.ceil(F.col("load") / LINES_PER_TASK).cast("int").alias("copies"))
-    route = lambda copy: F.col("shard").cast("long") * (1 << 32) + copy
-    asked = lines.withColumn("shard", shard).join(F.broadcast(copies), "shard").select(
-        route(F.pmod(F.xxhash64("doc_id"), F.col("copies"))).alias("route"),
+    # one row for each task beyond a shard's first
+    crowded = index.select("shard", F.ceil(F.col("load") / each_task).cast("int").alias("copies")).where("copies > 1")
+    crowded = F.broadcast(crowded) if crowded.count() <= MOST_SENT else crowded
+    copies = F.coalesce("copies", F.lit(1))
+    route = lambda copy: F.col("shard") * (1 << 24) + copy
+    asked = lines.withColumn("shard", shard).join(crowded, "shard", "left").select(
+        route(F.pmod(F.xxhash64("doc_id"), copies)).alias("route"),
         F.lit(1).alias("role"), "hi", "lo", "doc_id",
         *(F.lit(None).cast("binary").alias(x) for x in ("sizes", "bits", "prints", "counts", "owners")),
     )
-    each = F.explode(F.sequence(F.lit(0), F.col("copies") - 1))
-    held = index.join(F.broadcast(copies), "shard").withColumn("copy", each).select(
+    each = F.explode(F.sequence(F.lit(0), copies - 1))
+    held = index.join(crowded, "shard", "left").withColumn("copy", each).select(
         route(F.col("copy")).alias("route"),
         F.lit(0).alias("role"),
         *(F.lit(None).cast("long").alias(x) for x in ("hi", "lo", "doc_id")),
@@ -257,7 +261,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     drops = (
         held.unionByName(asked)
         .repartition("route").sortWithinPartitions("route", "role")
-        .mapInArrow(_probe, "doc_id long, hi long, lo long")
+        .mapInArrow(lean(_probe), "doc_id long, hi long, lo long")
         .groupBy("doc_id").agg(F.collect_list("hi").alias("his"), F.collect_list("lo").alias("los"))
     )
     none = F.lit(None).cast("array<long>")
@@ -265,6 +269,6 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     unnamed = base.where("doc_id is null").select("doc_id", "text", none.alias("his"), none.alias("los"), *own)
     kinds = dict(base.dtypes)
     out = ["doc_id long, n_lines long, n_dropped long, kept_text string", *(f"{o} {kinds[o]}" for o in own)]
-    return joined.unionByName(unnamed).mapInArrow(_apply(min_chars), ", ".join(out)).select(
+    return joined.unionByName(unnamed).mapInArrow(lean(_apply(min_chars)), ", ".join(out)).select(
         "doc_id", "n_lines", "n_dropped", "kept_text", *(F.col(o).alias(c) for c, o in zip(carry, own))
     )

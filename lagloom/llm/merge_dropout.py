@@ -14,14 +14,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64
+from .common import lean, mix64
 
 MARK = "▁"
 #: A unit: a run of marks and what follows up to the next. No piece reaches over a unit's end.
 _units = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+").findall
 #: Segmentations kept, and occurrences looked up at once.
-CACHE = 300_000
-SLICE = 1 << 17
+CACHE = 500_000
+SLICE = 1 << 20
 #: Units of more characters go through a heap, the others through matrices, many at once.
 SHORT = 64
 TOGETHER = 1024
@@ -62,6 +62,10 @@ class Vocabulary:
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.symbol[ord(p)] = i
+        self.byte_ids = np.array([self.bytes[b] for b in range(256)], np.int64)
+        parts = [self.out.get(i, b"") for i in range(self.size)]
+        self.out_sizes = np.array([len(x) for x in parts], np.int64)
+        self.out_start, self.out_flat = np.cumsum(self.out_sizes) - self.out_sizes, np.frombuffer(b"".join(parts), np.uint8)
         self._fill()
 
     def _symbol(self, part: str) -> int | None:
@@ -104,18 +108,19 @@ class Vocabulary:
         return b"".join(self.bytes[b].to_bytes(4, "little") for b in raw)
 
 
-def points(place: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of a candidate's place and length in its unit."""
-    return mix64(place.astype(np.uint64) << np.uint64(32) | length.astype(np.uint64))
+#: Candidates whose skips one draw decides, and the lowest bit that is set in a byte (8 for none).
+LANES = 8
+_LOWEST = np.array([(x & -x).bit_length() - 1 if x else LANES for x in range(256)], np.int64)
 
 
-def skips(keys: np.ndarray, place: np.ndarray, length: np.ndarray, limit: int) -> np.ndarray:
-    """Whether the candidate at ``place`` of ``length`` characters is skipped, by keyed hash."""
-    return (mix64(points(place, length) + keys) >> np.uint64(48)) < np.uint64(limit)
+def skips(keys: np.ndarray, block, limit: int) -> np.ndarray:
+    """Bit j of an occurrence's byte: whether the candidate that comes up in turn 8 * block + j is skipped.
 
-
-def code_points(units: list[str], wide: int) -> np.ndarray:
-    return np.frombuffer("".join([u.ljust(wide) for u in units]).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(units), wide)
+    Each candidate has 16 bits of a hash of the occurrence's key and its turn, and is skipped where they are under ``limit``.
+    """
+    at = np.uint64(2) * np.atleast_1d(np.asarray(block, np.uint64))
+    both = np.stack([mix64(keys + np.uint64(0x9E3779B97F4A7C15) * (at + np.uint64(i))) for i in (1, 2)], axis=-1)
+    return np.packbits(both.view(np.uint16).reshape(*both.shape[:-1], LANES) < limit, axis=-1, bitorder="little")[..., 0]
 
 
 def segment(unit: str, v: Vocabulary, limit: int = 0, key: int = 0) -> list[str]:
@@ -125,7 +130,7 @@ def segment(unit: str, v: Vocabulary, limit: int = 0, key: int = 0) -> list[str]
     until a neighbour changes.
     """
     parts, keys = list(unit), np.array([key], np.uint64)
-    n, agenda = len(parts), []
+    n, agenda, turn, mask = len(parts), [], -1, 0
     after, prior = list(range(1, n + 1)), list(range(-1, n - 1))
 
     def offer(i: int, j: int) -> None:
@@ -139,8 +144,12 @@ def segment(unit: str, v: Vocabulary, limit: int = 0, key: int = 0) -> list[str]
         _, i, j, joined = heapq.heappop(agenda)
         if not parts[i] or after[i] != j or parts[i] + parts[j] != joined:
             continue
-        if limit and skips(keys, np.array([i]), np.array([len(joined)]), limit)[0]:
-            continue
+        turn += 1
+        if limit:
+            if turn % LANES == 0:
+                mask = int(skips(keys, turn // LANES, limit)[0])
+            if mask >> turn % LANES & 1:
+                continue
         parts[i], parts[j] = joined, ""
         after[i] = k = after[j]
         if k < n:
@@ -151,23 +160,14 @@ def segment(unit: str, v: Vocabulary, limit: int = 0, key: int = 0) -> list[str]
     return [p for p in parts if p]
 
 
-def segment_many(
-    units: list[str], v: Vocabulary, limit: int, key: int = 0, skipped: list[tuple[int, ...]] | None = None, seen: list | None = None
-) -> list[bytes]:
+def segment_many(chars: np.ndarray, sizes: np.ndarray, v: Vocabulary, forced: np.ndarray, came: np.ndarray) -> list[bytes]:
     """Ids (little-endian bytes) of units of at most SHORT characters: every unit's agenda at once.
 
-    Each round takes the best candidate of each unit, as :func:`segment` does one by one. With ``skipped``
-    the candidates of these rounds are skipped instead of those that the key says; ``seen`` gets the rows
-    and the :func:`points` of each round's candidates.
+    ``chars`` holds a unit's code points in a row. Each round takes the best candidate of each unit, as :func:`segment` does
+    one by one, and skips it in the turns that ``forced`` marks. ``came`` gets how many candidates came up.
     """
-    n = len(units)
-    sizes = np.fromiter(map(len, units), np.int64, n)
-    wide = int(sizes.max())
-    chars, place = code_points(units, wide), np.arange(wide)
-    keys, turn = np.array([key], np.uint64), 0
-    forced = np.zeros((n, 1 + max((s[-1] for s in skipped or () if s), default=-1)), bool)
-    if skipped:
-        forced[[r for r, s in enumerate(skipped) for _ in s], [t for s in skipped for t in s]] = True
+    n, wide = chars.shape
+    turn, place = 0, np.arange(wide)
     inside = place < sizes[:, None]
     sym = np.where(inside, v.symbol[chars], -1)
     ranks, made = np.full((n, wide), _NEVER, np.int32), np.zeros((n, wide), np.int32)
@@ -176,7 +176,6 @@ def segment_many(
         ranks[:, :-1] = np.where(inside[:, 1:], r.reshape(n, -1), _NEVER)
         made[:, :-1] = m.reshape(n, -1)
     after, prior = np.tile(place + 1, (n, 1)), np.tile(place - 1, (n, 1))
-    length = inside.astype(np.int64)
     rows = np.arange(n)
     while len(rows):
         i = ranks[rows].argmin(axis=1)
@@ -184,20 +183,16 @@ def segment_many(
         rows, i = rows[going], i[going]
         if not len(rows):
             break
-        j = after[rows, i]
-        both = length[rows, i] + length[rows, j]
-        if seen is not None:
-            seen.append((rows, points(i, both)))
-        turn += 1
-        if limit if skipped is None else turn <= forced.shape[1]:
-            gone = skips(keys, i, both, limit) if skipped is None else forced[rows, turn - 1]
+        came[rows] += 1
+        at = rows
+        if turn < forced.shape[1]:
+            gone = forced[rows, turn]
             ranks[rows[gone], i[gone]] = _NEVER
-            at, i, j, both = rows[~gone], i[~gone], j[~gone], both[~gone]
-        else:
-            at = rows
+            at, i = rows[~gone], i[~gone]
+        turn += 1
+        j = after[at, i]
         sym[at, i], sym[at, j] = made[at, i], -1
         ranks[at, i] = ranks[at, j] = _NEVER
-        length[at, i] = both
         k = after[at, j]
         after[at, i] = k
         right = k < sizes[at]
@@ -209,21 +204,28 @@ def segment_many(
         r, x, y = at[left], p[left], i[left]
         ranks[r, x], made[r, x] = v.join(sym[r, x], sym[r, y])
     held = sym >= 0
-    blob = sym[held].astype("<u4").tobytes()
-    ends = (4 * np.cumsum(held.sum(axis=1))).tolist()
-    out = [blob[a:b] for a, b in zip([0, *ends], ends)]
-    for row in np.flatnonzero((sym >= v.size).any(axis=1)).tolist():
-        parts = [(v.pieces[x] if x < v.size else chr(x - v.size)) for x in sym[row][held[row]].tolist()]
-        out[row] = b"".join(map(v.coded, parts))
-    return out
+    found, per_row = sym[held], held.sum(axis=1)
+    if (odd := found >= v.size).any():
+        # characters without a piece become their bytes
+        points = found[odd] - v.size
+        points[points == ord(_OWN)] = ord(MARK)
+        width = np.ones(len(found), np.int64)
+        width[odd] += (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        rows = np.repeat(np.arange(n), per_row)
+        per_row = np.bincount(rows, weights=width, minlength=n).astype(np.int64)
+        odd, found = np.repeat(odd, width), np.repeat(found, width)
+        found[odd] = v.byte_ids[np.frombuffer("".join(map(chr, points.tolist())).encode(), np.uint8)]
+    blob = found.astype("<u4").tobytes()
+    ends = (4 * np.cumsum(per_row)).tolist()
+    return [blob[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Segmentations:
     """What becomes of units when certain candidates are skipped: a tree for each unit.
 
-    A node holds the candidates that come up after its last skip if no other is skipped, and the ids
-    that then result. Skipping one of these leads to a child. An occurrence goes down by its own key,
-    so its skips are its own, and only work that does not depend on the key is shared.
+    A node stands for the turns whose candidates were skipped. It holds the ids that result if no further one is,
+    and a slot for each turn after its last skip; skipping the candidate of that turn leads to a child. An occurrence
+    goes down by its own key, so its skips are its own, and only work that does not depend on the key is shared.
     """
 
     def __init__(self, v: Vocabulary, limit: int):
@@ -232,81 +234,98 @@ class Segmentations:
 
     def clear(self) -> None:
         self.roots: dict[str, int] = {}
-        self.units: list[str] = []
-        self.skipped: list[tuple[int, ...]] = []
         self.ids: list[bytes] = []
+        self.chars, self.used_chars = np.zeros(1 << 14, np.uint32), 0
         self.used = 0
-        self.start, self.count = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
-        self.point, self.child, self.owner = np.zeros(1024, np.uint64), np.full(1024, -1, np.int32), np.zeros(1024, np.int32)
-
-    def _room(self, nodes: int, slots: int) -> None:
-        grown = lambda a, n, fill: np.concatenate([a, np.full(max(n, 2 * len(a)) - len(a), fill, a.dtype)])
-        if nodes > len(self.start):
-            self.start, self.count = grown(self.start, nodes, 0), grown(self.count, nodes, 0)
-        if slots > len(self.point):
-            self.point, self.child, self.owner = grown(self.point, slots, 0), grown(self.child, slots, -1), grown(self.owner, slots, 0)
-
-    def add(self, units: list[str], skipped: list[tuple[int, ...]]) -> np.ndarray:
-        """Nodes of units with the candidates of certain rounds skipped."""
-        first, n = len(self.units), len(units)
-        out = np.empty(n, np.int64)
-        order = sorted(range(n), key=lambda i: len(units[i]))
-        lengths, start = [len(units[i]) for i in order], 0
-        while start < n:
+        #: of a node: its unit's place and length in ``chars``, the node above and the turn skipped there, place of its slots,
+        #: its first turn, and the turn after its last
+        self.text, self.size, self.above, self.turn, self.start, self.since, self.until = (np.zeros(1024, np.int64) for _ in range(7))
+        #: of a slot: the child, and the node it belongs to
+        self.child, self.owner = np.full(1024, -1, np.int32), np.zeros(1024, np.int32)
+
+    @staticmethod
+    def _grown(x: np.ndarray, n: int, fill: int = 0) -> np.ndarray:
+        return x if n <= len(x) else np.concatenate([x, np.full(max(n, 2 * len(x)) - len(x), fill, x.dtype)])
+
+    def _add(self, text: np.ndarray, size: np.ndarray, above: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Nodes for units that skip what the nodes above skip, and the candidate of ``turn`` there."""
+        first, n = len(self.ids), len(text)
+        for name, x in (("text", text), ("size", size), ("above", above), ("turn", turn), ("start", turn), ("since", turn), ("until", turn)):
+            held = self._grown(getattr(self, name), first + n)
+            held[first : first + n] = x
+            setattr(self, name, held)
+        order = np.argsort(size, kind="stable")
+        lengths, at, made = size[order], 0, [b""] * n
+        while at < n:
             # like lengths go together, so that matrices hold little padding
-            end = min(start + 20_000, bisect.bisect_right(lengths, max(8, -(-lengths[start] * 3 // 2)), start))
-            part = order[start:end]
-            us, ss, seen = [units[i] for i in part], [skipped[i] for i in part], []
-            self.ids += segment_many(us, self.v, self.limit, 0, ss, seen)
-            nodes = np.arange(len(part)) + first + start
-            out[part] = nodes
-            rows = np.concatenate([r for r, _ in seen]) if seen else np.empty(0, np.int64)
-            turns = np.repeat(np.arange(len(seen)), [len(r) for r, _ in seen])
-            found = np.concatenate([p for _, p in seen]) if seen else np.empty(0, np.uint64)
-            late = turns > np.array([s[-1] if s else -1 for s in ss])[rows]
-            rows, found = rows[late], found[late]
-            by = np.argsort(rows, kind="stable")
-            count = np.bincount(rows, minlength=len(part))
-            self._room(first + end, self.used + len(by))
-            self.count[nodes], self.start[nodes] = count, self.used + np.cumsum(count) - count
-            self.point[self.used : self.used + len(by)] = found[by]
-            self.owner[self.used : self.used + len(by)] = nodes[rows[by]]
-            self.used += len(by)
-            self.units += us
-            self.skipped += ss
-            start = end
-        return out
+            end = min(at + 20_000, int(np.searchsorted(lengths, max(8, -(-int(lengths[at]) * 3 // 2)), side="right")))
+            part = order[at:end]
+            wide = int(lengths[end - 1])
+            chars = self.chars[np.minimum(text[part][:, None] + np.arange(wide), self.used_chars - 1)]
+            forced = np.zeros((len(part), int(turn[part].max()) + 1), bool)
+            node, rows = first + part, np.arange(len(part))
+            while True:
+                going = self.turn[node] >= 0
+                node, rows = node[going], rows[going]
+                if not len(node):
+                    break
+                forced[rows, self.turn[node]] = True
+                node = self.above[node]
+            came = np.zeros(len(part), np.int64)
+            for i, x in zip(part.tolist(), segment_many(chars, size[part], self.v, forced, came)):
+                made[i] = x
+            nodes, since = first + part, turn[part] + 1
+            count = np.maximum(came - since, 0)
+            total = int(count.sum())
+            self.child, self.owner = self._grown(self.child, self.used + total, -1), self._grown(self.owner, self.used + total)
+            self.start[nodes], self.since[nodes], self.until[nodes] = self.used + np.cumsum(count) - count, since, since + count
+            self.owner[self.used : self.used + total] = np.repeat(nodes, count)
+            self.used += total
+            at = end
+        self.ids += made
+        return np.arange(first, first + n)
+
+    def _roots(self, units: list[str]) -> None:
+        size = np.fromiter(map(len, units), np.int64, len(units))
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
+        self.chars = self._grown(self.chars, self.used_chars + len(points))
+        self.chars[self.used_chars : self.used_chars + len(points)] = points
+        text = self.used_chars + np.cumsum(size) - size
+        self.used_chars += len(points)
+        none = np.full(len(units), -1)
+        self.roots.update(zip(units, self._add(text, size, none, none).tolist()))
 
     def _children(self, slots: np.ndarray) -> None:
-        owners = self.owner[slots]
-        skipped = [self.skipped[o] for o in owners.tolist()]
-        turns = slots - self.start[owners] + np.array([s[-1] + 1 if s else 0 for s in skipped])
-        nodes = self.add([self.units[o] for o in owners.tolist()], [(*s, t) for s, t in zip(skipped, turns.tolist())])
-        self.child[slots] = nodes
+        above = self.owner[slots].astype(np.int64)
+        self.child[slots] = self._add(self.text[above], self.size[above], above, slots - self.start[above] + self.since[above])
 
     def look_up(self, units: list[str], keys: np.ndarray) -> list[bytes]:
         """Ids of each occurrence of a unit of at most SHORT characters."""
-        if len(self.units) > CACHE:
+        if len(self.ids) > CACHE:
             self.clear()
-        new = list({u for u in units if u not in self.roots})
-        if new:
-            self.roots.update(zip(new, self.add(new, [()] * len(new)).tolist()))
+        if new := list({u for u in units if u not in self.roots}):
+            self._roots(new)
         at = np.fromiter(map(self.roots.__getitem__, units), np.int64, len(units))
-        going = np.arange(len(units))
-        while self.limit and len(going):
-            count = self.count[at[going]]
-            ends = np.cumsum(count)
-            who = np.repeat(np.arange(len(going)), count)
-            slots = np.arange(len(who)) + (self.start[at[going]] - ends + count)[who]
-            hit = np.flatnonzero((mix64(self.point[slots] + keys[going][who]) >> np.uint64(48)) < np.uint64(self.limit))
-            who = who[hit]
-            first = np.ones(len(hit), bool)
-            first[1:] = who[1:] != who[:-1]
-            slots, going = slots[hit[first]], going[who[first]]
+        going = np.flatnonzero(self.until[at] > 0) if self.limit else np.empty(0, np.int64)
+        block, mask = np.zeros(len(going), np.int64), skips(keys[going], 0, self.limit)
+        while len(going):
+            # the next skip of this block of turns, if the node still has a candidate then
+            turn, node = LANES * block + _LOWEST[mask], at[going]
+            until = self.until[node]
+            hit = (mask != 0) & (turn < until)
+            further = (mask == 0) & (LANES * (block + 1) < until)
+            h = np.flatnonzero(hit)
+            slots = self.start[node[h]] + turn[h] - self.since[node[h]]
             if len(missing := np.unique(slots[self.child[slots] < 0])):
                 self._children(missing)
-            at[going] = self.child[slots]
-        return [self.ids[i] for i in at.tolist()]
+            at[going[h]] = self.child[slots]
+            mask[h] &= mask[h] - np.uint8(1)
+            f = np.flatnonzero(further)
+            block[f] += 1
+            mask[f] = skips(keys[going[f]], block[f], self.limit)
+            stay = hit | further
+            going, block, mask = going[stay], block[stay], mask[stay]
+        return list(map(self.ids.__getitem__, at.tolist()))
 
 
 class Encoder:
@@ -353,10 +372,21 @@ class Encoder:
     def encode(self, text: str | None, key: int | None) -> np.ndarray:
         return self.encode_many([text], [key])[0]
 
+    def decoded_many(self, lists: list) -> list[bytes]:
+        """UTF-8 of texts; the space that stands for the leading mark goes."""
+        out = []
+        for start in range(0, len(lists), 64):
+            some = [np.asarray(x, np.int64) for x in lists[start : start + 64]]
+            ids = np.concatenate(some)
+            sizes = self.v.out_sizes[ids]
+            ends = np.cumsum(sizes)
+            flat = self.v.out_flat[np.arange(sizes.sum()) + np.repeat(self.v.out_start[ids] - ends + sizes, sizes)].tobytes()
+            cuts = np.append(0, ends)[np.cumsum([0, *map(len, some)])].tolist()
+            out += [flat[a + flat.startswith(b" ", a, b) : b] for a, b in zip(cuts, cuts[1:])]
+        return out
+
     def decoded(self, ids) -> bytes:
-        """UTF-8 of the text; the space that stands for the leading mark goes."""
-        out = b"".join(map(self.v.out.__getitem__, ids.tolist() if hasattr(ids, "tolist") else ids))
-        return out[1:] if out[:1] == b" " else out
+        return self.decoded_many([ids])[0]
 
     def decode(self, ids) -> str:
         return self.decoded(ids).decode("utf-8", "replace")
@@ -376,8 +406,8 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     """(doc_id, n_ids, ids, ids_crc32, lossless) per row: BPE-dropout by keyed hashes, over whole texts.
 
     Merges run in an agenda, best score first; a candidate that comes up is skipped with probability
-    ``dropout``, decided by a hash of seed, id, the unit's place in the text, and the candidate's place and
-    length in the unit. So each occurrence of a unit has skips of its own, and the same row gives the same
+    ``dropout``, decided by a hash of seed, id, the unit's place in the text, and the candidate's turn in the
+    unit's agenda. So each occurrence of a unit has skips of its own, and the same row gives the same
     ids on every run. With dropout 0 the ids are the model's own.
     ``lossless``: decoding the ids gave back the whole text.
 
@@ -394,10 +424,11 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
         for batch in batches:
             all_ids, crcs, same = [], [], []
             docs_, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for text, ids in zip(texts, e.encode_many(texts, docs_)):
-                all_ids.append(ids.astype(np.int32))
-                crcs.append(zlib.crc32(ids.tobytes()))
-                same.append(e.decoded(ids) == (text or "").encode())
+            found = e.encode_many(texts, docs_)
+            for text, ids, back in zip(texts, found, e.decoded_many(found)):
+                all_ids.append(ids.view(np.int32))
+                crcs.append(zlib.crc32(ids))
+                same.append(back == (text or "").encode())
             sizes = [len(x) for x in all_ids]
             flat = np.concatenate(all_ids) if all_ids else np.empty(0, np.int32)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, pa.int32()))
@@ -406,7 +437,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
                 ["doc_id", "n_ids", "ids", "ids_crc32", "lossless"],
             )
 
-    return base.mapInArrow(run, "doc_id long, n_ids long, ids array<int>, ids_crc32 long, lossless boolean")
+    return base.mapInArrow(lean(run), "doc_id long, n_ids long, ids array<int>, ids_crc32 long, lossless boolean")
 
 
 def decode(encoded: DataFrame, model_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:

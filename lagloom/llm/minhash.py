@@ -17,12 +17,13 @@ K = BANDS * ROWS
 WORDS64 = K * BITS // 64
 #: An estimate this much under the similarity asked for (5 standard deviations) is not checked.
 MARGIN = 0.25
-BLOCK = 1024
+#: Rows and shingles of a block of a bucket; tokens whose matrix is made at once.
+BLOCK, BLOCK_SHINGLES, TOKENS = 1024, 1 << 19, 1024
 PAIRS_PER_TASK = 512
 #: Words whose hashes a task keeps.
 CACHE = 100_000
 #: Counters by which shingles are ordered from rare to frequent.
-SLOT_BITS = 20
+SLOT_BITS = 18
 
 
 class _WordHash(dict):
@@ -159,17 +160,6 @@ def _confirm(num: int, den: int):
     return run
 
 
-def matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Equal BITS-bit groups of every pair of packed signatures (rows of x against rows of y)."""
-    out = np.zeros((len(x), len(y)), np.int32)
-    for i in range(WORDS64):
-        d = x[:, i, None] ^ y[None, :, i]
-        for k in range(1, BITS):
-            d = d | (x[:, i, None] ^ y[None, :, i]) >> np.uint64(k)
-        out += np.bitwise_count(~d & np.uint64(0x5555555555555555))
-    return out
-
-
 def least_matches(similarity: float) -> float:
     """Collision-corrected: agreeing groups that an estimate of ``similarity - MARGIN`` needs."""
     by_chance = 2.0**-BITS
@@ -202,32 +192,67 @@ def _column(rows, i: int) -> np.ndarray:
     return np.concatenate([r.column(i).to_numpy() for r in rows])
 
 
-def _near(rows, least: float):
-    """Index pairs of a block, of different components, whose signatures agree enough."""
-    comps, side = _column(rows, 4), _column(rows, 5)
-    sig = np.stack([_column(rows, 6 + i) for i in range(WORDS64)], axis=1).view(np.uint64)
-    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-    for i in range(0, len(left), 256):
-        part = left[i : i + 256]
-        m = matches(sig[part], sig[right])
-        m[comps[part][:, None] == comps[right][None, :]] = -1
-        a, b = np.nonzero(m >= least)
-        yield part[a], right[b], m[a, b]
+def intersections(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets[left] with other sets[right], as products of incidence matrices."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    who = np.repeat(np.arange(len(sets)), sizes)
+    _, token, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count > 1  # others are in no intersection
+    number = np.cumsum(shared) - 1
+    keep = shared[token]
+    who, token = who[keep], number[token[keep]]
+    order = np.argsort(token, kind="stable")
+    who, token = who[order], token[order]
+    # a row's place on either side
+    rows = [np.full(len(sets), -1) for _ in (left, right)]
+    rows[0][left], rows[1][right] = np.arange(len(left)), np.arange(len(right))
+    exact = np.float32 if sizes.max(initial=0) < 1 << 24 else np.float64
+    out = np.zeros((len(left), len(right)), exact)
+    for start in range(0, int(shared.sum()), TOKENS):
+        here = slice(*np.searchsorted(token, [start, start + TOKENS]))
+        x, y = np.zeros((len(left), TOKENS), exact), np.zeros((len(right), TOKENS), exact)
+        for m, at in ((x, rows[0][who[here]]), (y, rows[1][who[here]])):
+            m[at[at >= 0], token[here][at >= 0] - start] = 1
+        out += x @ y.T
+    return out
 
 
-def _candidates(least: float, num: int, den: int):
-    """Pairs (a, b), a < b, of different components in a block: signatures and set sizes allow the similarity."""
+def _joining(num: int, den: int):
+    """Links that join components within a block (key, bi, bj, id, comp, side, shingles): n components give n - 1 at most."""
+
+    def links(a, b, ids, label):
+        """Spanning pairs of a[i]-b[i] over the components in ``label``, which is brought up to date."""
+        while len(a):
+            apart = label[a] != label[b]
+            a, b = a[apart], b[apart]
+            if len(a):
+                yield int(ids[a[0]]), int(ids[b[0]])
+                label[label == label[b[0]]] = label[a[0]]
 
     def made(_, rows):
         import pyarrow as pa
 
-        ids, size = _column(rows, 3), _column(rows, 6 + WORDS64)
-        for a, b, _m in _near(rows, least):
-            fits = den * np.minimum(size[a], size[b]) >= num * np.maximum(size[a], size[b])
-            pair = np.stack([ids[a[fits]], ids[b[fits]]], axis=1)
-            if len(pair):
-                pair = np.unique(np.sort(pair, axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+        ids, side = _column(rows, 3), _column(rows, 5)
+        label = np.unique(_column(rows, 4), return_inverse=True)[1]
+        sets = [np.frombuffer(x, np.uint64) for r in rows for x in r.column(6).to_pylist()]
+        size = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        out: list[tuple[int, int]] = []
+        if len(left) * len(right) <= 100:
+            for i in left.tolist():
+                for j in right.tolist():
+                    if label[i] != label[j] and alike(sets[i], sets[j], num, den):
+                        out += links(np.array([i]), np.array([j]), ids, label)
+        else:
+            both = intersections(sets, left, right)
+            for s in range(0, len(left), 256):
+                rows_ = left[s : s + 256]
+                inner = both[s : s + 256]
+                a, b = np.nonzero((den + num) * inner >= num * (size[rows_][:, None] + size[right][None, :]))
+                out += links(rows_[a], right[b], ids, label)
+        if out:
+            x, y = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["src", "dst"])
 
     return _by_block(made)
 
@@ -257,7 +282,7 @@ def prefix(shingles: np.ndarray, counts: np.ndarray, num: int, den: int) -> np.n
 
 
 def _prefixes(counts, num: int, den: int):
-    """(key, id, comp, size) for each shingle in the prefix of a row (id, comp, shingles)."""
+    """(key, id, comp) for each shingle in the prefix of a row (id, comp, shingles)."""
 
     def run(batches):
         import pyarrow as pa
@@ -267,11 +292,7 @@ def _prefixes(counts, num: int, den: int):
             found = [prefix(x, counts.value, num, den) for x in sets]
             rows = np.repeat(np.arange(len(sets)), [len(x) for x in found])
             keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
-            size = np.array([len(x) for x in sets], np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), *(pa.array(batch.column(i).to_numpy()[rows]) for i in (0, 1)), pa.array(size[rows])],
-                ["key", "id", "comp", "size"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(pa.array(batch.column(i).to_numpy()[rows]) for i in (0, 1))], ["key", "id", "comp"])
 
     return run
 
@@ -300,11 +321,12 @@ def near_duplicates(
     each, 96 minima give 24 bands of 4 for the search and 2 low bits each for a packed signature.
     Candidates that agree in a band and whose bit count, corrected for chance, is not 5 standard
     deviations under ``similarity`` are confirmed on whole sets: first every member of a bucket with the
-    bucket's smallest id, which joins groups of copies. Documents of buckets that still hold several
-    components (a shared passage brings unlike ones together) are split further by their rarest shingles,
-    of which two similar sets must share one; candidates are then those of different components under such a
-    shingle. So rows grow with the documents' lengths, not with the pairs of a bucket, and no link that would
-    join components is lost. A pair at the threshold shares no band with probability 3e-6.
+    bucket's smallest id, which joins groups of copies. A bucket that still holds several components (a
+    shared passage brings unlike documents together) is looked through again, but only those of its
+    documents that share one of their rarest shingles with another component, as two similar sets
+    must: these meet with their sets in one task per pair of blocks of the bucket, which returns the links that
+    join components. So rows grow with the documents, never with the pairs of a group, and no link that
+    would join components is lost. A pair at the threshold shares no band with probability 3e-6.
 
     Null, empty and blank texts: n_shingles 0, linked with nothing, kept. Null ids: component_id
     null, kept. Rows that share an id count as one document: linked, all with that id's component.
@@ -376,26 +398,31 @@ def near_duplicates(
     )
 
     mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    unsure = now.join(mixed, "key", "left_semi").select("id", "comp").distinct()
-    parted = ws.save(unsure.join(sets, "id").select("id", "comp", "shingles"), "parted")
+    unsure = now.join(mixed, "key", "left_semi")
+    parted = ws.save(
+        unsure.select("id", "comp").distinct().join(sets, "id").select("id", "comp", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size")), "parted"
+    )
     counts = np.zeros(1 << SLOT_BITS, np.int64)
     # one row for each counter at most
     table = parted.select("shingles").mapInArrow(lean(_slot_counts), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     counts[table["slot"].to_numpy()] = table["n"].to_numpy()
     sent = spark.sparkContext.broadcast(counts)
-    prefixes = ws.save(parted.mapInArrow(lean(_prefixes(sent, num, den)), "key long, id long, comp long, size long"), "prefixes")
-    crowded = prefixes.groupBy("key").agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "n")
-    blocks = (
-        prefixes.join(crowded, "key").join(marks, "id")
-        .withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
-        .select("key", "block.bi", "block.bj", "id", "comp", "block.side", *words, "size")
+    prefixes = ws.save(parted.select("id", "comp", "shingles").mapInArrow(lean(_prefixes(sent, num, den)), "key long, id long, comp long"), "prefixes")
+    crowded = prefixes.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    doubtful = ws.save(prefixes.join(crowded, "key", "left_semi").select("id").distinct(), "doubtful")
+    again = ws.save(unsure.select("key", "id").join(doubtful, "id", "left_semi").join(parted.select("id", "comp", "size"), "id"), "again")
+    blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES))
+    totals = again.groupBy("key").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "blocks")
+    dealt = (
+        again.join(totals, "key").withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("blocks", "hashed", 1)))
+        .select("key", "block.bi", "block.bj", "id", "comp", "block.side").join(parted.select("id", "shingles"), "id")
+        .select("key", "bi", "bj", "id", "comp", "side", "shingles")
         .repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj", "id")
     )
-    again = ws.save(blocks.mapInArrow(lean(_candidates(least, num, den)), "a long, b long").distinct(), "pairs1")
-    more = confirmed(again, "links1")
+    more = ws.save(dealt.mapInArrow(lean(_joining(num, den)), "src long, dst long"), "links1")
     if not more.isEmpty():
         parts = connected_components(ws, links.unionByName(more), "cc1")
-    ws.drop("shared", "sets", "parted", "prefixes", "reps")
+    ws.drop("shared", "sets", "parted", "prefixes", "again", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
         sigs.select("doc_id", "n_shingles", "fa", "fb")

@@ -10,11 +10,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe_text import PLAIN, WORDS, lettered, tokenizer
-from .common import Workspace
+from .common import Workspace, lean, partitions
 
-CACHE = 300_000
-#: Pieces of one length that are numbered in one task, about.
-RANKED_TOGETHER = 20_000
+#: Units whose ids a task keeps, and characters that a unit has then at most.
+CACHE, KEPT_CHARS = 100_000, 64
+#: Pieces of one length that are numbered in one task: at most, about, and at least where cores would be idle.
+RANKED_TOGETHER, LEAST_TOGETHER = 20_000, 500
 
 
 class CapacityTree:
@@ -97,13 +98,19 @@ class _Ids(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        self[unit] = out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(lettered(unit)))
+        out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(lettered(unit)))
+        if len(unit) <= KEPT_CHARS:
+            self[unit] = out
         return out
 
 
 _caches: dict[str, _Ids] = {}
 
 
+def forget() -> None:
+    _caches.clear()
+
+
 def token_bytes(text: str, path: str) -> bytes:
     """All ids of a text, 4 little-endian bytes each, as the tokenizer file gives them."""
     if path not in _caches:
@@ -176,25 +183,28 @@ def pack(
     ws = Workspace(spark, "packing")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces = base.mapInArrow(_cut(tokenizer_path, size, end_id, with_ids), schema)
-    pieces = ws.save(pieces if with_ids else pieces.drop("ids"), "pieces")
+    pieces = base.mapInArrow(lean(_cut(tokenizer_path, size, end_id, with_ids), forget), schema)
+    # the written number keeps pieces apart that are alike in all else
+    pieces = ws.save((pieces if with_ids else pieces.drop("ids")).withColumn("row", F.monotonically_increasing_id()), "pieces")
     # one row for each length: ``size`` at most
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
     runs = best_fit(histogram, size)
-    buckets = max(1, -(-max(histogram.values(), default=0) // RANKED_TOGETHER))
-    numbered = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    most = max(histogram.values(), default=0)
+    buckets = max(1, -(-most // RANKED_TOGETHER), min(4 * partitions(spark), most // LEAST_TOGETHER))
+    numbered = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)))
     # ``size * buckets`` rows; a bucket is a fixed share of the most frequent length
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = numbered.groupBy("length", "bucket").agg(F.count("*").alias("n")).select(
         "length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")
     )
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "start", "ids_crc32")
-    columns = [*(c for c in pieces.columns), "rank"]
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "row")
+    own = [c for c in pieces.columns if c != "row"]
+    columns = [*own, "rank"]
     ranked = ws.save(
         numbered.withColumn("n", F.row_number().over(order) - 1).join(starts, ["length", "bucket"])
-        .select(*pieces.columns, (F.col("n") + F.col("first")).cast("long").alias("rank")),
+        .select(*own, (F.col("n") + F.col("first")).cast("long").alias("rank")),
         "ranked",
     )
     ws.drop("pieces")
-    out = [f"{c} {t}" for c, t in pieces.dtypes]
-    return ranked.select(*columns).mapInArrow(_placed(runs, columns), ", ".join([*out, "sequence_id long", "offset long"]))
+    out = [f"{c} {t}" for c, t in pieces.dtypes if c != "row"]
+    return ranked.select(*columns).mapInArrow(lean(_placed(runs, columns)), ", ".join([*out, "sequence_id long", "offset long"]))

@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Workspace
+from .common import Workspace, partitions
 
-#: Rows of a source, or of the whole order, that are numbered in one task, about.
-RANKED_TOGETHER = 20_000
+#: Rows of a source, or of the whole order, that are numbered in one task: at most, about, and at least where cores would be idle.
+RANKED_TOGETHER, LEAST_TOGETHER = 20_000, 500
 _BITS = 60
 
 
 def seeded_key(seed: int, id_col: str = "doc_id"):
-    """A 60-bit number by which rows are shuffled: the first 15 digits of md5("seed:id")."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")))
+    """A 60-bit number by which rows are shuffled: the first 15 digits of md5("seed:id:checksum:size").
+
+    Checksum and size (columns text_crc32, size) keep rows that share an id, or have none, apart.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("text_crc32").cast("string"), F.col("size").cast("string"))
     return F.conv(F.substring(F.md5(text), 1, _BITS // 4), 16, 10).cast("long")
 
 
@@ -28,7 +31,7 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
     sums before, so a source with a third of all rows takes as many tasks as its rows need.
 
     size: UTF-8 bytes plus 1. Null text: empty. Null source: a source of its own. Null ids are
-    shuffled as the text "null". Ties are ordered by id, checksum and size; repeated rows get
+    shuffled as the text "null" with their texts. Ties are ordered by id, checksum and size; repeated rows get
     places of their own. An empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -39,12 +42,11 @@ def interleave(docs: DataFrame, shards: int = 16, seed: int = 1, id_col: str = "
             F.col(id_col).cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"),
             F.crc32(text).alias("text_crc32"), F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("part"),
-            seeded_key(seed, id_col).alias("h"),
-        ),
+        ).withColumn("h", seeded_key(seed)),
         "rows",
     )
     total = rows.count()
-    bits = max(0, (max(1, total) // RANKED_TOGETHER).bit_length())
+    bits = max(0, max(total // RANKED_TOGETHER, min(4 * partitions(spark), total // LEAST_TOGETHER)).bit_length())
     ranged = rows.withColumn("range", F.shiftright("h", _BITS - bits))
     ahead = Window.partitionBy("part").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("part", "range").agg(F.count("*").alias("n")).select(

@@ -50,10 +50,10 @@ WITH {_CRC},
 b AS (SELECT doc_id, source, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
 d AS (SELECT doc_id, coalesce('s' || source, 'n') AS part, n + 1 AS size,
         xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(n), lambda i: ('0x' || h[2*i+1:2*i+2])::BIGINT)),
-            lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1]))) AS text_crc32,
-        ('0x' || substr(md5('1:' || doc_id), 1, 15))::BIGINT AS k FROM b, t),
+            lambda c, x: xor(c >> 8, crc[xor(c & 255, x) + 1]))) AS text_crc32 FROM b, t),
+e AS (SELECT *, ('0x' || substr(md5(concat_ws(':', '1', coalesce(doc_id::VARCHAR, 'null'), text_crc32, size)), 1, 15))::BIGINT AS k FROM d),
 r AS (SELECT *, (2 * (row_number() OVER (PARTITION BY part ORDER BY k, doc_id, text_crc32, size) - 1) + 1)::DOUBLE
-             / (2 * count(*) OVER (PARTITION BY part))::DOUBLE AS f FROM d),
+             / (2 * count(*) OVER (PARTITION BY part))::DOUBLE AS f FROM e),
 p AS (SELECT *, row_number() OVER (ORDER BY f, part, k, doc_id, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM r),
 s AS (SELECT *, pos * 16 // n AS shard FROM p)
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'rows' AS law, shard::INT AS shard,

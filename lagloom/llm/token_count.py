@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe_text import PLAIN, SPACED, lettered, tokenizer
-from .common import Workspace
+from .common import Workspace, lean
 
-#: Entries that the broadcast table of common pre-tokens has at most.
-COMMON = 262_144
+#: Entries, and bytes of text, that the broadcast table of common pre-tokens has at most; longer pre-tokens are never in it.
+COMMON, COMMON_BYTES, LONGEST = 262_144, 4 << 20, 64
+#: Pre-tokens that a task counts before it hands them on.
 HELD = 200_000
 #: Frequency classes per doubling.
 FINE = 8
@@ -86,19 +88,16 @@ def _documents(path: str, common):
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 units, total = pretokens(text, path)
-                rare: Counter = Counter()
-                ks = list(map(get, units))
-                if None in ks:
-                    rare.update(u for u, k in zip(units, ks) if k is None)
-                    total += sum(k for k in ks if k is not None)
-                else:
-                    total += sum(ks)
+                frequencies = Counter(units)
+                ks = list(map(get, frequencies))
+                rare = [(u, n) for (u, n), k in zip(frequencies.items(), ks) if k is None] if None in ks else []
+                total += sum(n * k for n, k in zip(frequencies.values(), ks) if k is not None)
                 sizes.append(len(text.encode()))
                 sums.append(total)
-                pieces.append(list(rare))
-                counts.append(list(rare.values()))
+                pieces.append([u for u, _ in rare])
+                counts.append([n for _, n in rare])
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(pieces, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(pieces, pa.list_(pa.string())), pa.array(counts, pa.list_(pa.int64()))],
                 ["doc_id", "n_bytes", "known", "pieces", "counts"],
             )
 
@@ -118,11 +117,11 @@ def _table(common) -> dict[str, int]:
 
 
 class _Common:
-    """A broadcast with an identity that survives pickling."""
+    """A broadcast with an identity of its own, which survives pickling."""
 
     def __init__(self, spark, value):
         self.sent = spark.sparkContext.broadcast(value)
-        self.id = id(self)
+        self.id = uuid.uuid4().hex
 
     @property
     def value(self):
@@ -133,9 +132,10 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """(doc_id, n_bytes, n_tokens, over_limit) per row, for a byte-level BPE file.
 
     One pass sums the frequency of each pre-token over the corpus (counted per task before the
-    shuffle); each distinct pre-token's pieces are counted once. Of these, the most frequent ones,
-    never over ``COMMON``, are broadcast; a second pass counts them in place and lists each
-    document's frequencies of the others, which are joined to the counts and summed. No ids are made.
+    shuffle); each distinct pre-token's pieces are counted once. A second pass makes each document's
+    frequencies of pre-tokens and joins them to these counts: those of the most frequent pre-tokens,
+    never over ``COMMON`` entries and ``COMMON_BYTES``, as a broadcast, all others by a shuffle. Sums of
+    frequency times pieces are the tokens. No ids are made.
 
     Special strings in a text are one token each, as in the library. Null and empty text: 0 bytes,
     0 tokens. Null ids and repeated rows: one result per row, as for any other. An empty table gives
@@ -145,24 +145,24 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     ws = Workspace(spark, "token-count")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     vocabulary = ws.save(
-        base.select("text").mapInArrow(_frequencies(tokenizer_path), "piece string, n long")
+        base.select("text").mapInArrow(lean(_frequencies(tokenizer_path)), "piece string, n long")
         .groupBy("piece").agg(F.sum("n").alias("n"))
-        .mapInArrow(_pieces(tokenizer_path), "piece string, n long, k long")
-        .withColumn("class", F.floor(F.log2("n") * FINE).cast("int")),
+        .mapInArrow(lean(_pieces(tokenizer_path)), "piece string, n long, k long")
+        .withColumn("class", F.when(F.octet_length("piece") <= LONGEST, F.floor(F.log2("n") * FINE)).otherwise(-1).cast("int")),
         "vocabulary",
     )
     # a row for each frequency class: 64 * FINE at most
-    classes = sorted(vocabulary.groupBy("class").count().collect(), key=lambda r: -r["class"])
-    least, total = 1 << 30, 0
-    for r in classes:
-        total += r["count"]
-        if total > COMMON:
+    classes = vocabulary.where("class >= 0").groupBy("class").agg(F.count("*").alias("rows"), F.sum(F.octet_length("piece")).alias("bytes")).collect()
+    least, rows, size = 1 << 30, 0, 0
+    for r in sorted(classes, key=lambda r: -r["class"]):
+        rows, size = rows + r["rows"], size + r["bytes"]
+        if rows > COMMON or size > COMMON_BYTES:
             break
         least = r["class"]
     table = vocabulary.where(F.col("class") >= least).select("piece", F.col("k").cast("int").alias("k")).toArrow()
     common = _Common(spark, (table["piece"].to_pylist(), np.array(table["k"], np.int64).tolist()))
     per_doc = ws.save(
-        base.mapInArrow(_documents(tokenizer_path, common), "doc_id long, n_bytes long, known long, pieces array<string>, counts array<int>")
+        base.mapInArrow(lean(_documents(tokenizer_path, common)), "doc_id long, n_bytes long, known long, pieces array<string>, counts array<long>")
         .withColumn("row", F.monotonically_increasing_id()),
         "documents",
     )

@@ -143,6 +143,62 @@ def test_near_duplicates_large_group(spark, monkeypatch):
     assert {x["doc_id"]: x["component_id"] for x in got} == want
 
 
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(minhash, "TOKENS", 7)
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, n).astype(np.uint64)) for n in (0, 1, 30, 40, 5, 40, 12)]
+    left, right = np.array([0, 2, 3, 6]), np.array([1, 4, 5])
+    assert (minhash.intersections(sets, left, right) == [[len(np.intersect1d(sets[i], sets[j])) for j in right] for i in left]).all()
+
+
+def test_prefixes_of_similar_sets_meet():
+    r = np.random.default_rng(4)
+    counts = r.integers(0, 5, 1 << minhash.SLOT_BITS)
+    for _ in range(300):
+        base = np.unique(r.integers(0, 2**64, r.integers(1, 60), np.uint64))
+        x, y = (base[r.random(len(base)) > r.choice([0, 0.1])] for _ in range(2))
+        if len(x) and len(y) and minhash.alike(x, y, 4, 5):
+            assert np.intersect1d(minhash.prefix(x, counts, 4, 5), minhash.prefix(y, counts, 4, 5)).size
+
+
+def test_a_full_pair_of_blocks_takes_little_memory():
+    """Two blocks of documents that are all unlike but share most of their shingles."""
+    import resource
+
+    import pyarrow as pa
+
+    n = 2 * minhash.BLOCK
+    r = np.random.default_rng(5)
+    common = r.integers(0, 2**64, 300, np.uint64)
+    sets = [np.sort(np.concatenate([common, r.integers(0, 2**64, 150, np.uint64)])).tobytes() for _ in range(n)]
+    column = lambda x: pa.array(np.broadcast_to(x, n).astype(np.int64))
+    batch = pa.RecordBatch.from_arrays([column(1), column(0), column(1), column(np.arange(n)), column(np.arange(n)), column(np.arange(n) % 2), pa.array(sets, pa.binary())], list("abcdefg"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert not list(minhash._joining(4, 5)([batch]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150 << 10
+    near = [np.sort(np.concatenate([common, r.integers(0, 2**64, 20, np.uint64)])).tobytes() for _ in range(n)]
+    found = list(minhash._joining(4, 5)([batch.set_column(6, "g", pa.array(near, pa.binary()))]))
+    assert sum(len(x) for x in found) == n - 1
+
+
+def test_shared_passage_grows_in_proportion(spark, monkeypatch, tmp_path):
+    """Unlike documents around one passage: one hot bucket, few rows; pairs hidden among them are found."""
+    written = {}
+    save = minhash.Workspace.save
+    monkeypatch.setattr(minhash.Workspace, "save", lambda self, df, name: written.setdefault(name, save(self, df, name)))
+    monkeypatch.setattr(minhash.Workspace, "drop", lambda *a: None)
+    monkeypatch.setattr(minhash, "BLOCK", 256)
+    r = random.Random(6)
+    passage = [f"p{i}" for i in range(60)]
+    rows_ = []
+    for i in range(3000):
+        own = [f"d{i}x{j}" for j in range(30)] if i % 100 else [f"d{i // 200}y{j}" for j in range(29)] + [f"z{i}"]
+        rows_.append((i, " ".join(passage + own)))
+    got = {x["doc_id"]: x["component_id"] for x in minhash.near_duplicates(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert got == {i: i if i % 100 else i // 200 * 200 for i in range(3000)}
+    assert written["again"].count() < 3000 and written["prefixes"].count() < 3000 * 20
+
+
 def test_minhash_estimate():
     r = np.random.default_rng(0)
     x = np.unique(r.integers(0, 2**64, 900, np.uint64))
@@ -290,8 +346,11 @@ def test_merge_agendas_agree():
     r = random.Random(1)
     units = ["▁" + "".join(r.choice("etaoinshrdlué日") for _ in range(r.randrange(1, 30))) for _ in range(300)]
     for limit in (0, 9000, 40000):
-        many = merge_dropout.segment_many(units, v, limit, 99)
+        many = merge_dropout.Segmentations(v, limit).look_up(units, np.full(len(units), 99, np.uint64))
         assert many == [b"".join(map(v.coded, merge_dropout.segment(u, v, limit, 99))) for u in units]
+        bits = merge_dropout.skips(np.arange(4000, dtype=np.uint64) * np.uint64(977), 1, limit)
+        share = np.unpackbits(bits[:, None], axis=1).mean(axis=0)
+        assert np.abs(share - limit / 65536).max() < 0.03
 
 
 def test_merge_dropout_of_each_occurrence(monkeypatch):
