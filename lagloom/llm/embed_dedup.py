@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Workspace, connected_components, finite_vector
+from .common import Workspace, connected_components, finite_vector, lean
 from .minhash import blocks_of
 
 SAMPLE_ROWS, SAMPLE_VALUES = 20_000, 4_000_000
@@ -16,6 +16,10 @@ BLOCK = 1024
 #: Share of pairs at the threshold that the tables have to bring together, by measurement on the sample.
 RECALL = 0.995
 MOST_TABLES = 256
+#: Links that a task lists at once.
+LINKS = 1 << 16
+#: Dimensions of a table at most: more are an error.
+MOST_DIMENSIONS = 10_000
 
 
 def learn_rotation(x: np.ndarray, seed: int, rounds: int = 20) -> np.ndarray:
@@ -34,6 +38,11 @@ class Codes:
         self.mean, self.rotation = mean, np.concatenate(rotations, axis=1)
         self.width, self.tables = width, tables
 
+    @classmethod
+    def whole(cls, dim: int) -> "Codes":
+        """One bucket of all vectors."""
+        return cls(np.zeros(dim), [np.zeros((dim, 1))], 0, 1)
+
     @property
     def places(self) -> np.ndarray:
         return np.arange(self.width * self.tables).reshape(self.tables, self.width)
@@ -76,19 +85,21 @@ class Codes:
         return cls(mean, rotations, width, table)
 
 
-def _coded(codes):
+def _coded(codes, key_type: str):
+    """Adds the keys of each row (rid, vec, copies), by the codes of its dimension."""
+
     def run(batches):
         import pyarrow as pa
 
+        kind = getattr(pa, key_type)()
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            x = batch.column(1).flatten().to_numpy().reshape(n, -1).astype(np.float64)
-            keys = codes.value.keys(x)
-            size = codes.value.tables
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), lists], ["id", "vec", "copies", "keys"])
+            sizes = batch.column(1).value_lengths().to_numpy()
+            for dim in np.unique(sizes).tolist():
+                part = batch.take(pa.array(np.flatnonzero(sizes == dim)))
+                n, code = len(part), codes.value[dim]
+                keys = code.keys(part.column(1).flatten().to_numpy().reshape(n, -1).astype(np.float64))
+                ends = pa.array(np.arange(0, n * code.tables + 1, code.tables, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(ends, pa.array(keys.ravel()).cast(kind))], ["rid", "vec", "copies", "keys"])
 
     return run
 
@@ -100,16 +111,12 @@ def _linked(cosine: float):
         ids, side, copies, x, keys = (np.concatenate(c) for c in zip(*rows))
         x = x / np.linalg.norm(x, axis=1)[:, None]
         left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-        degree, parent = np.zeros(len(ids), np.int64), list(range(len(ids)))
-
-        def root(i):
-            while parent[i] != i:
-                parent[i] = i = parent[parent[i]]
-            return i
-
-        edges, whole = [], bool((side == 2).all())
-        for s in range(0, len(left), 256):
-            rows_ = left[s : s + 256]
+        degree, label, edges = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        whole = bool((side == 2).all())
+        # a slice holds LINKS pairs at most, so that a group of vectors that are all near takes little memory
+        step = max(1, min(256, LINKS // max(1, len(right))))
+        for s in range(0, len(left), step):
+            rows_ = left[s : s + step]
             a, b = np.nonzero(x[rows_] @ x[right].T >= cosine)
             a, b = rows_[a], right[b]
             near = (ids[a] < ids[b]) if whole else ids[a] != ids[b]
@@ -117,25 +124,27 @@ def _linked(cosine: float):
             if table:  # a pair counts in the first table that brings it together
                 first = ~(keys[a, :table] == keys[b, :table]).any(axis=1)
                 a, b = a[first], b[first]
-            np.add.at(degree, a, copies[b])
-            np.add.at(degree, b, copies[a])
-            for i, j in zip(a.tolist(), b.tolist()):
-                if (p := root(i)) != (q := root(j)):
-                    parent[q] = p
-                    edges.append((int(ids[i]), 0, int(ids[j])))
+            degree += np.bincount(a, weights=copies[b], minlength=len(ids)).astype(np.int64)
+            degree += np.bincount(b, weights=copies[a], minlength=len(ids)).astype(np.int64)
+            while len(a):
+                apart = label[a] != label[b]
+                a, b = a[apart], b[apart]
+                if len(a):
+                    edges.append((int(ids[a[0]]), 0, int(ids[b[0]])))
+                    label[label == label[b[0]]] = label[a[0]]
         return [(int(i), int(d), None) for i, d in zip(ids, degree) if d] + edges
 
     def run(batches):
         import pyarrow as pa
 
         def made(key, rows):
-            if found := pairs(key[0], rows):
+            if found := pairs(key[1], rows):
                 cols = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "degree", "other"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["rid", "degree", "other"])
 
         now, rows = None, []
         for batch in batches:
-            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            key = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(5)], axis=1)
             cuts = [0, *(np.flatnonzero((np.diff(key, axis=0) != 0).any(axis=1)) + 1), len(key)]
             for start, end in zip(cuts, cuts[1:]):
                 if start == end:
@@ -146,8 +155,8 @@ def _linked(cosine: float):
                 now = tuple(key[start].tolist())
                 part = batch.slice(start, end - start)
                 n = end - start
-                ids, side, copies = (part.column(i).to_numpy() for i in (4, 5, 6))
-                x, keys = (part.column(i).flatten().to_numpy().reshape(n, -1) for i in (7, 8))
+                ids, side, copies = (part.column(i).to_numpy() for i in (5, 6, 7))
+                x, keys = (part.column(i).flatten().to_numpy().reshape(n, -1) for i in (8, 9))
                 rows.append([ids, side, copies, x.astype(np.float64), keys])
         if rows:
             yield from made(now, rows)
@@ -168,11 +177,13 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
     in pairs of blocks; a pair counts in the first table that has it. Tasks return degrees and a
     spanning set of links, never the pairs of a group.
 
+    Vectors are compared within their dimension, each dimension by rotations and tables of its own; those of a dimension
+    that has ``BLOCK`` classes at most are all compared. Over ``MOST_DIMENSIONS`` dimensions are an error.
+
     Null vectors, zero vectors, vectors with null or non-finite components, and null ids link with
     nothing: n_links 0, component_id their own id, kept (null id: component_id null, kept). Vectors
-    of unlike dimension are not linked: the most frequent dimension is compared. Rows that repeat an
-    id count as vectors of their own within their class. An empty table gives an empty result;
-    other columns are ignored.
+    of unlike dimension are not linked. Rows that repeat an id are vectors of their own. An empty table
+    gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     ws = Workspace(spark, "near-vectors")
@@ -183,44 +194,50 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, id_col: str = "vec_id
         F.xxhash64("vec").alias("ha"), F.xxhash64(F.lit(1), "vec").alias("hb"),
     )
     usable = marked.where("good")
-    dims = usable.groupBy(F.size("vec").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
+    classes = ws.save(usable.groupBy("ha", "hb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
+    reps = usable.join(classes.withColumnsRenamed({"ha": "ca", "hb": "cb"}), F.expr("vec_id = rep and ha = ca and hb = cb")).select("rep", "vec", "copies", "ha", "hb")
+    # the written number is a class's own, also where ids repeat
+    reps = ws.save(reps.dropDuplicates(["ha", "hb"]).withColumn("rid", F.monotonically_increasing_id()), "reps")
+    dims = {r["dim"]: r["n"] for r in reps.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n")).limit(MOST_DIMENSIONS + 1).collect()}
+    if len(dims) > MOST_DIMENSIONS:
+        raise ValueError(f"vectors of over {MOST_DIMENSIONS} dimensions")
     if not dims:
         return base.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    dim = dims[0]["dim"]
-    usable = usable.where(F.size("vec") == dim)
-    classes = ws.save(usable.groupBy("ha", "hb").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies")), "classes")
-    reps = usable.join(classes.withColumnsRenamed({"ha": "ca", "hb": "cb"}), F.expr("vec_id = rep and ha = ca and hb = cb")).select(
-        F.col("vec_id").alias("id"), "vec", "copies", "ha", "hb"
-    ).dropDuplicates(["id", "ha", "hb"]).drop("ha", "hb")
-    reps = ws.save(reps, "reps")
-    n = reps.count()
-    take = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
-    sample = reps.select("id", "vec", F.xxhash64("id").alias("h")).orderBy("h", "id").limit(take).select("vec").toArrow()["vec"]
-    codes = Codes.fit(np.array(sample.combine_chunks().flatten(), np.float64).reshape(-1, dim), n, cosine, seed)
+    codes = {}
+    for dim, n in dims.items():
+        if n <= BLOCK:
+            codes[dim] = Codes.whole(dim)
+            continue
+        take = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
+        sample = reps.where(F.size("vec") == dim).select("rep", "vec", F.xxhash64("rep").alias("h")).orderBy("h", "rep").limit(take).select("vec").toArrow()["vec"]
+        codes[dim] = Codes.fit(np.array(sample.combine_chunks().flatten(), np.float64).reshape(-1, dim), n, cosine, seed)
     kind = dict(reps.dtypes)["vec"]
-    coded = ws.save(reps.mapInArrow(_coded(spark.sparkContext.broadcast(codes)), f"id long, vec {kind}, copies long, keys array<long>"), "coded")
-    entries = coded.select("id", F.posexplode("keys").alias("t", "key"))
-    crowded = entries.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    places = entries.join(crowded, ["t", "key"]).groupBy("id").agg(F.collect_list(F.struct("t", "key", "n")).alias("places"))
+    key_type = ("int32", "int") if max(c.width for c in codes.values()) < 32 else ("int64", "long")
+    coded = ws.save(
+        reps.select("rid", "vec", "copies").mapInArrow(lean(_coded(spark.sparkContext.broadcast(codes), key_type[0])), f"rid long, vec {kind}, copies long, keys array<{key_type[1]}>"),
+        "coded",
+    )
+    entries = coded.select("rid", F.size("vec").alias("dim"), F.posexplode("keys").alias("t", "key"))
+    crowded = entries.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1")
+    places = entries.join(crowded, ["dim", "t", "key"]).groupBy("rid").agg(F.collect_list(F.struct("t", "key", "n")).alias("places"))
+    order = ["dim", "t", "key", "bi", "bj"]
     found = ws.save(
-        coded.join(places, "id").withColumn("p", F.explode("places")).withColumn("hashed", F.xxhash64("id"))
-        .select("id", "copies", "vec", "keys", "hashed", F.col("p.t").alias("t"), F.col("p.key").alias("key"), F.col("p.n").alias("n"))
+        coded.join(places, "rid").withColumn("p", F.explode("places")).withColumn("hashed", F.xxhash64("rid"))
+        .select("rid", "copies", "vec", "keys", "hashed", F.size("vec").alias("dim"), F.col("p.t").alias("t"), F.col("p.key").alias("key"), F.col("p.n").alias("n"))
         .withColumn("block", F.explode(blocks_of("n", "hashed", BLOCK)))
-        .select("t", "key", "block.bi", "block.bj", "id", "block.side", "copies", "vec", "keys")
-        .repartition("t", "key", "bi", "bj").sortWithinPartitions("t", "key", "bi", "bj", "id")
-        .mapInArrow(_linked(cosine), "id long, degree long, other long"),
+        .select("dim", "t", "key", "block.bi", "block.bj", "rid", "block.side", "copies", "vec", "keys")
+        .repartition(*order).sortWithinPartitions(*order, "rid")
+        .mapInArrow(lean(_linked(cosine)), "rid long, degree long, other long"),
         "found",
     )
-    degrees = found.where("other is null").groupBy("id").agg(F.sum("degree").alias("degree"))
-    parts = connected_components(ws, found.where("other is not null").select(F.col("id").alias("src"), F.col("other").alias("dst")))
+    degrees = found.where("other is null").groupBy("rid").agg(F.sum("degree").alias("degree"))
+    parts = connected_components(ws, found.where("other is not null").select(F.col("rid").alias("src"), F.col("other").alias("dst")))
+    named = reps.select("rid", "rep", "ha", "hb", "copies").join(parts.withColumnRenamed("node", "rid"), "rid", "left").withColumn("component", F.coalesce("component", "rid"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    known = ws.save(named.join(least, "component").join(degrees, "rid", "left").select("ha", "hb", "copies", "degree", "component_id"), "known")
     ws.drop("reps", "coded")
-    placed = (
-        marked.select("vec_id", F.when(F.col("good") & (F.size("vec") == dim), F.col("ha")).alias("ha"), F.col("hb"))
-        .join(classes, ["ha", "hb"], "left")
-        .join(degrees.withColumnRenamed("id", "rep"), "rep", "left")
-        .join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-    )
-    own = F.coalesce("component", "rep", "vec_id")
+    placed = marked.select("vec_id", F.when(F.col("good"), F.col("ha")).alias("ha"), F.col("hb")).join(known, ["ha", "hb"], "left")
+    own = F.coalesce("component_id", "vec_id")
     return placed.select(
         "vec_id", (F.coalesce(F.col("copies") - 1, F.lit(0)) + F.coalesce("degree", F.lit(0))).cast("long").alias("n_links"),
         own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(True)).alias("kept"),

@@ -21,9 +21,10 @@ def clustered(n=600, dim=16, seed=3):
     return (x * r.lognormal(0, 0.7, (n, 1))).astype(np.float32)
 
 
-@pytest.mark.parametrize("rows", [50, 4096])
-def test_top_products(spark, monkeypatch, rows):
+@pytest.mark.parametrize("rows, seeds", [(50, 7), (4096, 2048), (50, 3)])
+def test_top_products(spark, monkeypatch, rows, seeds):
     monkeypatch.setattr(topk, "BUCKET_ROWS", rows)
+    monkeypatch.setattr(topk, "SEEDS", seeds)
     monkeypatch.setattr(topk, "QUERY_BLOCK", 20)
     x = clustered()
     data = [(i, v.tolist()) for i, v in enumerate(x)]
@@ -39,9 +40,23 @@ def test_top_products(spark, monkeypatch, rows):
     assert {tuple(r) for r in got.collect()} == want
 
 
+def test_top_products_of_repeated_ids(spark):
+    """Rows that share an id are queries and candidates each; dimensions don't mix."""
+    r = np.random.default_rng(8)
+    data = [(i // 2, r.integers(-9, 9, 4 if i % 3 else 6).astype(float).tolist()) for i in range(60)]
+    df = spark.createDataFrame(data, "vec_id long, vector array<double>")
+    got = sorted(tuple(x) for x in topk.top_products(df, F.col("vec_id") % 10 == 0, 3).collect())
+    want = []
+    for a, (q, x) in enumerate(data):
+        if q % 10 == 0:
+            best = sorted((-int(np.dot(x, y)), i) for b, (i, y) in enumerate(data) if a != b and len(x) == len(y))[:3]
+            want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 def test_top_products_prunes():
     x = np.floor(256 * clustered().astype(float))
-    b = topk._Bucket(np.arange(len(x)), x)
+    b = topk._Bucket(np.arange(len(x)), np.arange(len(x)), x)
     q = x[7]
     length, scores = float(np.linalg.norm(q)), b.vecs @ q
     for floor in np.quantile(scores, [0.5, 0.9, 0.99, 1.0]):
@@ -86,6 +101,42 @@ def test_near_vectors(spark, monkeypatch):
     assert got[None]["component_id"] is None and got[None]["kept"]
 
 
+def test_vectors_of_several_dimensions(spark, monkeypatch):
+    """Links within each dimension, small ones and one with tables, and of rows that share an id."""
+    monkeypatch.setattr(embed_dedup, "BLOCK", 64)
+    x = clustered(200, 16)
+    data = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, [1.0, 2.0]), (301, [1.0, 2.0]), (302, [2.0, -1.0]), (400, [1.0, 0.0, 0.0])]
+    data += [(500, [0.0, 1.0, 0.0]), (500, [0.0, 0.0, 1.0]), (450, [0.0, 0.01, 1.0])]
+    got = [tuple(r) for r in embed_dedup.near_vectors(frame(spark, data)).collect()]
+    assert len(got) == len(data)
+    assert {r[1:] for r in got if r[0] in (300, 301)} == {(1, 300, True), (1, 300, False)}
+    assert {r for r in got if r[0] in (302, 400)} == {(302, 0, 302, True), (400, 0, 400, True)}
+    assert sorted(r for r in got if r[0] in (450, 500)) == [(450, 1, 450, True), (500, 0, 500, True), (500, 1, 450, False)]
+    m = x / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    assert sum(r[1] for r in got if r[0] < 200) >= 0.98 * ((m @ m.T >= 0.95).sum() - 200)
+    monkeypatch.setattr(embed_dedup, "MOST_DIMENSIONS", 2)
+    with pytest.raises(ValueError):
+        embed_dedup.near_vectors(frame(spark, data))
+
+
+def test_a_dense_block_takes_little_memory():
+    """A pair of blocks in which every vector is near every other."""
+    import resource
+
+    import pyarrow as pa
+
+    n, dim, tables = 2 * embed_dedup.BLOCK, 64, 60
+    r = np.random.default_rng(9)
+    x = 1 + 0.01 * r.normal(size=(n, dim))
+    column = lambda v: pa.array(np.broadcast_to(v, n).astype(np.int64))
+    lists = lambda v: pa.ListArray.from_arrays(pa.array(np.arange(0, v.size + 1, v.shape[1], dtype=np.int32)), pa.array(v.ravel()))
+    keys = r.integers(0, 9, (n, tables)).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([column(dim), column(tables - 1), *(column(0) for _ in range(2)), column(1), column(np.arange(n)), column(np.arange(n) % 2), column(1), lists(x), lists(keys)], list("abcdefghij"))
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    assert list(embed_dedup._linked(0.95)([batch]))
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 150 << 10
+
+
 def test_rotation_is_orthogonal():
     r = embed_dedup.learn_rotation(clustered().astype(float), 1)
     assert np.allclose(r @ r.T, np.eye(16))
