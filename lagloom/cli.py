@@ -9,41 +9,45 @@ import os
 import sys
 
 from .session import builder
-from .sources.i18n import HEADERS, language, message
+from .sources.i18n import HEADERS, item_name, language, message
 
-FORMAT_HELP = """A diary is a CSV or ODS file with the columns date, time, meal, foods, medications, pain.
-Dates: 2026-08-31, 08/31/2026, 08.31.2026 (or day first, in French). Times: 08:00, 8:00, 08:00:00, 8:30am.
-Several foods or medications in a cell are separated by semicolons. pain is a number, and may be empty."""
 DURATIONS = (21, 28, 42, 56, 84)
 
 
-def example_rows(days: int, lang: str = "en", seed: int = 0) -> list[list[str]]:
-    """Text rows of a synthetic diary, in order of time, under the language's column names."""
-    from .plans.simulate import READING_HOURS, RELIEVER, SLOTS, Setup, one_diary
+def example_rows(days: int = 42, lang: str = "en", seed: int = 0, reading_hours=None, reliever=None) -> tuple[list[list[str]], list[tuple[str, float, float]]]:
+    """Text rows of a synthetic diary, in order of time, under the language's column names; and its truth."""
+    from .plans.simulate import READING_HOURS, RELIEVER, SLOTS, Setup, one_diary, truth
 
-    meals, doses, readings = one_diary(seed, Setup(n_days=days, reading_hours=READING_HOURS, reliever=RELIEVER))
-    foods, pills = {round(t, 4): x for t, x in meals}, {round(t, 4): x for t, x in doses}
+    reliever = RELIEVER if reliever is None else reliever
+    hours = READING_HOURS if reading_hours is None else tuple(reading_hours)
+    setup = Setup(n_days=days, reading_hours=hours, reliever=reliever or None, lang=lang)
+    meals, doses, readings = one_diary(seed, setup)
+    foods, pills = dict(meals), dict(doses)
     titles = {v: k for k, v in HEADERS.get(lang, HEADERS["en"]).items()}
     out = [[titles[c] for c in ("date", "time", "meal", "foods", "medications", "pain")]]
-    for t, hour, y in sorted(readings):
+    for t, hour, y in readings:
         at = datetime.datetime(2026, 1, 1) + datetime.timedelta(hours=t)
         day = f"{at:%d/%m/%Y}" if lang == "fr" else f"{at.month}/{at.day}/{at:%y}"
-        key = round(t, 4)
-        slot = min(SLOTS, key=lambda s: abs(hour - s[1]))[0] if key in foods else ""
-        out.append([day, f"{at:%H:%M}", slot, "; ".join(foods.get(key, [])), "; ".join(pills.get(key, [])), f"{y:g}"])
-    return out
+        slot = item_name(min(SLOTS, key=lambda s: abs(hour - s[1]))[0], lang) if t in foods else ""
+        out.append([day, f"{at:%H:%M}", slot, "; ".join(foods.get(t, [])), "; ".join(pills.get(t, [])), f"{y:g}"])
+    return out, truth(reliever=setup.reliever, lang=lang)
 
 
-def write_example(path: str, days: int = 42, lang: str = "en") -> None:
-    rows = example_rows(days, lang)
+def write_example(path: str, days: int = 42, lang: str = "en", seed: int = 0, reading_hours=None, reliever=None) -> list[tuple[str, float, float]]:
+    """Writes a synthetic diary, ODS or CSV by the suffix; returns (item, delay, size) of what is in it.
+
+    ``reading_hours`` are those besides meals (default: six a day), ``reliever`` is (name, delay, size, share taken), or () for none.
+    """
+    rows, true = example_rows(days, lang, seed, reading_hours, reliever)
     if path.lower().endswith(".ods"):
         from .sources.ods import document
 
         with open(path, "wb") as f:
-            f.write(document(rows))
+            f.write(document(rows, item_name("diary", lang)))
     else:
         with open(path, "w", newline="", encoding="utf-8") as f:
             csv.writer(f).writerows(rows)
+    return true
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -54,16 +58,24 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--format-help", action="store_true", help="describe the diary format")
     p.add_argument("--example", nargs="+", metavar=("FILE", "DAYS"), help="write a synthetic diary")
     p.add_argument("--validate", nargs="*", type=int, metavar="DAYS", help="detection quality on synthetic diaries")
-    p.add_argument("--replicates", type=int, default=200)
+    p.add_argument("--seeds", type=int, default=12, help="diaries for each line of --validate")
+    p.add_argument("--replicates", type=int, help="resamplings (200; 120 for --validate)")
+    p.add_argument("--lang", help="language of files and texts: en or fr (LAGLOOM_LANG, or the system's)")
     if not argv:
         p.print_help()
         return 1
-    a, lang = p.parse_args(argv), language()
+    a = p.parse_args(argv)
+    lang = language(a.lang)
+    say = lambda code, **values: print(message(code, lang, **values), flush=True)
     if a.format_help:
-        print(FORMAT_HELP)
+        say("format")
         return 0
     if a.example:
-        write_example(a.example[0], int(a.example[1]) if len(a.example) > 1 else 42, lang)
+        days = int(a.example[1]) if len(a.example) > 1 else 42
+        true = write_example(a.example[0], days, lang)
+        say("written", arg=a.example[0], n=days)
+        for item, lag, size in true:
+            say("culprit", arg=item, lag=lag, size=size)
         return 0
     spark = builder("local[*]").config("spark.sql.shuffle.partitions", os.cpu_count() or 8).getOrCreate()
     if a.validate is not None:
@@ -72,11 +84,11 @@ def main(argv: list[str] | None = None) -> int:
 
         for hours in ((), READING_HOURS):
             for days in a.validate or DURATIONS:
-                m = evaluate(spark, n_days=days, reading_hours=hours)
-                print(f"{days} days, {m['n_obs']:.0f} readings: recall {m['recall']:.0%}, precision {m['precision']:.0%}, delay error {m['err_lag_h'] or float('nan'):.1f} h", flush=True)
+                m = evaluate(spark, a.seeds, days, hours, a.replicates or 120)
+                say("quality", n=days, readings=m["n_obs"] or 0, recall=m["recall"] or 0, precision=m["precision"] or 0, err=float("nan") if m["err_lag_h"] is None else m["err_lag_h"])
         return 0
     from .plans.analyze import analyze
-    from .plans.report import text
+    from .plans.report import diagnostic, text
     from .sources.diary import load
 
     if not a.file:
@@ -84,12 +96,13 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     obs, entries, relievers, diagnostics = load(spark, a.file, a.sheet, lang)
     for d in diagnostics.orderBy("line_no").collect():
-        print(message(d["code"], lang, line=d["line_no"], arg=d["arg"]))
-    if obs.count() < 10 or entries.count() < 5:
-        print("Too few rows: at least 10 readings and 5 entries are needed.")
+        print(diagnostic(d, lang))
+    readings, intakes = obs.count(), entries.count()
+    if readings < 10 or intakes < 5:
+        say("too_few", n=readings, arg=intakes)
         return 1
-    results, stats, discarded = analyze(obs, entries, relievers, replicates=a.replicates)
-    print(text(results, stats, discarded))
+    results, stats, discarded = analyze(obs, entries, relievers, replicates=a.replicates or 200)
+    print(text(results, stats, discarded, lang=lang))
     return 0
 
 

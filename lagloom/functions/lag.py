@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Centres and half-widths of the lag kernels, in hours.
@@ -28,6 +28,22 @@ def kernel_table(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(k, c, w) for k, (c, w) in enumerate(zip(CENTERS, WIDTHS))], "k int, c double, w double")
 
 
+def register_kernels(spark: SparkSession, name: str = "lag_kernels") -> None:
+    """The SQL table function ``lag_kernels(d)``: (k, weight) of every kernel at a delay of d hours."""
+    rows = ", ".join(f"({k}, {c}D, {w}D)" for k, (c, w) in enumerate(zip(CENTERS, WIDTHS)))
+    spark.sql(
+        f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(d DOUBLE) RETURNS TABLE (k INT, weight DOUBLE) RETURN "
+        f"SELECT k, CASE WHEN abs(({name}.d - c) / w) < 1 AND {name}.d >= {LEAST} THEN 0.5D * (1 + cos(pi() * (({name}.d - c) / w))) ELSE 0D END "
+        f"FROM VALUES {rows} AS t(k, c, w)"
+    )
+
+
+def since_first(ts: Column, order: Column, by: list[str] | None = None) -> Column:
+    """Hours since the row that comes first by ``order``, which need not be the earliest."""
+    window = Window.partitionBy(*(by or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return hours(ts) - F.first(hours(ts)).over(window)
+
+
 def kernel(d: Column, c: Column, w: Column) -> Column:
     u = (d - c) / w
     return F.when((F.abs(u) < 1) & (d >= LEAST), 0.5 * (1 + F.cos(F.lit(math.pi) * u))).otherwise(0.0)

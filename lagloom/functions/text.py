@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -10,19 +11,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: What parts the words of a name, and what a title shows before a parenthesis.
+_GAPS = re.compile(r"[-_\s]+")
+_TITLE = re.compile(r"\s*([^(]*?)\s*(?:\(.*)?", re.DOTALL)
+
 
 def plain_name(c: Column) -> Column:
     """A name in lower case with runs of blanks, - and _ as one _; accents stay (JVM only)."""
-    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"[-_\s]+", " ")), " ", "_")
+    return F.regexp_replace(F.trim(F.regexp_replace(F.lower(c), r"[-_\s\x1c-\x1f]+", " ")), " ", "_")
+
+
+class _Plain(dict):
+    """Character -> what is left of it without accents, in compatibility form; filled as characters come up."""
+
+    def __missing__(self, code: int) -> str:
+        apart = unicodedata.normalize("NFKD", chr(code))
+        self[code] = out = "".join(x for x in apart if not unicodedata.combining(x))
+        return out
+
+
+_plain = _Plain()
 
 
-def fold(name: str) -> str:
-    """Compatibility form without combining marks."""
-    return "".join(x for x in unicodedata.normalize("NFKD", name.strip().lower()) if not unicodedata.combining(x))
+def without_accents(name: str) -> str:
+    return name.lower().translate(_plain)
 
 
 def normal_name(name: str) -> str:
-    return "_".join(fold(name).replace("-", " ").replace("_", " ").split())
+    """Words of letters without accents, joined by _."""
+    return "_".join(word for word in _GAPS.split(without_accents(name)) if word)
 
 
 @F.pandas_udf(StringType())
@@ -32,18 +49,14 @@ def _normal_names(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def normalize_column(df: DataFrame, source: str, target: str) -> DataFrame:
-    """Adds ``target``: ``source`` normalised. ASCII names stay in the JVM; of the others, each
-    distinct one goes through Python once and is joined back."""
-    ascii_ = F.col(source).rlike(r"^[\x00-\x7F]*$")
-    odd = df.where(~ascii_).select(F.col(source).alias("_odd")).distinct().withColumn("_folded", _normal_names("_odd"))
-    return df.join(odd, df[source] == odd["_odd"], "left").select(
-        *[df[c] for c in df.columns], F.coalesce("_folded", plain_name(df[source])).alias(target)
-    )
+    """Adds ``target``: ``source`` normalised. ASCII names stay in the JVM; Python gets a null for them."""
+    other = F.when(~F.col(source).rlike(r"^[\x00-\x7F]*$"), F.col(source))
+    return df.withColumn("_other", _normal_names(other)).withColumn(target, F.coalesce("_other", plain_name(F.col(source)))).drop("_other")
 
 
 def normal_header(name: str) -> str:
-    """A column title: folded, cut at the first parenthesis, blanks as _."""
-    return fold(name).split("(")[0].strip().replace(" ", "_")
+    """A column title: without accents, cut at the first parenthesis, blanks as _."""
+    return _TITLE.fullmatch(without_accents(name))[1].replace(" ", "_")
 
 
 def header(c: Column) -> Column:
@@ -63,17 +76,28 @@ def number(c: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
 
 
+def date_shape(pattern: str) -> str:
+    """What a date in a pattern of y, M and d looks like, as a regular expression."""
+    digits = {"y": lambda n: rf"\d{{{n}}}", "M": lambda n: r"\d{1,2}", "d": lambda n: r"\d{1,2}"}
+    return "^" + "".join(digits[m[0]](len(m)) if m[0] in digits else re.escape(m) for m in re.findall(r"y+|M+|d+|[^yMd]", pattern)) + "$"
+
+
 def parsed_date(c: Column, formats: tuple[str, ...]) -> Column:
-    return F.coalesce(*(F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats)).cast("date")
+    """The date by the first format that it has the shape of; only that one is tried."""
+    t, out = F.trim(c), F.lit(None).cast("timestamp")
+    for f in reversed(formats):
+        out = F.when(t.rlike(date_shape(f)), F.try_to_timestamp(t, F.lit(f))).otherwise(out)
+    return out.cast("date")
 
 
 def parsed_minutes(c: Column) -> Column:
     """Minutes from midnight of 8:00, 08:00:00 or 8:30am; null if unreadable."""
-    hour = F.regexp_extract(F.lower(F.trim(c)), r"^(\d{1,2}):(\d{2})(?::\d{2})?\s*(am|pm)?$", 1).try_cast("int")
-    minute = F.regexp_extract(F.lower(F.trim(c)), r"^(\d{1,2}):(\d{2})", 2).try_cast("int")
-    half = F.regexp_extract(F.lower(F.trim(c)), r"(am|pm)$", 1)
-    h = F.when(half == "", hour).when((hour >= 1) & (hour <= 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
-    return F.when((h < 24) & (minute < 60), h * 60 + minute)
+    t = F.lower(F.trim(c))
+    hour, minute = F.substring_index(t, ":", 1).try_cast("int"), F.substring(F.split_part(t, F.lit(":"), F.lit(2)), 1, 2).try_cast("int")
+    half = F.right(t, F.lit(2))
+    twelve = half.isin("am", "pm")
+    h = F.when(~twelve, hour).when(hour.between(1, 12), hour % 12 + F.when(half == "pm", 12).otherwise(0))
+    return F.when(t.rlike(r"^\d{1,2}:[0-5]\d(:\d{2})?\s*(am|pm)?$") & (h < 24), h * 60 + minute)
 
 
 def iso_duration(c: Column) -> Column:
@@ -92,15 +116,17 @@ def repeat_count(c: Column, most: int = 4096) -> Column:
     return F.coalesce(F.least(F.greatest(c.try_cast("int"), F.lit(1)), F.lit(most)), F.lit(1))
 
 
+#: The looks of a text, without blanks around, by which a cell is typed.
+CELL_KINDS = {"date": r"\d{4}-\d{2}-\d{2}", "time": r"\d{1,2}:\d{2}", "float": r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?"}
+
+
 def cell_type(c: Column) -> Column:
     """The value type that a text is written with in a sheet."""
-    return (
-        F.when(F.coalesce(c, F.lit("")) == "", "blank")
-        .when(c.rlike(r"^\d{4}-\d{2}-\d{2}$"), "date")
-        .when(c.rlike(r"^\d{1,2}:\d{2}$"), "time")
-        .when(c.rlike(r"^-?\d+(\.\d+)?$"), "float")
-        .otherwise("string")
-    )
+    t = F.trim(F.coalesce(c, F.lit("")))
+    out = F.when(t == "", "blank")
+    for kind, look in CELL_KINDS.items():
+        out = out.when(t.rlike(f"^(?:{look})$"), kind)
+    return out.otherwise("string")
 
 
 def xml_escaped(c: Column) -> Column:
@@ -114,12 +140,23 @@ def number_text(c: Column) -> Column:
     return F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string"))
 
 
+def shortened(c: Column, by: int) -> Column:
+    """A name and what is left of it without up to ``by`` of its characters."""
+    out = F.array(c)
+    for _ in range(by):
+        cuts = F.transform(out, lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x)))))
+        out = F.array_distinct(F.concat(out, F.flatten(cuts)))
+    return out
+
+
 def near_names(names: DataFrame, col: str = "item", distance: int = 1) -> DataFrame:
     """(a, b): pairs a < b with the same first letter and an edit distance of at most ``distance``.
 
-    Names are joined on first letter and a length, each also standing for lengths up to ``distance``
-    away, so a common first letter doesn't meet in one bucket of all lengths."""
+    Two such names have a form in common that is left of each without up to ``distance`` characters, so they meet on
+    that form: candidates follow the names' lengths and likenesses, not the number of names with a letter.
+    """
     n = names.select(F.col(col).alias("n")).where("n <> ''").distinct()
-    a = n.select(F.col("n").alias("a"), F.substring("n", 1, 1).alias("f"), F.length("n").alias("l"))
-    b = n.select(F.col("n").alias("b"), F.substring("n", 1, 1).alias("f"), F.explode(F.sequence(F.length("n") - distance, F.length("n") + distance)).alias("l"))
-    return a.join(b, ["f", "l"]).where((F.col("a") < F.col("b")) & F.levenshtein("a", "b", distance).between(0, distance)).select("a", "b")
+    forms = n.select("n", F.substring("n", 1, 1).alias("f"), F.explode(shortened(F.col("n"), distance)).alias("form"))
+    a, b = forms.withColumnRenamed("n", "a"), forms.withColumnRenamed("n", "b")
+    met = a.join(b, ["f", "form"]).where("a < b").select("a", "b").distinct()
+    return met.where(F.levenshtein("a", "b", distance).between(0, distance))

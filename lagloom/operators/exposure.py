@@ -62,3 +62,14 @@ def gram(x: DataFrame, column: str) -> DataFrame:
     a = x.select("diary_id", "obs_id", F.col(column).alias("i"), F.col("x").alias("a"))
     b = x.select("diary_id", "obs_id", F.col(column).alias("j"), F.col("x").alias("b"))
     return a.join(b, ["diary_id", "obs_id"]).where("i <= j").groupBy("i", "j").agg(F.sum(F.col("a") * F.col("b")).alias("s"))
+
+
+def gram_blocks(x: DataFrame, item: str = "item") -> DataFrame:
+    """Products of exposure columns (item, k) summed over the observations of a day block, upper half.
+
+    ``x`` carries ``block``. An observation's columns meet by (diary, observation), so rows follow the squared number of
+    items within 84 hours of a reading, never of the vocabulary.
+    """
+    side = lambda name: x.select("diary_id", "block", "obs_id", F.col(item).alias(f"{name}_item"), F.col("k").alias(f"{name}_k"), F.col("x").alias(f"{name}_x"))
+    pairs = side("i").join(side("j"), ["diary_id", "block", "obs_id"]).where("struct(i_item, i_k) <= struct(j_item, j_k)")
+    return pairs.groupBy("diary_id", "block", "i_item", "i_k", "j_item", "j_k").agg(F.sum(F.col("i_x") * F.col("j_x")).alias("s"))

@@ -74,3 +74,16 @@ def drift_residual(obs: DataFrame) -> DataFrame:
     return obs.join(fit, "diary_id").select(
         "diary_id", "obs_id", (F.col("y") - F.col("my") - F.coalesce("slope", F.lit(0.0)) * (F.col("t_h") - F.col("mt"))).alias("r")
     )
+
+
+def orthonormal(z: DataFrame) -> DataFrame:
+    """(diary_id, obs_id, q): the columns ``z`` of each diary made orthonormal; null columns where they depend on one another."""
+    import numpy as np
+    import pandas as pd
+
+    def turned(pdf: pd.DataFrame) -> pd.DataFrame:
+        q, r = np.linalg.qr(np.stack(pdf["z"].to_numpy()))
+        q = q * (np.abs(np.diag(r)) > 1e-9)
+        return pd.DataFrame({"diary_id": pdf["diary_id"], "obs_id": pdf["obs_id"], "q": list(q)})
+
+    return z.groupBy("diary_id").applyInPandas(turned, "diary_id long, obs_id long, q array<double>")

@@ -2,48 +2,166 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Readings that are shuffled among themselves, about; with fewer in all, all of them.
+GROUP = 4096
+#: Bytes of predictions that a task holds at once.
+HELD = 64 << 20
+
 
 def wide(observations: DataFrame, x: DataFrame, features: list[str]) -> DataFrame:
-    """One row per observation, one column per feature, 0 where there is no exposure; fold by 96-hour block."""
-    p = x.groupBy("diary_id", "obs_id").pivot("feature", features).agg(F.sum("x"))
+    """One row per observation with the exposures as an array in order of ``features``, 0 where there is none; fold by 96-hour block."""
+    found = x.groupBy("diary_id", "obs_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", "x"))).alias("m"))
     start = F.min("t_h").over(Window.partitionBy("diary_id"))
-    fold = F.floor((F.col("t_h") - start) / 96).cast("int")
-    return observations.select("diary_id", "obs_id", "y", fold.alias("fold")).join(p, ["diary_id", "obs_id"], "left").fillna(0.0, features)
+    names = F.array(*map(F.lit, features))
+    values = F.transform(names, lambda n: F.coalesce(F.try_element_at("m", n), F.lit(0.0)))
+    rows = observations.select("diary_id", "obs_id", "y", F.floor((F.col("t_h") - start) / 96).cast("int").alias("fold"))
+    return rows.join(found, ["diary_id", "obs_id"], "left").select("diary_id", "obs_id", "y", "fold", values.alias("x"))
+
 
+def forest(trees: int, seed: int = 0, depth: int = 10) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
 
-def forest(trees: int, seed: int = 0) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="sqrt", seed=seed)
 
+def assembled(rows: DataFrame) -> DataFrame:
+    from pyspark.ml.functions import array_to_vector
 
-def cross_validate(df: DataFrame, features: list[str], trees: int = 500, folds: int = 3) -> list[float]:
-    """R2 of each fold; folds are groups of 96-hour blocks, which no lag window spans."""
-    v = VectorAssembler(inputCols=features, outputCol="f").transform(df).withColumn("part", F.pmod("fold", F.lit(folds)))
-    score = RegressionEvaluator(labelCol="y", metricName="r2")
-    return [score.evaluate(forest(trees).fit(v.where(F.col("part") != i)).transform(v.where(F.col("part") == i))) for i in range(folds)]
+    return rows.withColumn("f", array_to_vector("x"))
 
 
-def rank(observations: DataFrame, x: DataFrame, trees: int = 500, repeats: int = 100, features: int | None = None, seed: int = 0) -> DataFrame:
-    """(feature, importance, exposed): the 15 features whose shuffling costs most R2, with their exposed readings."""
+def features_of(x: DataFrame) -> list[str]:
+    """All features in order of name: items times bands."""
+    return [r["feature"] for r in x.select("feature").distinct().orderBy("feature").collect()]
+
+
+def cross_validate(observations: DataFrame, x: DataFrame, trees: int = 500, seed: int = 0) -> DataFrame:
+    """(fold, n, r2): a forest for each 96-hour block, which no lag window spans, trained on the others."""
     spark = observations.sparkSession
-    counts = x.groupBy("feature").agg(F.count_if(F.col("x") > 0).alias("exposed"))
-    names = [r["feature"] for r in (counts.orderBy(F.desc("exposed"), "feature").limit(features) if features else counts.orderBy("feature")).collect()]
-    v = VectorAssembler(inputCols=names, outputCol="f").transform(wide(observations, x, names)).persist()
-    model, score = forest(trees, seed).fit(v), RegressionEvaluator(labelCol="y", metricName="r2")
-    base = score.evaluate(model.transform(v))
-    numbered = v.select("y", *names).withColumn("_i", F.row_number().over(Window.orderBy(F.monotonically_increasing_id()))).persist()
-    assemble, out = VectorAssembler(inputCols=names, outputCol="f"), []
-    for name in names:
-        lost = 0.0
-        for r in range(repeats):
-            other = numbered.select(F.col(name).alias("_v"), F.row_number().over(Window.orderBy(F.xxhash64("_i", F.lit(seed + r)))).alias("_i"))
-            lost += base - score.evaluate(model.transform(assemble.transform(numbered.drop(name).join(other, "_i").withColumnRenamed("_v", name))))
-        out.append((name, lost / repeats))
+    v = assembled(wide(observations, x, features_of(x))).persist()
+    sizes = {r["fold"]: r["count"] for r in v.groupBy("fold").count().collect()}
+    score, out = RegressionEvaluator(labelCol="y", metricName="r2"), []
+    for fold in sorted(sizes):
+        model = forest(trees, seed).fit(v.where(F.col("fold") != fold)) if len(sizes) > 1 else forest(trees, seed).fit(v)
+        out.append((fold, sizes[fold], float(score.evaluate(model.transform(v.where(F.col("fold") == fold))))))
     v.unpersist()
-    found = spark.createDataFrame(out, "feature string, importance double")
-    return found.join(counts, "feature").orderBy(F.desc("importance"), "feature").limit(15)
+    return spark.createDataFrame(out, "fold int, n long, r2 double")
+
+
+class Trees:
+    """The trees of a fitted forest as arrays: a node's feature (-1 in leaves), threshold, children and value."""
+
+    def __init__(self, described: str):
+        feature, bound, left, right, value, roots, opened = [], [], [], [], [], [], []
+
+        def node() -> int:
+            for held, x in ((feature, -1), (bound, 0.0), (left, 0), (right, 0), (value, 0.0)):
+                held.append(x)
+            left[-1] = right[-1] = len(value) - 1
+            return len(value) - 1
+
+        def placed(at: int) -> int:
+            """Hangs a new node where the text has come to: left of the innermost open split, or right once that is done."""
+            if opened:
+                parent, side = opened[-1]
+                (left if side == 0 else right)[parent] = at
+            else:
+                roots.append(at)
+            return at
+
+        def done() -> None:
+            while opened and opened[-1][1] == 1:
+                opened.pop()
+
+        for line in described.splitlines():
+            if m := re.match(r"\s*If \(feature (\d+) <= (\S+)\)", line):
+                at = placed(node())
+                feature[at], bound[at] = int(m[1]), float(m[2])
+                opened.append((at, 0))
+            elif re.match(r"\s*Else \(", line):
+                opened[-1] = (opened[-1][0], 1)
+            elif m := re.match(r"\s*Predict: (\S+)", line):
+                value[placed(node())] = float(m[1])
+                done()
+        self.feature, self.bound = np.array(feature, np.int32), np.array(bound)
+        self.left, self.right, self.value, self.roots = np.array(left, np.int32), np.array(right, np.int32), np.array(value), np.array(roots, np.int32)
+        ends = np.append(self.roots[1:], len(value))
+        self.uses = [set(self.feature[a:b].tolist()) for a, b in zip(self.roots, ends)]
+
+    def each(self, x: np.ndarray, trees: np.ndarray) -> np.ndarray:
+        """(rows, trees) predictions."""
+        at, rows = np.repeat(self.roots[trees][None], len(x), axis=0), np.arange(len(x))[:, None]
+        while (self.feature[at] >= 0).any():
+            below = x[rows, np.maximum(self.feature[at], 0)] <= self.bound[at]
+            at = np.where(below, self.left[at], self.right[at])
+        return self.value[at]
+
+
+def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: int, seed: int) -> list[float]:
+    """Growth of the squared error, summed over rows and repeats, where one feature is shuffled among the rows."""
+    base, n_trees, out = np.zeros(len(x)), len(model.roots), []
+    step = max(1, HELD // (8 * max(1, len(x))))
+    for s in range(0, n_trees, step):
+        base += model.each(x, np.arange(s, min(n_trees, s + step))).sum(axis=1)
+    wrong = (y - base / n_trees) ** 2
+    for f in features:
+        r, lost = np.random.default_rng([seed, f]), 0.0
+        users = np.array([i for i, used in enumerate(model.uses) if f in used], np.int64)
+        if not len(users) or (x[:, f] == x[0, f]).all():
+            out.append(0.0)
+            continue
+        # shuffled values of many repeats at once; only rows whose value changes, and trees that look at it, count anew
+        for first in range(0, repeats, 16):
+            orders = [r.permutation(len(x)) for _ in range(min(16, repeats - first))]
+            for order in orders:
+                new = x[order, f]
+                rows = np.flatnonzero(new != x[:, f])
+                if not len(rows):
+                    continue
+                moved = x[rows].copy()
+                moved[:, f] = new[rows]
+                change = np.zeros(len(rows))
+                step = max(1, HELD // (16 * len(rows)))
+                for s in range(0, len(users), step):
+                    change += model.each(moved, users[s : s + step]).sum(axis=1) - model.each(x[rows], users[s : s + step]).sum(axis=1)
+                lost += float(((y[rows] - (base[rows] + change) / n_trees) ** 2 - wrong[rows]).sum())
+        out.append(lost)
+    return out
+
+
+def rank(observations: DataFrame, x: DataFrame, trees: int = 500, repeats: int = 100, seed: int = 0, limit: int = 15) -> DataFrame:
+    """(feature, importance, exposed): the 15 features whose shuffling costs most R2, with their exposed readings.
+
+    One forest on all features. Readings are dealt to random groups of about ``GROUP``; a task takes a group and
+    some features, shuffles each feature among the group's readings ``repeats`` times, and returns by how much the
+    squared error grows. So no shuffle is global, and nothing but sums by feature reaches the driver.
+    """
+    spark = observations.sparkSession
+    names = features_of(x)
+    rows = wide(observations, x, names).persist()
+    model = Trees(forest(trees, seed).fit(assembled(rows)).toDebugString)
+    sent = spark.sparkContext.broadcast(model)
+    total = rows.agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("squares")).first()
+    groups = max(1, -(-total["n"] // GROUP))
+    parts = max(1, min(len(names), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
+
+    def lost(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = int(pdf["part"].iloc[0])
+        pdf = pdf.sort_values(["diary_id", "obs_id"])
+        mine = list(range(part, len(names), parts))
+        found = _losses(sent.value, mine, pdf["y"].to_numpy(), np.stack(pdf["x"].to_numpy()), repeats, seed + int(pdf["group"].iloc[0]))
+        return pd.DataFrame({"feature": [names[f] for f in mine], "lost": found})
+
+    dealt = rows.withColumn("group", F.pmod(F.xxhash64("diary_id", "obs_id", F.lit(seed)), F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    sums = dealt.repartition(groups * parts, "group", "part").groupBy("group", "part").applyInPandas(lost, "feature string, lost double").groupBy("feature").agg(F.sum("lost").alias("lost"))
+    counts = x.groupBy("feature").agg(F.count_if(F.col("x") > 0).alias("exposed"))
+    share = F.when(F.lit(total["squares"] or 0.0) > 0, F.col("lost") / F.lit((total["squares"] or 1.0) * repeats)).otherwise(0.0)
+    return sums.join(counts, "feature").select("feature", share.alias("importance"), "exposed").orderBy(F.desc("importance"), "feature").limit(limit)

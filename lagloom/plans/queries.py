@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import lag, text
 from ..operators import baskets, exposure as ex, series
+from ..session import shared_folder
 from ..sources import ods
 from ..sources.i18n import DATE_FORMATS, SHORT_DATE
-from . import simulate
+from . import plot, simulate
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -107,6 +108,27 @@ def gram_long(s, d):
     return ex.gram(g, "k").withColumn("s", r4("s"))
 
 
+DAYS = "dy AS (SELECT *, floor((t_h - min(t_h) OVER (PARTITION BY diary_id))/24)::BIGINT AS day FROM obs), db AS (SELECT diary_id, day, ((row_number() OVER (PARTITION BY diary_id ORDER BY day) - 1)//3)::BIGINT AS block FROM (SELECT DISTINCT diary_id, day FROM dy)), xb AS (SELECT x.*, block, y FROM x JOIN dy USING (diary_id, obs_id) JOIN db USING (diary_id, day))"
+
+
+def by_block(s, d):
+    """Exposures with the day block and the outcome of their observation."""
+    o = observations(s, d).withColumn("day", F.floor((F.col("t_h") - F.min("t_h").over(series.whole())) / 24))
+    placed = o.join(series.day_blocks(observations(s, d)), ["diary_id", "day"]).select("diary_id", "obs_id", "block", "y")
+    return _x(s, d).join(placed, ["diary_id", "obs_id"])
+
+
+@query(BASE + f", {DAYS} SELECT a.diary_id, a.block, a.item AS i_item, a.k AS i_k, b.item AS j_item, b.k AS j_k, round(sum(a.x*b.x), 4) AS s FROM xb a JOIN xb b ON a.diary_id = b.diary_id AND a.obs_id = b.obs_id AND (a.item, a.k) <= (b.item, b.k) GROUP BY ALL")
+def gram_blocks(s, d):
+    """Gram matrix over (item, kernel) of each diary's day blocks, upper half."""
+    return ex.gram_blocks(by_block(s, d)).withColumn("s", r4("s"))
+
+
+@query(BASE + f", {DAYS} SELECT diary_id, block, item, k, round(sum(x*y), 4) AS xy, count(*) AS n FROM xb GROUP BY ALL")
+def cross_moments(s, d):
+    return by_block(s, d).groupBy("diary_id", "block", "item", "k").agg(r4(F.sum(F.col("x") * F.col("y"))).alias("xy"), F.count("*").alias("n"))
+
+
 @query(BASE + "SELECT item, k, round(sqrt(sum(x*x)), 4) AS length FROM x GROUP BY ALL")
 def column_norms(s, d):
     return _x(s, d).groupBy("item", "k").agg(r4(F.sqrt(F.sum(F.col("x") * F.col("x")))).alias("length"))
@@ -136,6 +158,28 @@ def free_share(s, d):
     return m.groupBy("diary_id", "item").agg(share.alias("s")).where("s >= 0.1005").select("diary_id", "item", F.round("s", 3).alias("share"))
 
 
+# Gram-Schmidt over the six controls, one column after the other
+_Z = "z0 AS (SELECT o.diary_id, obs_id, 1e0 AS v0, sin(2*pi()*h/24) AS v1, cos(2*pi()*h/24) AS v2, sin(4*pi()*h/24) AS v3, cos(4*pi()*h/24) AS v4, (t_h - avg(t_h) OVER (PARTITION BY o.diary_id))/24 AS v5 FROM (SELECT *, hour(ts) + minute(ts)/60e0 AS h, count(*) OVER (PARTITION BY diary_id) AS n FROM obs) o WHERE n >= 10)"
+for _i in range(6):
+    _kept = ", ".join(f"v{j}" for j in range(_i))
+    _turn = ", ".join(f"v{j} - sum(v{j}*q) OVER (PARTITION BY diary_id)*q AS v{j}" for j in range(_i + 1, 6))
+    _norm = f"SELECT *, v{_i}/sqrt(sum(v{_i}*v{_i}) OVER (PARTITION BY diary_id)) AS q FROM z{_i}"
+    _Z += f", z{_i + 1} AS (SELECT diary_id, obs_id{', ' + _kept if _kept else ''}, q AS v{_i}{', ' + _turn if _turn else ''} FROM ({_norm}))"
+
+
+@query(BASE + f", {_Z}, m AS (SELECT diary_id, item, k, sum(x*x) AS xx, {', '.join(f'sum(x*v{j}) AS p{j}' for j in range(6))} FROM x JOIN z6 USING (diary_id, obs_id) GROUP BY ALL) SELECT diary_id, item, round(max(CASE WHEN xx <= 1e-24 THEN 0e0 ELSE sqrt(greatest(xx - {' - '.join(f'p{j}*p{j}' for j in range(6))}, 0e0)/xx) END), 3) AS share FROM m GROUP BY ALL")
+def free_share_controls(s, d):
+    """Share of an item's exposure that the six controls leave free, best kernel per item; diaries of 10 readings on."""
+    o = observations(s, d).withColumn("n", F.count("*").over(series.whole())).where("n >= 10")
+    z = series.controls(o, lag.hour_of_day(F.col("ts"))).select("diary_id", "obs_id", F.array(*(f"z{i}" for i in range(6))).alias("z"))
+    m = _x(s, d).join(series.orthonormal(z), ["diary_id", "obs_id"]).groupBy("diary_id", "item", "k").agg(
+        F.sum(F.col("x") * F.col("x")).alias("xx"), *(F.sum(F.col("x") * F.col("q")[i]).alias(f"p{i}") for i in range(6))
+    )
+    left = F.greatest(F.col("xx") - sum((F.col(f"p{i}") * F.col(f"p{i}") for i in range(6)), F.lit(0.0)), F.lit(0.0))
+    share = F.max(F.when(F.col("xx") <= 1e-24, 0.0).otherwise(F.sqrt(left / F.col("xx"))))
+    return m.groupBy("diary_id", "item").agg(F.round(share, 3).alias("share"))
+
+
 @query(BASE + ", c AS (SELECT item, k, sum(x*y) AS c FROM x JOIN obs USING (diary_id, obs_id) GROUP BY ALL) SELECT round(max(g), 4) AS lambda_max FROM (SELECT sqrt(sum(greatest(c, 0)*greatest(c, 0)))/sqrt(7e0) AS g FROM c GROUP BY item)")
 def lambda_max(s, d):
     o = observations(s, d).select("diary_id", "obs_id", "y")
@@ -219,6 +263,12 @@ def hours_since_origin(s, d):
     return observations(s, d).select("diary_id", "obs_id", r4(F.col("t_h") - F.min("t_h").over(series.whole())).alias("hours"))
 
 
+@query("SELECT event_id, round((epoch_us(ts) - first_value(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))/3.6e9, 4) AS hours FROM events")
+def hours_since_first_row(s, d):
+    """Hours since the first row of a diary, whatever its time."""
+    return table(s, d, "events").select("event_id", r4(lag.since_first(F.col("ts"), F.col("event_id"), ["user_id"])).alias("hours"))
+
+
 @query(f"WITH {OBS} SELECT obs_id, round(hour(ts) + minute(ts)/60e0, 4) AS hod FROM obs")
 def hour_of_day(s, d):
     return observations(s, d).select("obs_id", r4(lag.hour_of_day(F.col("ts"))).alias("hod"))
@@ -257,13 +307,13 @@ def item_components(s, d):
 
 @query(f"WITH RECURSIVE {PAIRS}, {ROOTS} SELECT item, block FROM bl")
 def block_names(s, d):
-    return baskets.fuse(parts(s, d), ["diary_id"], 0.3).select("item", "block")
+    return baskets.fuse(parts(s, d), ["diary_id"], 0.3, grouped=False).select("item", "block")
 
 
 @query(f"WITH RECURSIVE {PAIRS}, {ROOTS} SELECT DISTINCT entry_id, block FROM b JOIN bl USING (item)")
 def events_to_blocks(s, d):
     p = parts(s, d).withColumn("t_h", F.lit(0.0))
-    return baskets.block_events(p, baskets.fuse(p, ["diary_id"], 0.3), ["diary_id"]).select("entry_id", "block")
+    return baskets.block_events(p, baskets.fuse(p, ["diary_id"], 0.3, grouped=False), ["diary_id"]).select("entry_id", "block")
 
 
 @query(f"WITH RECURSIVE {PAIRS}, {ROOTS} SELECT block, count(DISTINCT entry_id) AS n FROM b JOIN bl USING (item) GROUP BY 1")
@@ -321,14 +371,14 @@ def pair_completion(s, d):
     return e.select("entry_id", F.array_join(F.array_sort(both), ";").alias("items"))
 
 
-@query("WITH n AS (SELECT DISTINCT n_name AS n FROM nation) SELECT a.n AS a, b.n AS b FROM n a JOIN n b ON a.n < b.n AND a.n[1] = b.n[1] AND abs(length(a.n) - length(b.n)) <= 1 AND levenshtein(a.n, b.n) <= 1")
+@query("WITH n AS (SELECT DISTINCT c_name AS n FROM customer) SELECT a.n AS a, b.n AS b FROM n a JOIN n b ON a.n < b.n AND a.n[1] = b.n[1] AND abs(length(a.n) - length(b.n)) <= 1 AND levenshtein(a.n, b.n) <= 1")
 def near_duplicate_names(s, d):
-    return text.near_names(table(s, d, "nation").select(F.col("n_name").alias("item")))
+    return text.near_names(table(s, d, "customer").select(F.col("c_name").alias("item")))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(substr(text, 1, 40))), '[-_\\s]+'), lambda x: x <> ''), '_') AS name FROM documents")
+@query("SELECT doc_id, array_to_string(list_filter(regexp_split_to_array(lower(strip_accents(text)), '[-_\\s]+'), lambda x: x <> ''), '_') AS name FROM documents")
 def normalize_names(s, d):
-    return text.normalize_column(table(s, d, "documents").select("doc_id", F.substring("text", 1, 40).alias("t")), "t", "name").select("doc_id", "name")
+    return text.normalize_column(table(s, d, "documents").select("doc_id", F.col("text").alias("t")), "t", "name").select("doc_id", "name")
 
 
 @query("SELECT p_partkey, replace(trim(split_part(lower(trim(p_name || ' (' || p_size || ')')), '(', 1)), ' ', '_') AS header FROM part")
@@ -391,6 +441,16 @@ def parse_dates(s, d):
     return lines(s, d).select("id", F.date_format(text.parsed_date(F.col("date"), DATE_FORMATS["en"]), "yyyy-MM-dd").alias("day"))
 
 
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 9 = 0 THEN NULL ELSE (o_orderkey % 24) * 60 + o_orderkey % 60 END AS minutes FROM orders")
+def parse_times(s, d):
+    """Times written as 8:05, 08:05:00 or 8:05am, some unreadable."""
+    k = F.col("o_orderkey")
+    h, m = k % 24, F.lpad((k % 60).cast("string"), 2, "0")
+    twelve = F.concat(F.when(h % 12 == 0, 12).otherwise(h % 12).cast("string"), F.lit(":"), m, F.when(k % 2 == 0, " ").otherwise(""), F.when(h < 12, "AM").otherwise("pm"))
+    t = F.when(k % 9 == 0, "13:05pm").when(k % 3 == 0, twelve).when(k % 3 == 1, F.concat(F.lpad(h.cast("string"), 2, "0"), F.lit(":"), m, F.lit(":59"))).otherwise(F.concat(h.cast("string"), F.lit(":"), m))
+    return table(s, d, "orders").select("o_orderkey", text.parsed_minutes(t).cast("long").alias("minutes"))
+
+
 @query("SELECT o_orderkey, strftime(o_orderdate, '%-m/%-d/%y') AS en, strftime(o_orderdate, '%d/%m/%Y') AS fr, strftime(o_orderdate, '%H:%M') AS hm FROM orders")
 def format_dates(s, d):
     t = F.col("o_orderdate")
@@ -598,33 +658,62 @@ def src_trim_trailing(s, d):
     return table(s, d, "orders").select("o_orderkey", c.alias("c")).select("o_orderkey", F.array_join(F.slice("c", F.lit(1), last), "|").alias("cells"))
 
 
-@query("SELECT 'date' AS name, 'string' AS kind UNION ALL SELECT 'amount', 'double' UNION ALL SELECT 'status', 'string'")
+@query("SELECT o_orderkey::DOUBLE AS number, o_orderdate::DATE AS date, (o_orderkey % 24) * 60 + 5 AS time, o_totalprice AS amount, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE (o_orderkey % 9)::DOUBLE END AS some, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE o_orderstatus END AS status FROM orders")
 def src_typed_infer(s, d):
-    o = table(s, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("date_"), F.col("o_totalprice").cast("string").alias("amount"), F.col("o_orderstatus").alias("status"))
-    kinds = dict(ods.typed(o).dtypes)
-    return s.createDataFrame([("date", kinds["date_"]), ("amount", kinds["amount"]), ("status", kinds["status"])], "name string, kind string")
+    """Text columns by what all their values are: dates, minutes, numbers, other texts; blanks as nulls."""
+    k = F.col("o_orderkey")
+    o = table(s, d, "orders").select(
+        k.cast("string").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.concat((k % 24).cast("string"), F.lit(":05")).alias("time"),
+        F.col("o_totalprice").cast("string").alias("amount"), F.when(k % 4 == 0, "").otherwise((k % 9).cast("string")).alias("some"),
+        F.when(k % 5 == 0, "").otherwise(F.col("o_orderstatus")).alias("status"),
+    )
+    return ods.typed(o).withColumn("time", F.col("time").cast("long"))
+
 
+def _scratch(s) -> str:
+    """A round trip's own folder in the one that all executors share."""
+    return f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
 
-def _scratch() -> str:
-    """A small round trip's file: one folder of this process, on a local session only."""
-    return tempfile.mkdtemp(prefix="lagloom-")
 
+TRIP = "SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority FROM orders"
 
-@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+
+def _orders(s, d):
+    return table(s, d, "orders").select("o_orderkey", "o_orderstatus", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority")
+
+
+@query(TRIP)
 def src_csv_roundtrip(s, d):
     from ..sources.diary import read_lines
 
-    path = f"{_scratch()}/nation.csv"
-    table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.option("header", True).csv(path)
-    return read_lines(s, path).select("n_nationkey", "n_name", "n_regionkey")
+    path = f"{_scratch(s)}/orders.csv"
+    _orders(s, d).coalesce(1).write.option("header", True).csv(path)
+    return read_lines(s, path).select("o_orderkey", "o_orderstatus", "day", "o_orderpriority")
 
 
-@query("SELECT n_nationkey::VARCHAR AS n_nationkey, n_name, n_regionkey::VARCHAR AS n_regionkey FROM nation")
+@query(TRIP)
 def src_ods_roundtrip(s, d):
-    path = f"{_scratch()}/nation.ods"
+    path = f"{shared_folder(s)}/orders-{uuid.uuid4().hex}.ods"
     ods.register(s)
-    table(s, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).write.format("ods").mode("append").save(path)
-    return ods.read_ods(s, path).select("n_nationkey", "n_name", "n_regionkey")
+    _orders(s, d).coalesce(1).write.format("ods").mode("append").save(path)
+    return ods.read_ods(s, path).select("o_orderkey", "o_orderstatus", "day", "o_orderpriority")
+
+
+SHOWN = (("click_0", None), ("view_1", 2), 12)
+
+
+@query(BASE + "SELECT o.diary_id, o.obs_id, s.series, round(coalesce(sum(x.x), 0e0), 4) AS value FROM obs o CROSS JOIN (VALUES (0, 'click_0', NULL), (1, 'view_1', 2), (2, 'click_1', 5)) s(series, item, k) LEFT JOIN x ON x.diary_id = o.diary_id AND x.obs_id = o.obs_id AND x.item = s.item AND (s.k IS NULL OR s.k = x.k) GROUP BY ALL")
+def exposure_plot(s, d):
+    """Chosen series as they are plotted: an item's total, one of its kernels, and a column by number."""
+    rows = plot.series(observations(s, d), _x(s, d), ["click_0", "click_1", "view_1"], SHOWN)
+    return rows.select("diary_id", "obs_id", "series", r4("value").alias("value"))
+
+
+@query(f"WITH {KER}, t AS (SELECT unnest(range(1, 100))::DOUBLE AS d) SELECT d, k, round(CASE WHEN abs((d-c)/w) < 1 THEN 0.5e0*(1+cos(pi()*(d-c)/w)) ELSE 0 END, 4) AS weight FROM t, ker")
+def kernel_function(s, d):
+    """The kernels as an SQL table function."""
+    lag.register_kernels(s)
+    return s.sql("SELECT t.d, w.k, round(w.weight, 4) + 0D AS weight FROM (SELECT CAST(id AS DOUBLE) AS d FROM range(1, 100)) t, LATERAL lag_kernels(t.d) w")
 
 
 # ---- operators without an SQL form
@@ -633,7 +722,7 @@ def sim_generate(s, d):
     return simulate.generate(s, 4, simulate.Setup(n_days=14, reading_hours=simulate.READING_HOURS, reliever=simulate.RELIEVER))
 
 
-@query()
+@query(f"WITH {OBS}, o AS (SELECT *, row_number() OVER (PARTITION BY diary_id ORDER BY t_h, obs_id) AS i, count(*) OVER (PARTITION BY diary_id) AS n FROM obs) SELECT diary_id, round(sum(y * pow(0.45e0, n - i)), 4) AS e FROM o GROUP BY 1")
 def ar1_noise(s, d):
     """AR(1) recursion e_i + 0.45 e_(i-1) over outcomes in order, as a fold."""
     o = observations(s, d).groupBy("diary_id").agg(F.array_sort(F.collect_list(F.struct("t_h", "obs_id", "y"))).alias("o"))
@@ -681,7 +770,7 @@ def group_lasso_path(s, d):
                 y = x[:, 7:14] @ np.full(7, 1.5) + r.normal(0, 0.5, 200)
                 g, c = Groups(x.T @ x / 200), x.T @ y / 200
                 beta, rows = None, []
-                for i, lam in enumerate(g.largest(c) * np.logspace(0, -2, 50)[:20]):
+                for i, lam in enumerate(g.largest(c) * np.logspace(0, -2, 50)):
                     beta = g.solve(c, lam, beta)
                     rows.append((seed, i, lam, int(g.active(beta).sum())))
                 yield pd.DataFrame(rows, columns=["seed", "i", "lam", "active"])
@@ -707,10 +796,21 @@ def nnls_refit(s, d):
     return s.range(4).select(F.col("id").alias("seed")).mapInPandas(solved, "seed long, j int, coef double")
 
 
+def _banded(s, d):
+    o = observations(s, d)
+    x = ex.bands(ex.exposure(o, entries(s, d))).withColumn("feature", F.concat("item", F.lit("_b"), F.col("band").cast("string")))
+    return o, x
+
+
 @query()
 def forest_rank(s, d):
     from .forest import rank
 
-    o = observations(s, d)
-    x = ex.bands(ex.exposure(o, entries(s, d))).withColumn("feature", F.concat("item", F.lit("_b"), F.col("band").cast("string")))
-    return rank(o, x, trees=20, repeats=2, features=12)
+    return rank(*_banded(s, d))
+
+
+@query()
+def forest_folds(s, d):
+    from .forest import cross_validate
+
+    return cross_validate(*_banded(s, d))

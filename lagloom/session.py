@@ -1,6 +1,13 @@
-"""Session defaults: UTC, adaptive execution, Arrow."""
+"""Session defaults (UTC, adaptive execution, Arrow) and the folder that all executors share."""
 
-from pyspark.sql import SparkSession
+import atexit
+import re
+import shutil
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+
+_own: list[str] = []
 
 
 def builder(master: str | None = None, name: str = "lagloom") -> SparkSession.Builder:
@@ -14,3 +21,24 @@ def builder(master: str | None = None, name: str = "lagloom") -> SparkSession.Bu
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir`` of the session; a temporary folder only on a local master without it."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="lagloom-"))
+        atexit.register(shutil.rmtree, _own[0], True)
+    return f"file://{_own[0]}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and kept in the shared folder, without its lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

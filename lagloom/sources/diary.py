@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.lag import hour_of_day
 from ..functions.text import near_names, normalize_column, number, parsed_date, parsed_minutes
 from .i18n import DATE_FORMATS, REQUIRED
-from .ods import canonical, numbered, read_ods
+from .ods import canonical, filled, numbered, read_ods
 
 NOON = 12 * 60
 
@@ -24,8 +24,7 @@ def read_lines(spark: SparkSession, path: str, sheet: str | None = None, lang: s
     schema = ", ".join(f"_{i} string" for i in range(len(titles)))
     raw = spark.read.csv(path, schema=schema, header=True, enforceSchema=True, encoding="UTF-8", multiLine=True, escape='"')
     cols = [F.coalesce(f"_{i}", F.lit("")).alias(n) for n, i in canonical(titles, lang).items()]
-    filled = F.concat_ws("", *raw.columns) != ""
-    return raw.withColumn("row_no", F.monotonically_increasing_id()).where(filled).select("row_no", *cols).transform(numbered)
+    return raw.withColumn("row_no", F.monotonically_increasing_id()).where(filled(*raw.columns)).select("row_no", *cols).transform(numbered)
 
 
 def parse(lines: DataFrame, lang: str = "en") -> DataFrame:
@@ -73,6 +72,7 @@ def load(spark: SparkSession, path: str, sheet: str | None = None, lang: str = "
         said(kept & (F.col("time_problem") == "bad_time"), "bad_time", "time_text"),
         said(kept & F.col("outcome_problem").isNotNull(), "bad_outcome", "outcome_text"),
         parsed.where(kept & (F.col("time_problem") == "default_time")).agg(F.count("*").alias("n")).where("n > 0").select(me, F.lit(None).cast("long").alias("line_no"), F.lit("default_time").alias("code"), F.col("n").cast("string").alias("arg")),
+        good.agg(F.count("*").alias("n")).where("n = 0").select(me, F.lit(None).cast("long").alias("line_no"), F.lit("no_lines").alias("code"), F.lit(None).cast("string").alias("arg")),
         near_names(names).select(me, F.lit(None).cast("long").alias("line_no"), F.lit("similar_names").alias("code"), F.concat_ws(", ", "a", "b").alias("arg")),
     ]
     if missing:
