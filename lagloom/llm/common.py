@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MASK = (1 << 64) - 1
+#: Rows of an Arrow batch at most: texts are long, and a batch is held several times on either side.
+BATCH_ROWS = 2000
 _local_root: str | None = None
 
 
@@ -36,6 +38,13 @@ def shared_root(spark: SparkSession) -> str:
     return f"file://{_local_root}"
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's ``spark.sql.execution.arrow.maxRecordsPerBatch`` to ``BATCH_ROWS`` where it is larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 class Workspace:
     """Intermediate tables of one run, written as Parquet under :func:`shared_root`.
 
@@ -44,6 +53,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, mix64
+from .common import bounded_batches, lean, mix64
 
 #: Letters only: words of whatever script.
 WORD = re.compile(r"[^\W\d_]+").findall
@@ -276,6 +276,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     no language: "und", score 0. Ties go to the language first in order. Null ids, repeated rows and
     clashing columns: one result per row, other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [f"k{i}" for i in range(len(keep))]
     base = docs.select(*(F.col(c).alias(n) for c, n in zip(keep, names)), F.col(text_col).cast("string").alias("_text"))

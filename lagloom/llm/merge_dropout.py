@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, mix64
+from .common import bounded_batches, lean, mix64
 
 MARK = "▁"
 #: A unit: a run of marks and what follows up to the next. No piece reaches over a unit's end.
@@ -24,7 +24,7 @@ CACHE = 500_000
 SLICE = 1 << 20
 #: Units of more characters go through a heap, the others through matrices, many at once.
 SHORT = 64
-TOGETHER = 1024
+TOGETHER = 2048
 #: What a mark in the text itself becomes meanwhile: a lone surrogate, which no valid text holds.
 _OWN = "\ud800"
 _NEVER = np.int32(2**31 - 1)
@@ -415,6 +415,7 @@ def encode(docs: DataFrame, model_path: str, dropout: float = 0.1, seed: int = 1
     empty text: no ids, lossless. Null ids: the key "None". Repeated rows: equal results. An empty
     table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
