@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Readings that are shuffled among themselves, about; with fewer in all, all of them.
 GROUP = 4096
-#: Bytes of predictions that a task holds at once.
+#: Bytes of the nodes that a task looks at at once.
 HELD = 64 << 20
 
 
@@ -107,10 +107,10 @@ class Trees:
 
 def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: int, seed: int) -> list[float]:
     """Growth of the squared error, summed over rows and repeats, where one feature is shuffled among the rows."""
-    base, n_trees, out = np.zeros(len(x)), len(model.roots), []
-    step = max(1, HELD // (8 * max(1, len(x))))
-    for s in range(0, n_trees, step):
-        base += model.each(x, np.arange(s, min(n_trees, s + step))).sum(axis=1)
+    n_trees, out = len(model.roots), []
+    step = max(1, HELD // (16 * max(1, len(x))))
+    single = np.concatenate([model.each(x, np.arange(s, min(n_trees, s + step))) for s in range(0, n_trees, step)], axis=1)
+    base = single.sum(axis=1)
     wrong = (y - base / n_trees) ** 2
     for f in features:
         r, lost = np.random.default_rng([seed, f]), 0.0
@@ -118,21 +118,17 @@ def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: i
         if not len(users) or (x[:, f] == x[0, f]).all():
             out.append(0.0)
             continue
-        # shuffled values of many repeats at once; only rows whose value changes, and trees that look at it, count anew
-        for first in range(0, repeats, 16):
-            orders = [r.permutation(len(x)) for _ in range(min(16, repeats - first))]
-            for order in orders:
-                new = x[order, f]
-                rows = np.flatnonzero(new != x[:, f])
-                if not len(rows):
-                    continue
-                moved = x[rows].copy()
+        held = single[:, users].sum(axis=1)
+        for _ in range(repeats):
+            new = x[r.permutation(len(x)), f]
+            # only rows whose value changes, and trees that look at it, count anew
+            rows = np.flatnonzero(new != x[:, f])
+            if len(rows):
+                moved = x[rows]
                 moved[:, f] = new[rows]
-                change = np.zeros(len(rows))
                 step = max(1, HELD // (16 * len(rows)))
-                for s in range(0, len(users), step):
-                    change += model.each(moved, users[s : s + step]).sum(axis=1) - model.each(x[rows], users[s : s + step]).sum(axis=1)
-                lost += float(((y[rows] - (base[rows] + change) / n_trees) ** 2 - wrong[rows]).sum())
+                changed = sum(model.each(moved, users[s : s + step]).sum(axis=1) for s in range(0, len(users), step))
+                lost += float(((y[rows] - (base[rows] - held[rows] + changed) / n_trees) ** 2 - wrong[rows]).sum())
         out.append(lost)
     return out
 
