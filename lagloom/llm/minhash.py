@@ -353,7 +353,8 @@ def near_duplicates(
         "reps",
     )
     rows = reps.select("id", F.explode("bands").alias("key"))
-    heads = rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    # written, so that the join with a crowded key's rows can be split
+    heads = ws.save(rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
     shared = ws.save(rows.join(heads, "key"), "shared")
     members = shared.select("id").distinct()
     sets = ws.save(
@@ -422,7 +423,7 @@ def near_duplicates(
     more = ws.save(dealt.mapInArrow(lean(_joining(num, den)), "src long, dst long"), "links1")
     if not more.isEmpty():
         parts = connected_components(ws, links.unionByName(more), "cc1")
-    ws.drop("shared", "sets", "parted", "prefixes", "again", "reps")
+    ws.drop("shared", "heads", "sets", "parted", "prefixes", "again", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
         sigs.select("doc_id", "n_shingles", "fa", "fb")

@@ -75,8 +75,13 @@ def test_line_dedup(docs):
     assert carried.columns[4:] == ["hi", "n", "component"] and carried.where("hi = 2 and n = 3").count() == len(want)
 
 
-def test_line_dedup_hot_line(spark, monkeypatch):
+@pytest.mark.parametrize("sent", [0, 1000])
+def test_line_dedup_hot_line(spark, monkeypatch, sent):
+    """A hot shard's index is copied to many tasks; the table of such shards is broadcast or joined."""
     monkeypatch.setattr(line_dedup, "LINES_PER_TASK", 50)
+    monkeypatch.setattr(line_dedup, "LEAST_LINES", 10)
+    monkeypatch.setattr(line_dedup, "LEAST_KEYS", 20)
+    monkeypatch.setattr(line_dedup, "MOST_SENT", sent)
     df = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("the very same line\nline number "), F.col("id").cast("string")).alias("text"))
     out = line_dedup.dedup_lines(df)
     assert out.where("doc_id > 0 and n_dropped = 1").count() == 399 and out.where("doc_id = 0 and n_dropped = 0").count() == 1
@@ -205,14 +210,18 @@ def test_minhash_estimate():
     y = np.unique(np.concatenate([x[:800], r.integers(0, 2**64, 100, np.uint64)]))
     true, est = 800 / 1000, []
     for seed in range(20):
-        a, b = (minhash.packed(minhash.minima(s, seed)).view(np.uint64)[None] for s in (x, y))
-        m = minhash.matches(a, b)[0, 0] / minhash.K
+        a, b = (np.unpackbits(minhash.packed(minhash.minima(s, seed)).view(np.uint8), bitorder="little").reshape(-1, minhash.BITS) for s in (x, y))
+        m = (a == b).all(axis=1).sum() / minhash.K
         est.append((m - 0.25) / 0.75)
     assert abs(np.mean(est) - true) < 0.04
 
 
-def test_token_counts(docs, monkeypatch):
-    monkeypatch.setattr(token_count, "COMMON", 5)  # most pre-tokens take the join
+@pytest.mark.parametrize("common, size", [(5, 1 << 20), (1 << 20, 60), (1 << 20, 1 << 20)])
+def test_token_counts(docs, monkeypatch, common, size):
+    """Most pre-tokens take the join, by number or by bytes, or few do."""
+    monkeypatch.setattr(token_count, "COMMON", common)
+    monkeypatch.setattr(token_count, "COMMON_BYTES", size)
+    monkeypatch.setattr(token_count, "LONGEST", 8)
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     want = [(d, len((x or "").encode()), n := len(t.encode(x or "", add_special_tokens=False).ids), n > 512) for d, x, *_ in rows()]
@@ -389,6 +398,26 @@ def test_packing(docs):
             assert offset == at
             at += length
         assert at <= 64
+    # as many sequences as best fit decreasing opens, piece by piece
+    rooms: list[int] = []
+    for length in sorted((r["length"] for r in got), reverse=True):
+        fits = [room for room in rooms if room >= length]
+        if fits:
+            rooms.remove(min(fits))
+        rooms.append((min(fits) if fits else 64) - length)
+    assert len(seq) == len(rooms)
+
+
+def test_many_rows_without_id(spark, monkeypatch):
+    """Rows that are alike in all and have no id are spread over ranges and buckets, and each keeps its place."""
+    monkeypatch.setattr(sharding, "RANKED_TOGETHER", 50)
+    monkeypatch.setattr(packing, "RANKED_TOGETHER", 50)
+    df = spark.range(900).select(F.lit(None).cast("long").alias("doc_id"), F.when(F.col("id") < 600, "same").otherwise(F.concat(F.lit("t"), F.col("id").cast("string"))).alias("text"), F.lit("s").alias("source"))
+    placed = sharding.interleave(df, shards=4).collect()
+    assert sorted((r["shard"], r["slot"]) for r in placed) == [(s, i) for s in range(4) for i in range(225)]
+    packed = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), size=16).collect()
+    spots = [(r["sequence_id"], r["offset"]) for r in packed]
+    assert len(spots) == len(set(spots)) == 900 and sum(r["length"] for r in packed) == sum({q: max(r["offset"] + r["length"] for r in packed if r["sequence_id"] == q) for q, _ in spots}.values())
 
 
 def test_best_fit_is_item_by_item():
