@@ -19,8 +19,8 @@ LONGEST = 5
 DOCS_PER_LANGUAGE, WORDS, GRAMS = 1000, 30_000, 30_000
 #: More labels than this aren't languages: an error.
 MOST_LABELS = 10_000
-#: Bytes of scores of words that a task keeps.
-CACHE = 24 << 20
+#: Bytes of words and their scores that a task keeps, and what a word takes besides its scores, about.
+CACHE, WORD_BYTES = 24 << 20, 200
 TOGETHER = 64
 
 
@@ -177,7 +177,7 @@ class Model:
         new = [w for w in words if w not in self.place]
         if not new:
             return
-        if (len(self.place) + len(new)) * 8 * len(self.langs) > CACHE:
+        if (len(self.place) + len(new)) * (8 * len(self.langs) + WORD_BYTES) > CACHE:
             self.forget()
             new = list(words)
         if (need := len(self.place) + len(new)) > len(self.held):

@@ -311,7 +311,7 @@ def test_language_scores_are_those_by_definition(spark, sf):
 
 
 def test_three_hundred_languages(spark, monkeypatch):
-    monkeypatch.setattr(language_id, "CACHE", 300 * 8 * 40)  # the scores of 40 words
+    monkeypatch.setattr(language_id, "CACHE", (300 * 8 + 200) * 40)  # 40 words
     name = lambda i: f"{chr(97 + i % 26)}{chr(97 + i // 26)}"
     r = random.Random(1)
     text = lambda i: " ".join(f"{name(i)}{r.choice('aeiou')}{r.choice('klmn')}" for _ in range(30))
