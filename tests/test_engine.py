@@ -13,7 +13,7 @@ from lagloom.functions.lag import CENTERS, kernel_weights
 from lagloom.functions.text import date_shape, near_names, normal_header, normal_name, normalize_column, parsed_date, parsed_minutes
 from lagloom.operators import baskets
 from lagloom.operators.exposure import exposure, lag_join
-from lagloom.operators.solver import Groups, nnls, orthonormal, residualise
+from lagloom.operators.solver import Groups, most_active, nnls, orthonormal, penalties, residualise
 from lagloom.plans import simulate
 from lagloom.plans.analyze import Params, analyze, persistence, prewhitened, register_views, vocabulary
 
@@ -105,6 +105,20 @@ def test_group_lasso_is_optimal():
                     assert np.linalg.norm(np.maximum(v, 0)) <= by * 1.001
 
 
+def test_penalties_keep_to_the_sparse_part():
+    g, c = planted(3)
+    t = orthonormal(g)
+    for groups, target, points in ((Groups(g), c, 50), (Groups(t.T @ g @ t, positive=False), t.T @ c, 40)):
+        for q in (1, 2, 4):
+            lams = penalties(groups, target, q)
+            path = groups.largest(target) * np.logspace(0, -2, points)
+            assert 1 <= len(lams) <= 6 and all(np.isclose(path, x).any() for x in lams) and (np.diff(lams) < 0).all()
+            assert all(1 <= groups.active(groups.solve(target, x)).sum() <= q for x in lams)
+    nothing = Groups(np.eye(14))
+    assert len(penalties(nothing, np.full(14, 1.0), 1)) == 1  # both groups enter at once: the fifth point stands in
+    assert most_active(2) == 4 and most_active(40) == 6
+
+
 def test_nnls_against_active_sets():
     for seed in range(30):
         r = np.random.default_rng(seed)
@@ -185,6 +199,21 @@ def test_csv_and_ods(spark, tmp_path):
         assert {r["code"] for r in said.collect()} == {"bad_date", "bad_outcome", "default_time"}
 
 
+def test_missing_columns_and_empty_files(spark, tmp_path):
+    from lagloom.sources.diary import load
+
+    (tmp_path / "m.csv").write_text("date,foods\n1/1/26,tea\n", encoding="utf-8")
+    obs, entries, relievers, said = load(spark, str(tmp_path / "m.csv"))
+    assert obs.count() == 0 and [r["items"] for r in entries.collect()] == [["tea"]] and relievers.count() == 0
+    assert {(r["code"], r["arg"]) for r in said.collect()} == {("missing_column", "pain"), ("default_time", "1")}
+    (tmp_path / "f.csv").write_text("date,heure,aliments,douleur\n31/01/2026,8:00,Thé;thé vert,\"2,5\"\n", encoding="utf-8")
+    obs, entries, _, said = load(spark, str(tmp_path / "f.csv"), lang="fr")
+    assert obs.first()["y"] == 2.5 and entries.first()["items"] == ["the", "the_vert"] and said.count() == 0
+    (tmp_path / "e.csv").write_text("", encoding="utf-8")
+    obs, entries, _, said = load(spark, str(tmp_path / "e.csv"))
+    assert obs.count() == 0 and entries.count() == 0 and "no_lines" in {r["code"] for r in said.collect()}
+
+
 def test_ods_package(tmp_path):
     from lagloom.sources import ods
 
