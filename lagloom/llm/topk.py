@@ -10,7 +10,8 @@ from .common import Workspace, finite_vector, lean, partitions
 
 #: Vectors whose lengths are within this factor share a bucket.
 STEP = 1.05
-BUCKET_ROWS = 4096
+#: Rows of a bucket: at most, about, and at least where cores would be idle.
+BUCKET_ROWS, LEAST_ROWS = 4096, 256
 QUERY_BLOCK = 16_384
 #: From this local cosine threshold on, coordinates prune better than lengths.
 COORDINATE_FROM = 0.5
@@ -197,9 +198,11 @@ def top_products(vectors: DataFrame, queries, k: int = 5, id_col: str = "vec_id"
     )
     sizes = ws.save(rows.groupBy("class", "dim").agg(F.count("*").alias("n")), "sizes")
     placed = rows.join(F.broadcast(sizes) if sizes.count() <= MOST_CLASSES else sizes, ["class", "dim"])
-    salt = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / BUCKET_ROWS))
-    common = sizes.groupBy("dim").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
-    dim = common[0]["dim"] if common else 1
+    # the most frequent dimension, and the number of all rows
+    common = sizes.groupBy("dim").agg(F.sum("n").alias("n")).select("dim", "n", F.sum("n").over(Window.partitionBy()).alias("all")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dim, n_rows = (common[0]["dim"], common[0]["all"]) if common else (1, 0)
+    each = min(BUCKET_ROWS, max(LEAST_ROWS, n_rows // (2 * partitions(spark))))
+    salt = F.pmod(F.xxhash64("uid"), F.ceil(F.col("n") / each))
     longest = rows.where(F.col("dim") == dim).orderBy(F.desc("norm"), "uid").limit(max(1, min(SEEDS, SEED_VALUES // dim))).select("uid", "vec").toArrow()
     seeds = longest["uid"].to_numpy(), np.array(longest["vec"].combine_chunks().flatten(), np.float64).reshape(-1, dim)
     asked = ws.save(
