@@ -19,7 +19,7 @@ WORDS64 = K * BITS // 64
 MARGIN = 0.25
 #: Rows and shingles of a block of a bucket; tokens whose matrix is made at once.
 BLOCK, BLOCK_SHINGLES, TOKENS = 1024, 1 << 19, 1024
-PAIRS_PER_TASK = 512
+PAIRS_PER_TASK = 128
 #: Words whose hashes a task keeps.
 CACHE = 100_000
 #: Counters by which shingles are ordered from rare to frequent.
