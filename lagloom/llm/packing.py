@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -13,7 +15,7 @@ from .bpe_text import PLAIN, WORDS, lettered, tokenizer
 from .common import Workspace, lean, partitions
 
 #: Units whose ids a task keeps, and characters that a unit has then at most.
-CACHE, KEPT_CHARS = 100_000, 64
+CACHE, KEPT_CHARS = 300_000, 64
 #: Pieces of one length that are numbered in one task: at most, about, and at least where cores would be idle.
 RANKED_TOGETHER, LEAST_TOGETHER = 20_000, 500
 
@@ -98,7 +100,11 @@ class _Ids(dict):
     def __missing__(self, unit: str) -> bytes:
         if len(self) >= CACHE:
             self.clear()
-        out = b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(lettered(unit)))
+        # a unit holds no blanks, so the byte alphabet leaves an ASCII one as it is
+        ids = array("I", [t.id for t in self.model.tokenize(unit if unit.isascii() else lettered(unit))])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        out = ids.tobytes()
         if len(unit) <= KEPT_CHARS:
             self[unit] = out
         return out
@@ -107,10 +113,6 @@ class _Ids(dict):
 _caches: dict[str, _Ids] = {}
 
 
-def forget() -> None:
-    _caches.clear()
-
-
 def token_bytes(text: str, path: str) -> bytes:
     """All ids of a text, 4 little-endian bytes each, as the tokenizer file gives them."""
     if path not in _caches:
@@ -183,7 +185,7 @@ def pack(
     ws = Workspace(spark, "packing")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces = base.mapInArrow(lean(_cut(tokenizer_path, size, end_id, with_ids), forget), schema)
+    pieces = base.mapInArrow(lean(_cut(tokenizer_path, size, end_id, with_ids)), schema)
     # the written number keeps pieces apart that are alike in all else
     pieces = ws.save((pieces if with_ids else pieces.drop("ids")).withColumn("row", F.monotonically_increasing_id()), "pieces")
     # one row for each length: ``size`` at most
