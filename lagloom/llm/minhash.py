@@ -353,7 +353,7 @@ def near_duplicates(
         "reps",
     )
     rows = reps.select("id", F.explode("bands").alias("key"))
-    # written, so that the join with a crowded key's rows can be split
+    # written, as are the mixed keys below, so that the join with a crowded key's rows can be split
     heads = ws.save(rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
     shared = ws.save(rows.join(heads, "key"), "shared")
     members = shared.select("id").distinct()
@@ -398,7 +398,7 @@ def near_duplicates(
         shared.join(parts, shared.id == parts.node, "left").select("key", "id", F.coalesce("component", "id").alias("comp")), "now"
     )
 
-    mixed = now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
+    mixed = ws.save(now.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key"), "mixed")
     unsure = now.join(mixed, "key", "left_semi")
     parted = ws.save(
         unsure.select("id", "comp").distinct().join(sets, "id").select("id", "comp", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("size")), "parted"
@@ -423,7 +423,7 @@ def near_duplicates(
     more = ws.save(dealt.mapInArrow(lean(_joining(num, den)), "src long, dst long"), "links1")
     if not more.isEmpty():
         parts = connected_components(ws, links.unionByName(more), "cc1")
-    ws.drop("shared", "heads", "sets", "parted", "prefixes", "again", "reps")
+    ws.drop("shared", "heads", "mixed", "sets", "parted", "prefixes", "again", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
         sigs.select("doc_id", "n_shingles", "fa", "fb")
