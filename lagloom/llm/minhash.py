@@ -413,7 +413,9 @@ def near_duplicates(
     doubtful = ws.save(prefixes.join(crowded, "key", "left_semi").select("id").distinct(), "doubtful")
     again = ws.save(unsure.select("key", "id").join(doubtful, "id", "left_semi").join(parted.select("id", "comp", "size"), "id"), "again")
     blocks = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("size") / BLOCK_SHINGLES))
-    totals = again.groupBy("key").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "blocks")
+    totals = ws.save(
+        again.groupBy("key").agg(blocks.alias("blocks"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key", "blocks"), "totals"
+    )
     dealt = (
         again.join(totals, "key").withColumn("hashed", F.xxhash64("id")).withColumn("block", F.explode(blocks_of("blocks", "hashed", 1)))
         .select("key", "block.bi", "block.bj", "id", "comp", "block.side").join(parted.select("id", "shingles"), "id")
@@ -423,7 +425,7 @@ def near_duplicates(
     more = ws.save(dealt.mapInArrow(lean(_joining(num, den)), "src long, dst long"), "links1")
     if not more.isEmpty():
         parts = connected_components(ws, links.unionByName(more), "cc1")
-    ws.drop("shared", "heads", "mixed", "sets", "parted", "prefixes", "again", "reps")
+    ws.drop("shared", "heads", "mixed", "totals", "sets", "parted", "prefixes", "again", "reps")
     unlinked = F.coalesce("component", "rep", "doc_id")
     return (
         sigs.select("doc_id", "n_shingles", "fa", "fb")
