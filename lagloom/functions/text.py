@@ -107,8 +107,14 @@ def iso_duration(c: Column) -> Column:
     return F.concat(two(part("H")), F.lit(":"), two(F.regexp_extract(c, r"(\d+)M", 1)))
 
 
+#: Unicode's space separators.
+_SPACES = " \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u202f\u205f\u3000"
+
+
 def paragraphs(parts: Column) -> Column:
-    return F.array_join(F.filter(F.transform(parts, F.trim), lambda x: x != ""), " ")
+    """Paragraphs without spaces around, blank ones dropped, joined by a space."""
+    # a function of two arguments would get the paragraph's number as its second
+    return F.array_join(F.filter(F.transform(parts, lambda x: F.btrim(x, F.lit(_SPACES))), lambda x: x != ""), " ")
 
 
 def repeat_count(c: Column, most: int = 4096) -> Column:

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lagloom.functions.lag import CENTERS, kernel_weights
-from lagloom.functions.text import date_shape, near_names, normal_header, normal_name, normalize_column, parsed_date, parsed_minutes
+from lagloom.functions.text import date_shape, near_names, normal_header, normal_name, normalize_column, paragraphs, parsed_date, parsed_minutes
 from lagloom.operators import baskets
 from lagloom.operators.exposure import exposure, lag_join
 from lagloom.operators.solver import Groups, most_active, nnls, orthonormal, penalties, residualise
@@ -25,6 +25,12 @@ def test_names(spark):
     assert {r["x"] for r in normalize_column(df, "n", "x").collect()} == {"a_b", "creme", None, ""}
 
 
+def test_paragraphs(spark):
+    rows = [(["0a0", "1b1", " 2c ", "", " \u00a0 ", "\u3000d\u2009", "5 5"],), ([],), (None,)]
+    got = spark.createDataFrame(rows, "p array<string>").select(paragraphs(F.col("p"))).collect()
+    assert [r[0] for r in got] == ["0a0 1b1 2c d 5 5", "", None]
+
+
 def test_kernels():
     d = np.concatenate([np.linspace(0, 84, 500), [0, 0.125, 168]])
     w = kernel_weights(d)
