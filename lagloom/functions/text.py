@@ -159,10 +159,13 @@ def near_names(names: DataFrame, col: str = "item", distance: int = 1) -> DataFr
     """(a, b): pairs a < b with the same first letter and an edit distance of at most ``distance``.
 
     Two such names have a form in common that is left of each without up to ``distance`` characters, so they meet on
-    that form: candidates follow the names' lengths and likenesses, not the number of names with a letter.
+    the form's hash: candidates follow the names' lengths and likenesses, not the number of names with a letter.
     """
     n = names.select(F.col(col).alias("n")).where("n <> ''").distinct()
-    forms = n.select("n", F.substring("n", 1, 1).alias("f"), F.explode(shortened(F.col("n"), distance)).alias("form"))
-    a, b = forms.withColumnRenamed("n", "a"), forms.withColumnRenamed("n", "b")
-    met = a.join(b, ["f", "form"]).where("a < b").select("a", "b").distinct()
-    return met.where(F.levenshtein("a", "b", distance).between(0, distance))
+    first = F.substring("n", 1, 1)
+    forms = n.select("n", F.explode(F.transform(shortened(F.col("n"), distance), lambda x: F.xxhash64(first, x))).alias("form"))
+    # forms are many times the names, which a plan's sizes don't tell: neither side is sent to all, and only near pairs go on
+    a, b = forms.withColumnRenamed("n", "a"), forms.withColumnRenamed("n", "b").hint("merge")
+    same = F.substring("a", 1, 1) == F.substring("b", 1, 1)
+    near = F.levenshtein("a", "b", distance).between(0, distance)
+    return a.join(b, "form").where((F.col("a") < F.col("b")) & same & near).select("a", "b").distinct()

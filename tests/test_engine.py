@@ -310,6 +310,13 @@ def test_near_names(spark, distance):
     assert {tuple(x) for x in near_names(spark.createDataFrame([(n,) for n in [*names, "", None]], "item string"), distance=distance).collect()} == want
 
 
+def test_near_names_sends_no_forms_to_all(spark, tmp_path):
+    spark.range(300).selectExpr("concat('n', id) as item").write.parquet(str(tmp_path / "names"))
+    got = near_names(spark.read.parquet(str(tmp_path / "names")))
+    got.collect()
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_components_of_long_chains(spark):
     """Chains, a star, a ring and lone items; by joins and by union-find."""
     pairs = [(0, f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [(0, "s", f"s{i}") for i in range(20)] + [(1, f"r{i}", f"r{(i + 1) % 9}") for i in range(9)] + [(1, "c000", "c001")]
