@@ -1,16 +1,21 @@
 """OpenDocument spreadsheets: sheets as rows of text, and rows as a sheet.
 
-``format("ods")`` reads (path, row_no, cells) of one sheet of each file (option ``sheet`` names it), a task per file, and
-writes one file. :func:`read_ods` reads through Spark's own binary files, from any store that Spark reaches.
+``format("ods")`` reads (path, row_no, cells) of one sheet of each file (option ``sheet`` names it), a task per file. It
+writes one file where the path ends in .ods or .fods, and else a folder of files, some for each task. :func:`read_ods` reads through Spark's own binary files, from any store that Spark reaches.
 """
 
 from __future__ import annotations
 
+import functools
 import io
+import itertools
 import re
+import uuid
 import zipfile
 import xml.etree.ElementTree as ET
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from html import escape
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +38,12 @@ MIME = "application/vnd.oasis.opendocument.spreadsheet"
 MOST_ROWS = 1_048_576
 #: A repeated cell or row stands for so many at most.
 MOST_REPEATS = 4096
+#: Rows of a file in a folder that is written: a task that reads holds one file's.
+FILE_ROWS = 50_000
 SCHEMA = "path string, row_no int, cells array<string>"
 
 
+@functools.cache
 def _name(short: str) -> str:
     space, _, local = short.partition(":")
     return f"{{{SPACES[space]}}}{local}"
@@ -150,25 +158,26 @@ def cell_kind(text: str) -> str:
     return next((kind for kind, look in CELL_KINDS.items() if re.fullmatch(look, text)), "string" if text else "blank")
 
 
-def _add_cell(row: ET.Element, value) -> None:
+def _cell(value) -> str:
     text = "" if value is None else str(value)
     stripped = text.strip()
     kind = cell_kind(stripped)
-    cell = _added(row, "table:table-cell")
     if kind == "blank":
-        return
-    if kind in ("date", "time"):
-        cell.set(_name("table:style-name"), kind)
-    if kind != "string":
+        return "<table:table-cell/>"
+    if kind == "string":
+        held = ""
+    elif kind == "date":
+        held = f'table:style-name="date" office:date-value="{stripped}" '
+    elif kind == "time":
         hours, _, minutes = stripped.partition(":")
-        held = {"date": ("office:date-value", stripped), "time": ("office:time-value", f"PT{int(hours):02d}H{minutes}M00S" if kind == "time" else ""), "float": ("office:value", stripped)}
-        cell.set(_name(held[kind][0]), held[kind][1])
-    cell.set(_name("office:value-type"), kind)
-    _added(cell, "text:p", stripped if kind != "string" else text)
+        held = f'table:style-name="time" office:time-value="PT{int(hours):02d}H{minutes}M00S" '
+    else:
+        held = f'office:value="{stripped}" '
+    return f'<table:table-cell {held}office:value-type="{kind}"><text:p>{escape(text if kind == "string" else stripped, quote=False)}</text:p></table:table-cell>'
 
 
-def document(rows: list[list], sheet: str = "diary") -> bytes:
-    """A minimal valid package: ``mimetype`` first and stored, then manifest, styles and content."""
+def write_document(out, rows: Iterator[Iterable], sheet: str = "diary") -> None:
+    """Writes a minimal valid package: ``mimetype`` first and stored, then manifest, styles and content, row by row."""
     for prefix, uri in SPACES.items():
         ET.register_namespace(prefix, uri)
     root = ET.Element(_name("office:document-content"), {_name("office:version"): "1.2"})
@@ -184,20 +193,29 @@ def document(rows: list[list], sheet: str = "diary") -> bytes:
         style.set(_name("style:data-style-name"), f"{kind}-parts")
     book = _added(_added(root, "office:body"), "office:spreadsheet")
     table = _added(book, "table:table", table__name=sheet)
-    for values in rows:
-        row = _added(table, "table:table-row")
-        for value in values:
-            _add_cell(row, value)
+    _added(table, "text:p", "rows")  # the place of the rows; it has the root declare their prefix
     manifest = ET.Element(_name("manifest:manifest"), {_name("manifest:version"): "1.2"})
     for path, kind in (("/", MIME), ("content.xml", "text/xml"), ("styles.xml", "text/xml")):
         entry = _added(manifest, "manifest:file-entry", manifest__media_type=kind)
         entry.set(_name("manifest:full-path"), path)
     empty = ET.Element(_name("office:document-styles"), {_name("office:version"): "1.2"})
-    out = io.BytesIO()
+    told = lambda element: ET.tostring(element, encoding="UTF-8", xml_declaration=True)
+    before, _, after = told(root).rpartition(b"<text:p>rows</text:p>")
     with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
         z.writestr("mimetype", MIME, zipfile.ZIP_STORED)
-        for name, element in (("META-INF/manifest.xml", manifest), ("styles.xml", empty), ("content.xml", root)):
-            z.writestr(name, ET.tostring(element, encoding="UTF-8", xml_declaration=True))
+        z.writestr("META-INF/manifest.xml", told(manifest))
+        z.writestr("styles.xml", told(empty))
+        with z.open("content.xml", "w", force_zip64=True) as f:
+            f.write(before)
+            for some in iter(lambda: list(itertools.islice(rows, 1000)), []):
+                f.write("".join(f"<table:table-row>{''.join(map(_cell, r))}</table:table-row>" for r in some).encode())
+            f.write(after)
+
+
+def document(rows: Iterable[Iterable], sheet: str = "diary") -> bytes:
+    """A sheet's package in memory."""
+    out = io.BytesIO()
+    write_document(out, iter(rows), sheet)
     return out.getvalue()
 
 
@@ -230,20 +248,55 @@ class _Reader(DataSourceReader):
             yield partition.value, i, cells
 
 
+@dataclass
+class _Written(WriterCommitMessage):
+    files: list[str]
+
+
 class _Writer(DataSourceWriter):
-    def __init__(self, options, schema: StructType):
-        self.path, self.sheet, self.names = options["path"], options.get("sheet", "diary"), schema.names
+    def __init__(self, options, schema: StructType, overwrite: bool):
+        self.path, self.sheet, self.names, self.overwrite = options["path"], options.get("sheet", "diary"), schema.names, overwrite
+        self.folder, self.run = not self.path.lower().endswith((".ods", ".fods")), uuid.uuid4().hex
 
     def write(self, rows):
-        held = []
-        for r in rows:
-            held.append(list(r))
-            if len(held) >= MOST_ROWS:
-                raise ValueError(f"a sheet holds {MOST_ROWS} rows at most")
+        from pyspark import TaskContext
+
         system, path = _filesystem(self.path)
+        if not self.folder:
+            return _Written([self._file(system, path, self._most(rows))])
+        system.create_dir(path, recursive=True)
+        task, files = TaskContext.get().partitionId(), []
+        # the first task's file has the names even without rows
+        while (some := list(itertools.islice(rows, FILE_ROWS))) or not (task or files):
+            files.append(self._file(system, f"{path.rstrip('/')}/part-{task:06d}-{len(files):06d}-{self.run}.ods", some))
+        return _Written(files)
+
+    def _most(self, rows):
+        for n, r in enumerate(rows, 2):
+            if n > MOST_ROWS:
+                raise ValueError(f"a sheet holds {MOST_ROWS} rows at most; write to a folder")
+            yield r
+
+    def _file(self, system, path: str, rows) -> str:
         with system.open_output_stream(path) as f:
-            f.write(document([self.names, *held], self.sheet))
-        return WriterCommitMessage()
+            write_document(f, itertools.chain([self.names], rows), self.sheet)
+        return path
+
+    def commit(self, messages):
+        if self.folder and self.overwrite:
+            self._remove(lambda name: self.run not in name)
+
+    def abort(self, messages):
+        if self.folder:
+            self._remove(lambda name: self.run in name)
+
+    def _remove(self, which) -> None:
+        from pyarrow import fs
+
+        system, path = _filesystem(self.path)
+        for f in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+            if f.base_name.endswith(".ods") and which(f.base_name):
+                system.delete_file(f.path)
 
 
 class OdsSource(DataSource):
@@ -258,15 +311,18 @@ class OdsSource(DataSource):
         return _Reader(self.options)
 
     def writer(self, schema, overwrite) -> DataSourceWriter:
-        return _Writer(self.options, schema)
+        return _Writer(self.options, schema, overwrite)
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(OdsSource)
 
 
-def sheets(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """(path, row_no, cells) of a sheet of each file under a path, which may be a folder or a pattern."""
+def sheets(spark: SparkSession, path: str, sheet: str | None = None, titles: list[str] | None = None) -> DataFrame:
+    """(path, row_no, cells) of a sheet of each file under a path, which may be a folder or a pattern.
+
+    With ``titles`` a file whose first row is another is an error.
+    """
 
     def read(batches):
         import pyarrow as pa
@@ -274,6 +330,8 @@ def sheets(spark: SparkSession, path: str, sheet: str | None = None) -> DataFram
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 rows = sheet_rows(data, sheet)
+                if titles is not None and rows and rows[0] != titles:
+                    raise ValueError(f"{file} has the columns {rows[0]}, not {titles}")
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([file] * len(rows)), pa.array(range(len(rows)), pa.int32()), pa.array(rows, pa.list_(pa.string()))], ["path", "row_no", "cells"]
                 )
@@ -293,14 +351,18 @@ def filled(*cells) -> F.col:
 
 
 def read_ods(spark: SparkSession, path: str, sheet: str | None = None, lang: str = "en") -> DataFrame:
-    """Rows of one file's sheet with its first row as canonical column names; blank rows go."""
+    """Rows of the sheet of one file, or of a folder's files with the same columns, in order of their names.
+
+    The first row gives canonical column names; blank rows go.
+    """
     raw = sheets(spark, path, sheet)
     first = raw.where("row_no = 0").take(1)
     if not first:
         return spark.createDataFrame([], "line_no int")
     names = canonical(first[0]["cells"], lang)
     cols = [F.coalesce(F.get("cells", i), F.lit("")).alias(n) for n, i in names.items()]
-    return raw.where((F.col("row_no") > 0) & filled("cells")).select("row_no", *cols).transform(numbered)
+    rows = sheets(spark, path, sheet, first[0]["cells"]).where((F.col("row_no") > 0) & filled("cells"))
+    return rows.select(F.struct("path", "row_no").alias("row_no"), *cols).transform(numbered)
 
 
 def numbered(df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -310,6 +310,28 @@ def test_near_names(spark, distance):
     assert {tuple(x) for x in near_names(spark.createDataFrame([(n,) for n in [*names, "", None]], "item string"), distance=distance).collect()} == want
 
 
+def test_ods_folder(spark, tmp_path):
+    from lagloom.sources import ods
+
+    ods.register(spark)
+    orders = spark.range(ods.MOST_ROWS + 1000).selectExpr("id % 3 as k")  # more than a sheet holds
+    orders.repartition(2).write.format("ods").mode("append").save(f"file://{tmp_path}/many")
+    files = sorted((tmp_path / "many").iterdir())
+    assert len(files) == 2 * -(-(ods.MOST_ROWS // 2 + 500) // ods.FILE_ROWS)
+    got = ods.read_ods(spark, f"{tmp_path}/many")
+    assert {(r["k"], r["count"]) for r in got.groupBy("k").count().collect()} == {(str(r["k"]), r["count"]) for r in orders.groupBy("k").count().collect()}
+    two = spark.createDataFrame([("<&>", " x "), ("2026-01-02", None)], "a string, b string").coalesce(1)
+    for mode, n in (("append", 2), ("append", 4), ("overwrite", 2)):
+        two.write.format("ods").mode(mode).save(f"{tmp_path}/two")
+        assert sorted((r["line_no"], r["a"], r["b"]) for r in ods.read_ods(spark, f"{tmp_path}/two").collect())[:2] == [(2, "<&>", "x"), (3, "2026-01-02", "")]
+        assert ods.read_ods(spark, f"{tmp_path}/two").count() == n
+    two.where("a = ''").write.format("ods").mode("append").save(f"{tmp_path}/none")
+    assert ods.read_ods(spark, f"{tmp_path}/none").columns == ["a", "b", "line_no"]
+    two.toDF("b", "a").write.format("ods").mode("append").save(f"{tmp_path}/two")
+    with pytest.raises(Exception, match="has the columns"):
+        ods.read_ods(spark, f"{tmp_path}/two").collect()
+
+
 def test_near_names_sends_no_forms_to_all(spark, tmp_path):
     spark.range(300).selectExpr("concat('n', id) as item").write.parquet(str(tmp_path / "names"))
     got = near_names(spark.read.parquet(str(tmp_path / "names")))
