@@ -24,6 +24,8 @@ PAIRS_PER_TASK = 128
 CACHE = 100_000
 #: Counters by which shingles are ordered from rare to frequent.
 SLOT_BITS = 18
+#: Bits by which documents are told that may be in a bucket with others.
+MEMBER_BITS = 26
 
 
 class _WordHash(dict):
@@ -113,11 +115,15 @@ def _signatures(width: int, seed: int):
     return run
 
 
-def _sets(width: int):
+def _sets(width: int, bits):
+    """(id, shingles) of the rows (id, text, hashed) whose bit is set."""
+
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
+            at = batch.column(2).to_numpy()
+            batch = batch.filter(pa.array((bits.value[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1))
             sets = [shingle_set(t, width).tobytes() for t in texts_as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["id", "shingles"])
 
@@ -356,10 +362,17 @@ def near_duplicates(
     # written, as are the mixed keys below, so that the join with a crowded key's rows can be split
     heads = ws.save(rows.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1").select("key", "head"), "heads")
     shared = ws.save(rows.join(heads, "key"), "shared")
-    members = shared.select("id").distinct()
+    # a bit for each member instead of a join, which would move the texts; others with a member's bit only get a set in vain
+    hashed = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << MEMBER_BITS))
+    member = shared.select(hashed("id").alias("h")).select(F.shiftright("h", 6).alias("word"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("bit"))
+    table = member.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bits = np.zeros(1 << MEMBER_BITS - 6, np.uint64)
+    bits[table["word"].to_numpy()] = table["bits"].to_numpy().view(np.uint64)
     sets = ws.save(
-        base.join(members, F.col("doc_id") == F.col("id"), "left_semi").mapInArrow(lean(_sets(width), forget), "id long, shingles binary"), "sets"
-    )
+        base.where("doc_id is not null").select("doc_id", "text", hashed("doc_id").alias("hashed"))
+        .mapInArrow(lean(_sets(width, spark.sparkContext.broadcast(bits)), forget), "id long, shingles binary"),
+        "sets",
+    )
     marks = reps.select("id", *words)
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:

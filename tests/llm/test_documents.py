@@ -493,3 +493,17 @@ def test_query_shas(spark, sf):
 
     r = QUERIES["op1_line_dedup"](spark, sf).first()
     assert len(r["kept_sha256"]) == len(hashlib.sha256(b"").hexdigest())
+
+
+def test_minhash_moves_no_texts(spark, monkeypatch):
+    plans, save = {}, minhash.Workspace.save
+    monkeypatch.setattr(minhash.Workspace, "save", lambda ws, df, name: plans.update({name: df._jdf.queryExecution().executedPlan().toString()}) or save(ws, df, name))
+    monkeypatch.setattr(minhash, "MEMBER_BITS", 7)  # many share a bit
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        docs = spark.createDataFrame([(i, " ".join(f"w{i // 2}x{j}" for j in range(30))) for i in range(200)], "doc_id long, text string")
+        got = minhash.near_duplicates(docs, width=4).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in plans["sets"] and "Join" not in plans["sets"]
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i // 2 * 2 for i in range(200)}
