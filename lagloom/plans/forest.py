@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 import numpy as np
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 GROUP = 4096
 #: Bytes of the nodes that a task looks at at once.
 HELD = 64 << 20
+#: Bytes of binned readings up to which a task grows whole trees; over these, Spark grows all trees by level over its partitions.
+WHOLE = 128 << 20
+#: Bins of a feature, trees of a task, readings and their leaves looked at at once, features shuffled at once.
+BINS, CHUNK, READINGS, LEAVES, TOGETHER = 32, 25, 1 << 15, 1 << 22, 12
+DEPTH, LEAST = 10, 3
 
 
 def wide(observations: DataFrame, x: DataFrame, features: list[str]) -> DataFrame:
@@ -28,8 +34,8 @@ def wide(observations: DataFrame, x: DataFrame, features: list[str]) -> DataFram
     return rows.join(found, ["diary_id", "obs_id"], "left").select("diary_id", "obs_id", "y", "fold", values.alias("x"))
 
 
-def forest(trees: int, seed: int = 0, depth: int = 10) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=trees, minInstancesPerNode=3, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
+def forest(trees: int, seed: int = 0, depth: int = DEPTH) -> RandomForestRegressor:
+    return RandomForestRegressor(featuresCol="f", labelCol="y", numTrees=trees, minInstancesPerNode=LEAST, featureSubsetStrategy="sqrt", maxDepth=depth, seed=seed)
 
 
 def assembled(rows: DataFrame) -> DataFrame:
@@ -43,17 +49,160 @@ def features_of(x: DataFrame) -> list[str]:
     return [r["feature"] for r in x.select("feature").distinct().orderBy("feature").collect()]
 
 
+def edges_of(x: DataFrame, features: list[str]) -> list[np.ndarray]:
+    """The bounds between a feature's bins: halfway between 0 and quantiles of its other values."""
+    at = [i / (BINS - 2) for i in range(BINS - 1)]
+    found = {r["feature"]: r["q"] for r in x.where("x <> 0").groupBy("feature").agg(F.percentile_approx("x", at, 10000).alias("q")).collect()}
+    values = [np.unique([0.0, *found.get(f, ())]) for f in features]
+    return [(v[1:] + v[:-1]) / 2 for v in values]
+
+
+def binned(rows: DataFrame, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bins, outcomes, folds) of all readings by diary and id, a byte for each feature."""
+
+    def run(batches):
+        for pdf in batches:
+            x = np.stack(pdf["x"].to_numpy()) if edges else np.zeros((len(pdf), 0))
+            bins = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1).astype(np.uint8) if edges else x.astype(np.uint8)
+            yield pd.DataFrame({"diary_id": pdf["diary_id"], "obs_id": pdf["obs_id"], "y": pdf["y"], "fold": pdf["fold"], "bins": [b.tobytes() for b in bins]})
+
+    t = rows.mapInPandas(run, "diary_id long, obs_id long, y double, fold int, bins binary").orderBy("diary_id", "obs_id").toArrow()
+    bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(t.num_rows, len(edges))
+    return bins, t["y"].to_numpy(), t["fold"].to_numpy()
+
+
+def grown(bins: np.ndarray, y: np.ndarray, seed: list[int]) -> tuple[np.ndarray, ...]:
+    """(feature, last bin to the left, left, right, value) by node of a regression tree on a bootstrap of the readings.
+
+    As Spark's: Poisson weights, a random part of the features at each node, splits by variance.
+    """
+    r = np.random.default_rng(seed)
+    n, n_features = bins.shape
+    tried = math.ceil(math.sqrt(n_features))
+    weight = r.poisson(1.0, n)
+    at = np.flatnonzero(weight)
+    w, wy = weight[at].astype(float), weight[at] * y[at]
+    feature, cut, left, right, value = [np.array([-1])], [np.array([0])], [np.array([0])], [np.array([0])], [np.array([wy.sum() / max(w.sum(), 1.0)])]
+    place, open_, total = np.zeros(len(at), np.int64), np.array([0]), 1
+    for _ in range(DEPTH if tried else 0):
+        m = len(open_)
+        if not m or not len(at):
+            break
+        among = r.random((m, n_features)).argpartition(tried - 1, axis=1)[:, :tried]
+        size = m * tried * BINS
+        count, sums = np.zeros(size), np.zeros(size)
+        for s in range(0, len(at), READINGS):
+            c = slice(s, s + READINGS)
+            key = ((place[c, None] * tried + np.arange(tried)) * BINS + bins[at[c, None], among[place[c]]]).ravel()
+            count += np.bincount(key, np.repeat(w[c], tried), size)
+            sums += np.bincount(key, np.repeat(wy[c], tried), size)
+        count, sums = (np.cumsum(v.reshape(m, tried, BINS), axis=2) for v in (count, sums))
+        n_all, s_all = count[:, :, -1:], sums[:, :, -1:]
+        n_left, s_left = count[:, :, :-1], sums[:, :, :-1]
+        n_right, s_right = n_all - n_left, s_all - s_left
+        fits = (n_left >= LEAST) & (n_right >= LEAST)
+        gain = s_left**2 / np.maximum(n_left, 1) + s_right**2 / np.maximum(n_right, 1) - s_all**2 / np.maximum(n_all, 1)
+        gain = np.where(fits, gain, 0).reshape(m, -1)
+        best = gain.argmax(axis=1)
+        nodes = np.arange(m)
+        split = gain[nodes, best] > 1e-12 * np.maximum(1.0, (s_all**2 / np.maximum(n_all, 1))[:, 0, 0])
+        k, b = best // (BINS - 1), best % (BINS - 1)
+        chosen = nodes[split]
+        children = total + np.arange(2 * len(chosen)).reshape(-1, 2)
+        # the arrays of this level's open nodes are the last ones
+        here = open_[chosen] - open_[0] if m else chosen
+        feature[-1][here], cut[-1][here] = among[chosen, k[chosen]], b[chosen]
+        left[-1][here], right[-1][here] = children[:, 0], children[:, 1]
+        sides = [(v[chosen, k[chosen], b[chosen]]) for v in (s_left, n_left, s_right, n_right)]
+        means = np.stack([sides[0] / np.maximum(sides[1], 1), sides[2] / np.maximum(sides[3], 1)], axis=1).ravel()
+        new = np.full(m, -1)
+        new[chosen] = np.arange(len(chosen))
+        stays = new[place] >= 0
+        at, w, wy, place = at[stays], w[stays], wy[stays], place[stays]
+        goes = bins[at, among[place, k[place]]] > b[place]
+        place = 2 * new[place] + goes
+        open_ = children.ravel()
+        total += len(open_)
+        feature.append(np.full(len(open_), -1)), cut.append(np.zeros(len(open_), int)), value.append(means)
+        left.append(open_.copy()), right.append(open_.copy())
+    return tuple(np.concatenate(v) for v in (feature, cut, left, right, value))
+
+
+def predicted(tree: tuple[np.ndarray, ...], bins: np.ndarray) -> np.ndarray:
+    feature, cut, left, right, value = tree
+    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    while (feature[at] >= 0).any():
+        below = bins[rows, np.maximum(feature[at], 0)] <= cut[at]
+        at = np.where(below, left[at], right[at])
+    return value[at]
+
+
+def tasks(spark, n: int) -> DataFrame:
+    """(id): 0 to n, a partition for each."""
+    return spark.range(n, numPartitions=n)
+
+
+def fitted(rows: DataFrame, x: DataFrame, features: list[str], n: int, trees: int, seed: int) -> "Trees":
+    """A forest on ``n`` readings."""
+    if n * len(features) > WHOLE:
+        return Trees(forest(trees, seed).fit(assembled(rows)).toDebugString)
+    spark, edges = rows.sparkSession, edges_of(x, features)
+    held = spark.sparkContext.broadcast(binned(rows, edges)[:2])
+
+    def grow(batches):
+        for pdf in batches:
+            for chunk in pdf["id"]:
+                for tree in range(chunk * CHUNK, min(trees, (chunk + 1) * CHUNK)):
+                    yield pd.DataFrame([(tree, *(v.tolist() for v in grown(*held.value, [seed, tree])))], columns=["tree", "feature", "cut", "left", "right", "value"])
+
+    schema = "tree int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>"
+    made = tasks(spark, -(-trees // CHUNK)).mapInPandas(grow, schema).orderBy("tree").collect()
+    return Trees.of([tuple(np.array(v) for v in r[1:]) for r in made], edges)
+
+
 def cross_validate(observations: DataFrame, x: DataFrame, trees: int = 500, seed: int = 0) -> DataFrame:
-    """(fold, n, r2): a forest for each 96-hour block, which no lag window spans, trained on the others."""
-    spark = observations.sparkSession
-    v = assembled(wide(observations, x, features_of(x))).persist()
-    sizes = {r["fold"]: r["count"] for r in v.groupBy("fold").count().collect()}
+    """(fold, n, r2): a forest for each 96-hour block, which no lag window spans, trained on the others.
+
+    Tasks take some trees of a fold each and return their summed predictions of the fold's readings.
+    """
+    spark, names = observations.sparkSession, features_of(x)
+    rows = wide(observations, x, names).persist()
+    sizes = {r["fold"]: r["count"] for r in rows.groupBy("fold").count().collect()}
+    if sum(sizes.values()) * len(names) > WHOLE:
+        out = _validated_by_level(rows, sizes, trees, seed)
+        rows.unpersist()
+        return out
+    folds, chunks = sorted(sizes), -(-trees // CHUNK)
+    held = spark.sparkContext.broadcast(binned(rows, edges_of(x, names)))
+    rows.unpersist()
+
+    def validated(batches):
+        for pdf in batches:
+            for task in pdf["id"]:
+                bins, y, fold = held.value
+                i, chunk = divmod(int(task), chunks)
+                test = fold == folds[i]
+                train = ~test if len(folds) > 1 else test
+                known, outcome, asked = bins[train], y[train], bins[test]
+                mine = range(chunk * CHUNK, min(trees, (chunk + 1) * CHUNK))
+                total = sum(predicted(grown(known, outcome, [seed, folds[i], tree]), asked) for tree in mine)
+                yield pd.DataFrame({"fold": folds[i], "row": np.flatnonzero(test), "y": y[test], "p": total})
+
+    if not folds:
+        return spark.createDataFrame([], "fold int, n long, r2 double")
+    said = tasks(spark, len(folds) * chunks).mapInPandas(validated, "fold int, row long, y double, p double")
+    each = said.groupBy("fold", "row").agg(F.first("y").alias("y"), (F.sum("p") / trees).alias("p"))
+    wrong = F.try_divide(F.sum(F.pow(F.col("y") - F.col("p"), 2)), F.var_pop("y") * F.count("*"))
+    return each.groupBy("fold").agg(F.count("*").alias("n"), F.coalesce(1 - wrong, F.lit(float("nan"))).alias("r2")).orderBy("fold")
+
+
+def _validated_by_level(rows: DataFrame, sizes: dict[int, int], trees: int, seed: int) -> DataFrame:
+    v = assembled(rows)
     score, out = RegressionEvaluator(labelCol="y", metricName="r2"), []
     for fold in sorted(sizes):
         model = forest(trees, seed).fit(v.where(F.col("fold") != fold)) if len(sizes) > 1 else forest(trees, seed).fit(v)
         out.append((fold, sizes[fold], float(score.evaluate(model.transform(v.where(F.col("fold") == fold))))))
-    v.unpersist()
-    return spark.createDataFrame(out, "fold int, n long, r2 double")
+    return rows.sparkSession.createDataFrame(out, "fold int, n long, r2 double")
 
 
 class Trees:
@@ -93,8 +242,28 @@ class Trees:
                 done()
         self.feature, self.bound = np.array(feature, np.int32), np.array(bound)
         self.left, self.right, self.value, self.roots = np.array(left, np.int32), np.array(right, np.int32), np.array(value), np.array(roots, np.int32)
-        ends = np.append(self.roots[1:], len(value))
-        self.uses = [set(self.feature[a:b].tolist()) for a, b in zip(self.roots, ends)]
+
+    @classmethod
+    def of(cls, trees: list[tuple[np.ndarray, ...]], edges: list[np.ndarray]) -> "Trees":
+        """From trees as :func:`grown` makes them and the bounds of the bins."""
+        out = cls("")
+        starts = np.cumsum([0, *(len(t[0]) for t in trees)])
+        feature, cut = (np.concatenate([t[i] for t in trees]) for i in (0, 1))
+        out.feature, out.bound = feature.astype(np.int32), np.array([edges[f][c] if f >= 0 else 0.0 for f, c in zip(feature, cut)])
+        out.left, out.right = (np.concatenate([t[i] + s for t, s in zip(trees, starts)]).astype(np.int32) for i in (2, 3))
+        out.value, out.roots = np.concatenate([t[4] for t in trees]), starts[:-1].astype(np.int32)
+        return out
+
+    def first(self) -> np.ndarray:
+        """Whether a node is a split by a feature that no node above it splits by."""
+        up = np.full(len(self.value), -1)
+        inner = np.flatnonzero(self.feature >= 0)
+        up[self.left[inner]] = up[self.right[inner]] = inner
+        out, above = self.feature >= 0, up.copy()
+        while (above >= 0).any():
+            out &= (above < 0) | (self.feature[above] != self.feature)
+            above = np.where(above >= 0, up[above], -1)
+        return out
 
     def each(self, x: np.ndarray, trees: np.ndarray) -> np.ndarray:
         """(rows, trees) predictions."""
@@ -105,31 +274,85 @@ class Trees:
         return self.value[at]
 
 
+def _by_class(model, features: list[int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base, classes, table): the trees' summed predictions; which of a feature's values, as its splits tell them
+    apart, a row has; and by how much its sum changes, by (row, feature, class), where only that feature changes.
+
+    A row goes through a tree once. Where it first meets a split by a feature, a copy of it with any value of that feature goes
+    on, to both sides of splits by it. So the work follows the splits that rows meet, not the shuffles.
+    """
+    n, first = len(x), model.first()
+    place = np.full(x.shape[1] + 1, -1)
+    place[features] = np.arange(len(features))  # leaves have the feature -1, which stands for the last place
+    split, order = place[model.feature], np.zeros(len(model.value), np.int64)
+    classes, widest = np.zeros((n, len(features)), np.int64), 0
+    for q, f in enumerate(features):
+        here = model.feature == f
+        bounds = np.unique(model.bound[here])
+        order[here] = np.searchsorted(bounds, model.bound[here])
+        classes[:, q] = np.searchsorted(bounds, x[:, f])
+        widest = max(widest, len(bounds))
+    width = widest + 2
+    base, table, found, many = np.zeros(n), np.zeros(n * len(features) * width), [], 0
+
+    def put() -> None:
+        if found:
+            table[:] += np.bincount(np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found]), len(table))
+            found.clear()
+
+    def followed(row, q, at, low, high):
+        while len(row):
+            leaf = model.feature[at] < 0
+            if leaf.any():
+                cell, v = (row[leaf] * len(features) + q[leaf]) * width, model.value[at[leaf]]
+                yield np.concatenate([cell + low[leaf], cell + high[leaf] + 1]), np.concatenate([v, -v])
+                row, q, at, low, high = (z[~leaf] for z in (row, q, at, low, high))
+            own = split[at] == q
+            below = x[row, model.feature[at]] <= model.bound[at]
+            cut = order[at]
+            lefts = np.where(own, low <= cut, below)
+            rights = np.where(own, high > cut, ~below)
+            least, most = np.where(own, np.maximum(low, cut + 1), low), np.where(own, np.minimum(high, cut), high)
+            row, q, at, low, high = (
+                np.concatenate([z[lefts], w[rights]]) for z, w in ((row, row), (q, q), (model.left[at], model.right[at]), (low, least), (most, high))
+            )
+
+    step = max(1, (1 << 19) // max(1, n))
+    for s in range(0, len(model.roots), step):
+        roots = model.roots[s : s + step]
+        row, at = np.tile(np.arange(n), len(roots)), np.repeat(roots, n)
+        while len(row):
+            leaf = model.feature[at] < 0
+            base += np.bincount(row[leaf], model.value[at[leaf]], n)
+            row, at = row[~leaf], at[~leaf]
+            new = first[at] & (split[at] >= 0)
+            r, a = row[new], at[new]
+            for cells, values in followed(r, split[a], a, np.zeros(len(r), np.int64), np.full(len(r), widest)):
+                found.append((cells, values))
+                many += len(cells)
+            if many > LEAVES:
+                put()
+                many = 0
+            at = np.where(x[row, model.feature[at]] <= model.bound[at], model.left[at], model.right[at])
+    put()
+    table = np.cumsum(table.reshape(n, len(features), width), axis=2)
+    return base, classes, table - np.take_along_axis(table, classes[:, :, None], axis=2)
+
+
 def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: int, seed: int) -> list[float]:
     """Growth of the squared error, summed over rows and repeats, where one feature is shuffled among the rows."""
-    n_trees, out = len(model.roots), []
-    step = max(1, HELD // (16 * max(1, len(x))))
-    single = np.concatenate([model.each(x, np.arange(s, min(n_trees, s + step))) for s in range(0, n_trees, step)], axis=1)
-    base = single.sum(axis=1)
-    wrong = (y - base / n_trees) ** 2
-    for f in features:
-        r, lost = np.random.default_rng([seed, f]), 0.0
-        users = np.array([i for i, used in enumerate(model.uses) if f in used], np.int64)
-        if not len(users) or (x[:, f] == x[0, f]).all():
-            out.append(0.0)
-            continue
-        held = single[:, users].sum(axis=1)
-        for _ in range(repeats):
-            new = x[r.permutation(len(x)), f]
-            # only rows whose value changes, and trees that look at it, count anew
-            rows = np.flatnonzero(new != x[:, f])
-            if len(rows):
-                moved = x[rows]
-                moved[:, f] = new[rows]
-                step = max(1, HELD // (16 * len(rows)))
-                changed = sum(model.each(moved, users[s : s + step]).sum(axis=1) for s in range(0, len(users), step))
-                lost += float(((y[rows] - (base[rows] - held[rows] + changed) / n_trees) ** 2 - wrong[rows]).sum())
-        out.append(lost)
+    n_trees, out, rows = len(model.roots), [], np.arange(len(x))
+    for s in range(0, len(features), TOGETHER):
+        some = features[s : s + TOGETHER]
+        base, classes, table = _by_class(model, some, x)
+        wrong = (y - base / n_trees) ** 2
+        for q, f in enumerate(some):
+            r, lost = np.random.default_rng([seed, f]), 0.0
+            if table[:, q].any():
+                for _ in range(repeats):
+                    changed = table[rows, q, classes[r.permutation(len(x)), q]]
+                    lost += float(((y - (base + changed) / n_trees) ** 2 - wrong).sum())
+            out.append(lost)
     return out
 
 
@@ -143,9 +366,8 @@ def rank(observations: DataFrame, x: DataFrame, trees: int = 500, repeats: int =
     spark = observations.sparkSession
     names = features_of(x)
     rows = wide(observations, x, names).persist()
-    model = Trees(forest(trees, seed).fit(assembled(rows)).toDebugString)
-    sent = spark.sparkContext.broadcast(model)
     total = rows.agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("squares")).first()
+    sent = spark.sparkContext.broadcast(fitted(rows, x, names, total["n"], trees, seed))
     groups = max(1, -(-total["n"] // GROUP))
     parts = max(1, min(len(names), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
 

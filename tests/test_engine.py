@@ -526,3 +526,72 @@ def test_registered_analyses_take_all_replicates(spark, sf, monkeypatch):
     monkeypatch.setattr(module, "analyze", lambda o, e, **params: given.append(params) or (o, o, o))
     QUERIES["analyze_full"](spark, sf)
     assert module.Params(**given[0]).replicates == 200
+
+
+def grown_forest(r, x, y, trees):
+    from lagloom.plans import forest
+
+    edges = [np.unique(np.quantile(c, np.linspace(0.1, 0.9, 9))) for c in x.T]
+    bins = np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+    made = [forest.grown(bins, y, [7, i]) for i in range(trees)]
+    return forest.Trees.of(made, edges), made, bins
+
+
+def test_grown_trees():
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(3)
+    x = r.random((700, 6)) * (r.random((700, 6)) < 0.6)
+    y = 4 * (x[:, 1] > 0.4) + 2 * x[:, 4] * (x[:, 2] == 0) + r.normal(0, 0.1, 700)
+    model, made, bins = grown_forest(r, x, y, 30)
+    each = model.each(x, np.arange(30))
+    assert all(np.allclose(forest.predicted(t, bins), each[:, i]) for i, t in enumerate(made))
+    assert 1 - ((y - each.mean(axis=1)) ** 2).sum() / ((y - y.mean()) ** 2).sum() > 0.9
+    for i, (feature, _, left, right, value) in enumerate(made):
+        weight, at = np.random.default_rng([7, i]).poisson(1.0, 700), np.unique(each[:, i], return_inverse=True)[1]
+        assert np.bincount(at, weight).min() >= forest.LEAST and np.isclose(value[0], weight @ y / weight.sum())
+        depth = np.zeros(len(value), int)
+        for a in np.flatnonzero(feature >= 0):
+            depth[[left[a], right[a]]] = depth[a] + 1
+        assert depth.max() <= forest.DEPTH
+    # all features, repeats and rows as whole shuffled predictions have them
+    want, wrong = [], (y - each.mean(axis=1)) ** 2
+    for f in range(6):
+        shuffled, total = np.random.default_rng([5, f]), 0.0
+        for _ in range(4):
+            new = x.copy()
+            new[:, f] = x[shuffled.permutation(700), f]
+            total += ((y - model.each(new, np.arange(30)).mean(axis=1)) ** 2 - wrong).sum()
+        want.append(total)
+    assert np.allclose(forest._losses(model, list(range(6)), y, x, 4, 5), want)
+    alone = forest.grown(bins[:, :0], y, [0])
+    assert len(alone[0]) == 1 and alone[0][0] == -1
+
+
+def test_forest_work_follows_splits(monkeypatch):
+    """Shuffles look values up; trees are gone through once, however many shuffles there are."""
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(4)
+    x = r.random((300, 5))
+    model, _, _ = grown_forest(r, x, x[:, 0] + x[:, 1], 10)
+    monkeypatch.setattr(forest.Trees, "each", lambda *_: pytest.fail("predicted again"))
+    assert forest._losses(model, list(range(5)), x[:, 0] + x[:, 1], x, 50, 0)[0] > 0
+
+
+def test_forest_by_level(spark, monkeypatch):
+    """Few readings don't grow by Spark's levels; many do, with like results."""
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(1)
+    o = spark.createDataFrame([(0, i, 6.0 * i, float(5 * (i % 3 == 0) + r.normal())) for i in range(160)], "diary_id long, obs_id long, t_h double, y double")
+    x = spark.createDataFrame([(0, i, "good", 1.0) for i in range(0, 160, 3)] + [(0, i, "bad", float(r.random())) for i in range(0, 160, 2)], "diary_id long, obs_id long, feature string, x double")
+    by_level, spark_forest = [], forest.forest
+    monkeypatch.setattr(forest, "forest", lambda *a: by_level.append(a) or spark_forest(*a))
+    few = forest.cross_validate(o, x, trees=30).collect(), forest.rank(o, x, trees=30, repeats=3).collect()
+    assert not by_level
+    monkeypatch.setattr(forest, "WHOLE", 0)
+    many = forest.cross_validate(o, x, trees=30).collect(), forest.rank(o, x, trees=30, repeats=3).collect()
+    assert len(by_level) == 11
+    assert [f[:2] for f in few[0]] == [f[:2] for f in many[0]] and abs(np.mean([f["r2"] for f in few[0]]) - np.mean([f["r2"] for f in many[0]])) < 0.1
+    assert [f["feature"] for f in few[1]] == [f["feature"] for f in many[1]] == ["good", "bad"] and abs(few[1][0]["importance"] - many[1][0]["importance"]) < 0.3
