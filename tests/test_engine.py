@@ -595,3 +595,32 @@ def test_forest_by_level(spark, monkeypatch):
     assert len(by_level) == 11
     assert [f[:2] for f in few[0]] == [f[:2] for f in many[0]] and abs(np.mean([f["r2"] for f in few[0]]) - np.mean([f["r2"] for f in many[0]])) < 0.1
     assert [f["feature"] for f in few[1]] == [f["feature"] for f in many[1]] == ["good", "bad"] and abs(few[1][0]["importance"] - many[1][0]["importance"]) < 0.3
+
+
+def test_equal_draws_are_solved_once(monkeypatch):
+    import pandas as pd
+
+    from lagloom.plans import analyze as plan
+
+    r = np.random.default_rng(2)
+    t = np.sort(r.uniform(0, 24 * 12, 48))  # 12 days, 4 day blocks: 6 halves
+    obs = pd.DataFrame({"obs_id": range(48), "t_h": t, "hod": t % 24, "y": r.normal(size=48)})
+    cells = pd.DataFrame([(i, b, k, r.random()) for i in range(48) for b in "abcd" for k in range(7) if r.random() < 0.5], columns=["obs_id", "block", "k", "x"])
+    p = Params()
+    d = plan.prepare(obs, list("abcd"), [1] * 4, cells, dict.fromkeys("abcd", 9), p)
+    assert len(d["sizes"]) == 4 and sum(d["times"]) == p.replicates and len(d["draws"]) <= 6
+    solved, solve = [], Groups.solve
+    monkeypatch.setattr(Groups, "solve", lambda *a: solved.append(1) or solve(*a))
+    counts, valid = plan.replicate_counts(d, 0, len(d["draws"]), p)
+    assert len(solved) <= 6 * len(d["lams"]) and valid == p.replicates
+    # as every draw solved by itself, in the order of the seed
+    s, want = np.random.default_rng(p.seed), np.zeros_like(counts)
+    for x in [s.choice(4, size=2, replace=False) for _ in range(p.replicates)]:
+        n, beta = d["sizes"][x].sum(), None
+        groups = Groups(d["grams"][x].sum(axis=0) / n)
+        for i, lam in enumerate(d["lams"]):
+            beta = groups.solve(d["crosses"][x].sum(axis=0) / n, lam, beta)
+            want[i] += groups.active(beta)
+    assert (counts == want).all() and counts.any()
+    parts = [plan.replicate_counts(d, i, i + 1, p) for i in range(len(d["draws"]))]
+    assert (sum(c for c, _ in parts) == counts).all() and sum(v for _, v in parts) == valid
