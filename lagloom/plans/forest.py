@@ -4,23 +4,27 @@ from __future__ import annotations
 
 import math
 import re
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.evaluation import RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Readings that are shuffled among themselves, about; with fewer in all, all of them.
+#: Rows (readings of equal exposures) that are shuffled among themselves, about; with fewer in all, all of them.
 GROUP = 4096
-#: Bytes of the nodes that a task looks at at once.
-HELD = 64 << 20
+#: Outcomes that a row holds at most, about.
+ALIKE = 1 << 22
+#: Bytes of the table of changes that a task holds at once.
+HELD = 128 << 20
 #: Bytes of binned readings up to which a task grows whole trees; over these, Spark grows all trees by level over its partitions.
 WHOLE = 128 << 20
-#: Bins of a feature, trees of a task, readings and their leaves looked at at once, features shuffled at once.
-BINS, CHUNK, READINGS, LEAVES, TOGETHER = 32, 25, 1 << 15, 1 << 22, 12
+#: Bins of a feature, trees of a task, readings looked at at once.
+BINS, CHUNK, READINGS = 32, 25, 1 << 15
 DEPTH, LEAST = 10, 3
 
 
@@ -57,31 +61,51 @@ def edges_of(x: DataFrame, features: list[str]) -> list[np.ndarray]:
     return [(v[1:] + v[:-1]) / 2 for v in values]
 
 
+def in_bins(x, edges: list[np.ndarray]) -> list[bytes]:
+    """The bins of arrays of values, a byte for each feature."""
+    if not edges:
+        return [b""] * len(x)
+    x = np.stack(x.to_numpy())
+    return [b.tobytes() for b in np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1).astype(np.uint8)]
+
+
+def as_matrix(bins, n_features: int) -> np.ndarray:
+    """(rows, features) bytes of a binary Arrow column."""
+    if not n_features:
+        return np.zeros((len(bins), 0), np.uint8)
+    out, at = np.empty((len(bins), n_features), np.uint8), 0
+    for c in bins.chunks:
+        out[at : at + len(c)] = np.frombuffer(b"".join(c.to_pylist()), np.uint8).reshape(-1, n_features)
+        at += len(c)
+    return out
+
+
 def binned(rows: DataFrame, edges: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bins, outcomes, folds) of all readings by diary and id, a byte for each feature."""
 
     def run(batches):
         for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if edges else np.zeros((len(pdf), 0))
-            bins = np.stack([np.searchsorted(e, x[:, f]) for f, e in enumerate(edges)], axis=1).astype(np.uint8) if edges else x.astype(np.uint8)
-            yield pd.DataFrame({"diary_id": pdf["diary_id"], "obs_id": pdf["obs_id"], "y": pdf["y"], "fold": pdf["fold"], "bins": [b.tobytes() for b in bins]})
+            yield pdf[["diary_id", "obs_id", "y", "fold"]].assign(bins=in_bins(pdf["x"], edges))
 
     t = rows.mapInPandas(run, "diary_id long, obs_id long, y double, fold int, bins binary").orderBy("diary_id", "obs_id").toArrow()
-    bins = np.frombuffer(b"".join(t["bins"].to_pylist()), np.uint8).reshape(t.num_rows, len(edges))
-    return bins, t["y"].to_numpy(), t["fold"].to_numpy()
+    return as_matrix(t["bins"], len(edges)), t["y"].to_numpy(), t["fold"].to_numpy()
 
 
-def grown(bins: np.ndarray, y: np.ndarray, seed: list[int]) -> tuple[np.ndarray, ...]:
+def grown(bins: np.ndarray, y: np.ndarray, seed: list[int], row: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(feature, last bin to the left, left, right, value) by node of a regression tree on a bootstrap of the readings.
 
-    As Spark's: Poisson weights, a random part of the features at each node, splits by variance.
+    As Spark's: Poisson weights, a random part of the features at each node, splits by variance. ``row`` tells a reading's row
+    of ``bins``, where readings share rows; each has a weight of its own, and a row counts with their sum.
     """
     r = np.random.default_rng(seed)
     n, n_features = bins.shape
     tried = math.ceil(math.sqrt(n_features))
-    weight = r.poisson(1.0, n)
+    weight = r.poisson(1.0, len(y)).astype(float)
+    weighted = weight * y
+    if row is not None:
+        weight, weighted = np.bincount(row, weight, n), np.bincount(row, weighted, n)
     at = np.flatnonzero(weight)
-    w, wy = weight[at].astype(float), weight[at] * y[at]
+    w, wy = weight[at], weighted[at]
     feature, cut, left, right, value = [np.array([-1])], [np.array([0])], [np.array([0])], [np.array([0])], [np.array([wy.sum() / max(w.sum(), 1.0)])]
     place, open_, total = np.zeros(len(at), np.int64), np.array([0]), 1
     for _ in range(DEPTH if tried else 0):
@@ -142,21 +166,41 @@ def tasks(spark, n: int) -> DataFrame:
     return spark.range(n, numPartitions=n)
 
 
-def fitted(rows: DataFrame, x: DataFrame, features: list[str], n: int, trees: int, seed: int) -> "Trees":
-    """A forest on ``n`` readings."""
+def alike(rows: DataFrame, n: int) -> DataFrame:
+    """(x, part, ys): the outcomes of readings with equal exposures, about ``ALIKE`` in a row at most; ``n`` is the number of readings."""
+    part = F.pmod(F.xxhash64("diary_id", "obs_id"), F.lit(max(1, -(-n // ALIKE))))
+    return rows.groupBy("x", part.alias("part")).agg(F.array_sort(F.collect_list(F.coalesce("y", F.lit(float("nan"))))).alias("ys"))
+
+
+def fitted(shared: DataFrame, rows: DataFrame, x: DataFrame, features: list[str], n: int, trees: int, seed: int) -> "Trees":
+    """A forest on the ``n`` readings of ``rows``; ``shared`` is :func:`alike` of these."""
     if n * len(features) > WHOLE:
         return Trees(forest(trees, seed).fit(assembled(rows)).toDebugString)
     spark, edges = rows.sparkSession, edges_of(x, features)
-    held = spark.sparkContext.broadcast(binned(rows, edges)[:2])
+
+    def run(batches):
+        for pdf in batches:
+            yield pdf[["key", "part", "ys"]].assign(bins=in_bins(pdf["x"], edges))
+
+    keyed = shared.select(F.xxhash64("x").alias("key"), "part", "ys", "x")
+    t = keyed.mapInPandas(run, "key long, part long, ys array<double>, bins binary").orderBy("key", "part").toArrow()
+    times, y = t["ys"].combine_chunks().value_lengths().to_numpy(zero_copy_only=False), t["ys"].combine_chunks().flatten().to_numpy()
+    row = np.repeat(np.arange(len(times), dtype=np.int32), times) if len(y) > len(times) else None
+    bins = as_matrix(t["bins"], len(features))
+    del t
+    held = spark.sparkContext.broadcast((bins, y, row))
+    del bins, row
 
     def grow(batches):
+        bins, y, row = held.value
         for pdf in batches:
             for chunk in pdf["id"]:
                 for tree in range(chunk * CHUNK, min(trees, (chunk + 1) * CHUNK)):
-                    yield pd.DataFrame([(tree, *(v.tolist() for v in grown(*held.value, [seed, tree])))], columns=["tree", "feature", "cut", "left", "right", "value"])
+                    yield pd.DataFrame([(tree, *(v.tolist() for v in grown(bins, y, [seed, tree], row)))], columns=["tree", "feature", "cut", "left", "right", "value"])
 
     schema = "tree int, feature array<int>, cut array<int>, left array<int>, right array<int>, value array<double>"
-    made = tasks(spark, -(-trees // CHUNK)).mapInPandas(grow, schema).orderBy("tree").collect()
+    # sorted here: Spark's sort would grow all trees once more to find its ranges
+    made = sorted(tasks(spark, -(-trees // CHUNK)).mapInPandas(grow, schema).collect())
     return Trees.of([tuple(np.array(v) for v in r[1:]) for r in made], edges)
 
 
@@ -254,15 +298,31 @@ class Trees:
         out.value, out.roots = np.concatenate([t[4] for t in trees]), starts[:-1].astype(np.int32)
         return out
 
-    def first(self) -> np.ndarray:
-        """Whether a node is a split by a feature that no node above it splits by."""
-        up = np.full(len(self.value), -1)
-        inner = np.flatnonzero(self.feature >= 0)
-        up[self.left[inner]] = up[self.right[inner]] = inner
-        out, above = self.feature >= 0, up.copy()
-        while (above >= 0).any():
-            out &= (above < 0) | (self.feature[above] != self.feature)
-            above = np.where(above >= 0, up[above], -1)
+    @cached_property
+    def plans(self) -> list[tuple[list[tuple], dict[int, int]]]:
+        """(splits, holds) of each tree. holds: the features of the splits at and below a split, as bits. splits, from the root down:
+        (node, feature, bound, left, right, start, between), where start is the node or the uppermost split above it by its feature, and
+        between are the other features' splits from there on with the side taken (None: splits above by its feature decide this one)."""
+        feature, bound, left, right = (v.tolist() for v in (self.feature, self.bound, self.left, self.right))
+        out = []
+        for root in self.roots.tolist():
+            splits, holds, open_ = [], {}, [(root, ())]
+            while open_:
+                v, path = open_.pop()
+                if feature[v] < 0:
+                    continue
+                f, b = feature[v], bound[v]
+                own = [i for i, (u, _) in enumerate(path) if feature[u] == f]
+                start, between = v, []
+                if own:
+                    start, between = path[own[0]][0], [(u, side) for u, side in path[own[0] :] if feature[u] != f]
+                    if any((b >= bound[path[i][0]]) == path[i][1] for i in own):
+                        between = None
+                splits.append((v, f, b, left[v], right[v], start, between))
+                open_ += [(right[v], (*path, (v, False))), (left[v], (*path, (v, True)))]
+            for v, f, _, low, high, *_ in reversed(splits):
+                holds[v] = 1 << f | holds.get(low, 0) | holds.get(high, 0)
+            out.append((splits, holds))
         return out
 
     def each(self, x: np.ndarray, trees: np.ndarray) -> np.ndarray:
@@ -275,83 +335,81 @@ class Trees:
 
 
 def _by_class(model, features: list[int], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(base, classes, table): the trees' summed predictions; which of a feature's values, as its splits tell them
-    apart, a row has; and by how much its sum changes, by (row, feature, class), where only that feature changes.
+    """(base, classes, table): the trees' summed predictions; which of a feature's values, as its splits tell them apart, a row
+    has, by (feature, row); and by how much its sum changes, by (feature, class, row), where only that feature changes.
+
+    A tree's splits each look at all rows once: from the leaves up, what a row gets that comes to a split, and from the root
+    down, which rows come there. Where a feature's value passes the bound of one of its splits, rows that come there change sides.
+    So the work follows the splits, not the shuffles.
+    """
+    n, columns = len(x), np.ascontiguousarray(x.T)
+    bounds = [np.unique(model.bound[model.feature == f]) for f in features]
+    width = 1 + max(map(len, bounds), default=0)
+    classes = np.array([np.searchsorted(v, columns[f]) for v, f in zip(bounds, features)], np.min_scalar_type(width)).reshape(-1, n)
+    base, table = np.zeros(n), np.zeros((len(features), width, n))
+    lines = {(f, b): table[q, k] for q, f in enumerate(features) for k, b in enumerate(bounds[q].tolist(), 1)}
+    value, feature, bound_of, left_of, right_of = (v.tolist() for v in (model.value, model.feature, model.bound, model.left, model.right))
+    for root, (splits, holds) in zip(model.roots.tolist(), model.plans):
+        below, got, comes = {}, {}, {root: np.arange(n)}
+
+        def forced(v, f, rows, lefts):
+            """What rows get that come to ``v``, where splits by ``f`` send all to the left whose bound ``lefts`` takes, else to the right."""
+            if not holds.get(v, 0) >> f & 1:
+                return got[v][rows] if v in got else value[v]
+            if feature[v] == f:
+                return forced((left_of if lefts(bound_of[v]) else right_of)[v], f, rows, lefts)
+            return np.where(below[v][rows], forced(left_of[v], f, rows, lefts), forced(right_of[v], f, rows, lefts))
+
+        for v, f, bound, left, right, *_ in reversed(splits):
+            below[v] = columns[f] <= bound
+            got[v] = np.where(below[v], got.get(left, value[left]), got.get(right, value[right]))
+        base += got.get(root, value[root])
+        for v, f, bound, left, right, start, between in splits:
+            rows, goes = comes[v], below[v][comes[v]]
+            if left in got:
+                comes[left] = rows[goes]
+            if right in got:
+                comes[right] = rows[~goes]
+            line = lines.get((f, bound))
+            if line is None or between is None:
+                continue
+            if start != v:
+                rows = comes[start]
+                for u, side in between:
+                    rows = rows[below[u][rows] == side]
+            if (holds.get(left, 0) | holds.get(right, 0)) >> f & 1:
+                low, high = forced(left, f, rows, lambda b: bound <= b), forced(right, f, rows, lambda b: bound < b)
+            else:
+                low, high = (got[z][rows] if z in got else value[z] for z in (left, right))
+            line[rows] += high - low
+    for k in range(1, width):
+        table[:, k] += table[:, k - 1]
+    for q in range(len(features)):
+        table[q] -= table[q][classes[q], np.arange(n)]
+    return base, classes, table
+
 
-    A row goes through a tree once. Where it first meets a split by a feature, a copy of it with any value of that feature goes
-    on, to both sides of splits by it. So the work follows the splits that rows meet, not the shuffles.
+def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: int, seed: int, row: np.ndarray | None = None) -> list[float]:
+    """Growth of the squared error, summed over readings and repeats, where one feature is shuffled among the readings.
+
+    ``row`` tells a reading's row of ``x``, where readings share rows. Only readings whose class changes are looked up.
     """
-    n, first = len(x), model.first()
-    place = np.full(x.shape[1] + 1, -1)
-    place[features] = np.arange(len(features))  # leaves have the feature -1, which stands for the last place
-    split, order = place[model.feature], np.zeros(len(model.value), np.int64)
-    classes, widest = np.zeros((n, len(features)), np.int64), 0
-    for q, f in enumerate(features):
-        here = model.feature == f
-        bounds = np.unique(model.bound[here])
-        order[here] = np.searchsorted(bounds, model.bound[here])
-        classes[:, q] = np.searchsorted(bounds, x[:, f])
-        widest = max(widest, len(bounds))
-    width = widest + 2
-    base, table, found, many = np.zeros(n), np.zeros(n * len(features) * width), [], 0
-
-    def put() -> None:
-        if found:
-            table[:] += np.bincount(np.concatenate([a for a, _ in found]), np.concatenate([v for _, v in found]), len(table))
-            found.clear()
-
-    def followed(row, q, at, low, high):
-        while len(row):
-            leaf = model.feature[at] < 0
-            if leaf.any():
-                cell, v = (row[leaf] * len(features) + q[leaf]) * width, model.value[at[leaf]]
-                yield np.concatenate([cell + low[leaf], cell + high[leaf] + 1]), np.concatenate([v, -v])
-                row, q, at, low, high = (z[~leaf] for z in (row, q, at, low, high))
-            own = split[at] == q
-            below = x[row, model.feature[at]] <= model.bound[at]
-            cut = order[at]
-            lefts = np.where(own, low <= cut, below)
-            rights = np.where(own, high > cut, ~below)
-            least, most = np.where(own, np.maximum(low, cut + 1), low), np.where(own, np.minimum(high, cut), high)
-            row, q, at, low, high = (
-                np.concatenate([z[lefts], w[rights]]) for z, w in ((row, row), (q, q), (model.left[at], model.right[at]), (low, least), (most, high))
-            )
-
-    step = max(1, (1 << 19) // max(1, n))
-    for s in range(0, len(model.roots), step):
-        roots = model.roots[s : s + step]
-        row, at = np.tile(np.arange(n), len(roots)), np.repeat(roots, n)
-        while len(row):
-            leaf = model.feature[at] < 0
-            base += np.bincount(row[leaf], model.value[at[leaf]], n)
-            row, at = row[~leaf], at[~leaf]
-            new = first[at] & (split[at] >= 0)
-            r, a = row[new], at[new]
-            for cells, values in followed(r, split[a], a, np.zeros(len(r), np.int64), np.full(len(r), widest)):
-                found.append((cells, values))
-                many += len(cells)
-            if many > LEAVES:
-                put()
-                many = 0
-            at = np.where(x[row, model.feature[at]] <= model.bound[at], model.left[at], model.right[at])
-    put()
-    table = np.cumsum(table.reshape(n, len(features), width), axis=2)
-    return base, classes, table - np.take_along_axis(table, classes[:, :, None], axis=2)
-
-
-def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: int, seed: int) -> list[float]:
-    """Growth of the squared error, summed over rows and repeats, where one feature is shuffled among the rows."""
-    n_trees, out, rows = len(model.roots), [], np.arange(len(x))
-    for s in range(0, len(features), TOGETHER):
-        some = features[s : s + TOGETHER]
+    n_trees, out = len(model.roots), []
+    row = np.arange(len(x)) if row is None else row
+    together = max(1, HELD // (8 * BINS * max(1, len(x))))
+    for s in range(0, len(features), together):
+        some = features[s : s + together]
         base, classes, table = _by_class(model, some, x)
-        wrong = (y - base / n_trees) ** 2
+        twice = 2 * (y - (base / n_trees)[row])
         for q, f in enumerate(some):
-            r, lost = np.random.default_rng([seed, f]), 0.0
-            if table[:, q].any():
+            r, lost, own, flat = np.random.default_rng([seed, f]), 0.0, classes[q][row], table[q].ravel()
+            flat /= n_trees
+            if flat.any():
                 for _ in range(repeats):
-                    changed = table[rows, q, classes[r.permutation(len(x)), q]]
-                    lost += float(((y - (base + changed) / n_trees) ** 2 - wrong).sum())
+                    drawn = own[r.permutation(len(y))]
+                    at = np.flatnonzero(drawn != own)
+                    changed = flat[drawn[at].astype(int) * len(x) + row[at]]
+                    lost += float(changed @ (changed - twice[at]))
             out.append(lost)
     return out
 
@@ -359,27 +417,37 @@ def _losses(model, features: list[int], y: np.ndarray, x: np.ndarray, repeats: i
 def rank(observations: DataFrame, x: DataFrame, trees: int = 500, repeats: int = 100, seed: int = 0, limit: int = 15) -> DataFrame:
     """(feature, importance, exposed): the 15 features whose shuffling costs most R2, with their exposed readings.
 
-    One forest on all features. Readings are dealt to random groups of about ``GROUP``; a task takes a group and
-    some features, shuffles each feature among the group's readings ``repeats`` times, and returns by how much the
-    squared error grows. So no shuffle is global, and nothing but sums by feature reaches the driver.
+    One forest on all features. Readings of equal exposures share a row, which goes through the trees once. Rows are dealt
+    to random groups of about ``GROUP``, those of very many readings in several parts; a task takes a group and some features,
+    shuffles each feature among the group's readings ``repeats`` times, and returns by how much the squared error grows. So
+    no shuffle is global, and nothing but sums by feature reaches the driver.
     """
     spark = observations.sparkSession
+    x = x.persist(StorageLevel.DISK_ONLY)  # executors' memory is for the trees
     names = features_of(x)
-    rows = wide(observations, x, names).persist()
-    total = rows.agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("squares")).first()
-    sent = spark.sparkContext.broadcast(fitted(rows, x, names, total["n"], trees, seed))
-    groups = max(1, -(-total["n"] // GROUP))
-    parts = max(1, min(len(names), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")) // groups))
-
-    def lost(pdf: pd.DataFrame) -> pd.DataFrame:
-        part = int(pdf["part"].iloc[0])
-        pdf = pdf.sort_values(["diary_id", "obs_id"])
+    total = observations.agg(F.count("*").alias("n"), (F.var_pop("y") * F.count("*")).alias("squares")).first()
+    rows = wide(observations, x, names)
+    shared = alike(rows, total["n"]).persist(StorageLevel.DISK_ONLY)
+    sent = spark.sparkContext.broadcast(fitted(shared, rows, x, names, total["n"], trees, seed))
+    most = max(1, 2 * total["n"] // max(1, shared.count()))
+    pieces = shared.select("x", "part", F.posexplode(F.transform(F.sequence(F.lit(0), (F.size("ys") - 1).cast("int"), F.lit(most)), lambda i: F.slice("ys", i + 1, F.lit(most)))).alias("piece", "ys"))
+    groups = max(1, -(-(shared.agg(F.sum(F.ceil(F.size("ys") / most))).first()[0] or 0) // GROUP))
+    parts = max(1, min(len(names), 4 * spark.sparkContext.defaultParallelism // groups))
+
+    def lost(batches):
+        found = [pdf for pdf in batches if len(pdf)]
+        if not found:
+            return
+        pdf = pd.concat(found)
+        part, group = int(pdf["task"].iloc[0]) % parts, int(pdf["task"].iloc[0]) // parts
+        pdf = pdf.sort_values(["key", "part", "piece"])
         mine = list(range(part, len(names), parts))
-        found = _losses(sent.value, mine, pdf["y"].to_numpy(), np.stack(pdf["x"].to_numpy()), repeats, seed + int(pdf["group"].iloc[0]))
-        return pd.DataFrame({"feature": [names[f] for f in mine], "lost": found})
+        y, row = np.concatenate(pdf["ys"].to_numpy()), np.repeat(np.arange(len(pdf)), pdf["ys"].map(len))
+        yield pd.DataFrame({"feature": [names[f] for f in mine], "lost": _losses(sent.value, mine, y, np.stack(pdf["x"].to_numpy()), repeats, seed + group, row)})
 
-    dealt = rows.withColumn("group", F.pmod(F.xxhash64("diary_id", "obs_id", F.lit(seed)), F.lit(groups))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    sums = dealt.repartition(groups * parts, "group", "part").groupBy("group", "part").applyInPandas(lost, "feature string, lost double").groupBy("feature").agg(F.sum("lost").alias("lost"))
+    group = F.pmod(F.xxhash64("x", "part", "piece", F.lit(seed)), F.lit(groups)).cast("int")
+    dealt = pieces.select(F.xxhash64("x").alias("key"), "part", "piece", "ys", "x", F.explode(F.sequence(group * parts, group * parts + (parts - 1))).alias("task"))
+    sums = dealt.repartitionById(groups * parts, "task").mapInPandas(lost, "feature string, lost double").groupBy("feature").agg(F.sum("lost").alias("lost"))
     counts = x.groupBy("feature").agg(F.count_if(F.col("x") > 0).alias("exposed"))
     share = F.when(F.lit(total["squares"] or 0.0) > 0, F.col("lost") / F.lit((total["squares"] or 1.0) * repeats)).otherwise(0.0)
     return sums.join(counts, "feature").select("feature", share.alias("importance"), "exposed").orderBy(F.desc("importance"), "feature").limit(limit)

@@ -597,6 +597,67 @@ def test_forest_by_level(spark, monkeypatch):
     assert [f["feature"] for f in few[1]] == [f["feature"] for f in many[1]] == ["good", "bad"] and abs(few[1][0]["importance"] - many[1][0]["importance"]) < 0.3
 
 
+def test_forest_nested_splits():
+    """Trees of two features split by them again and again; each side of each bound is as whole shuffled predictions have it."""
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(8)
+    x = np.round(r.random((900, 2)), 2)
+    y = np.sin(9 * x[:, 0]) + np.cos(7 * x[:, 1]) + r.normal(0, 0.1, 900)
+    model, _, _ = grown_forest(r, x, y, 6)
+    assert any(start != v for splits, _ in model.plans for v, *_, start, _ in splits)
+    base, classes, table = forest._by_class(model, [0, 1], x)
+    assert np.allclose(base, model.each(x, np.arange(6)).sum(axis=1))
+    for f in (0, 1):
+        for of in (0, 17, 450, 899):
+            new = x.copy()
+            new[:, f] = x[of, f]
+            assert np.allclose(base + table[f, classes[f, of]], model.each(new, np.arange(6)).sum(axis=1))
+
+
+def test_forest_of_shared_rows():
+    """Readings of equal exposures share a row; trees and losses are those of a row for each."""
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(6)
+    x, row = r.random((120, 5)) * (r.random((120, 5)) < 0.5), np.sort(r.integers(0, 120, 3000))
+    y = np.round(20 * (x[row, 2] > 0.3) + 9 * x[row, 4] + r.normal(0, 1, 3000))  # whole numbers: sums are equal in any order
+    model, made, bins = grown_forest(r, x[row], y, 8)
+    edges = [np.unique(np.quantile(c, np.linspace(0.1, 0.9, 9))) for c in x[row].T]
+    few = np.stack([np.searchsorted(e, c) for e, c in zip(edges, x.T)], axis=1).astype(np.uint8)
+    assert (few[row] == bins).all()
+    for i, tree in enumerate(made):
+        assert all(np.allclose(a, b) for a, b in zip(tree, forest.grown(few, y, [7, i], row)))
+    assert np.allclose(forest._losses(model, [0, 2, 4], y, x, 5, 3, row), forest._losses(model, [0, 2, 4], y, x[row], 5, 3))
+
+
+def test_forest_rank_of_many_copies(spark, monkeypatch):
+    """Copies of a diary's readings add no rows to go through the trees, and trees are grown once."""
+    from lagloom.plans import forest
+
+    r = np.random.default_rng(1)
+    o = spark.createDataFrame([(d, i, 6.0 * i, float(5 * (i % 3 == 0) + d)) for i in range(90) for d in range(12)], "diary_id long, obs_id long, t_h double, y double")
+    cells = [(i, "good", 1.0) for i in range(0, 90, 3)] + [(i, "bad", float(r.random())) for i in range(0, 90, 2)]
+    x = spark.createDataFrame([(d, *c) for c in cells for d in range(12)], "diary_id long, obs_id long, feature string, x double")
+    rows = forest.wide(o, x, ["bad", "good"])
+    shared = forest.alike(rows, 1080).collect()
+    assert len(shared) == rows.select("x").distinct().count() < 90 and sum(len(s["ys"]) for s in shared) == 1080
+    assert all(s["ys"] == sorted(s["ys"]) for s in shared)
+    grow, seen = forest.tasks, spark.sparkContext.accumulator(0)
+
+    def counted(s, n):
+        made = grow(s, n)
+        return made.mapInPandas(lambda batches: (seen.add(len(b)) or b for b in batches), made.schema)
+
+    monkeypatch.setattr(forest, "tasks", counted)
+    got = forest.rank(o, x, trees=60, repeats=4).collect()
+    assert seen.value == 3 and [g["feature"] for g in got] == ["good", "bad"] and got[0]["importance"] > 0.5 and [g["exposed"] for g in got] == [360, 540]
+    monkeypatch.setattr(forest, "ALIKE", 100)  # very many equal readings are dealt to several rows
+    assert len(forest.alike(rows, 1080).collect()) > len(shared)
+    again = forest.rank(o, x, trees=60, repeats=4).collect()
+    assert [g["exposed"] for g in again] == [360, 540] and abs(again[0]["importance"] - got[0]["importance"]) < 0.3
+
+
 def test_equal_draws_are_solved_once(monkeypatch):
     import pandas as pd
 
